@@ -465,7 +465,9 @@ def _closure(names) -> list[str]:
     return out
 
 
-def with_standins(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs of the named stand-ins (and their deps)."""
+def with_standins(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+    """Prefix ``body`` with the CTEs of the named stand-ins (and their deps),
+    followed by the ``extra`` (name, sql) CTEs in order."""
     ctes = [f"{n} AS ({S[n][0].strip()})" for n in _closure(names)]
+    ctes += [f"{n} AS ({q.strip()})" for n, q in (extra or [])]
     return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
