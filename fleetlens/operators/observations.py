@@ -112,7 +112,7 @@ def catalog_lookup(instances: DataFrame, catalog: DataFrame,
     cat = broadcast_if_small(catalog, max_broadcast_rows)
     j = inst.join(cat, "engine_key")
     return j.filter((F.col("level") == "instance") | (F.coalesce(F.col("cluster_id"), F.lit("")) != "")) \
-        .select("db_key", "engine_key", "level", "metric").dropDuplicates(["db_key", "metric"])
+        .select("db_key", "engine_key", "level", "metric").distinct()
 
 
 # I1 (batch) ---------------------------------------------------------------------

@@ -35,13 +35,14 @@ _BUCKET_COLS = ["num_tables", "num_empty_tables", "num_tables_row_count_0_10k",
                 "num_tables_row_count_100k_1m", "num_tables_row_count_1m_10m", "num_tables_row_count_10m_100m",
                 "num_tables_row_count_100m_inf"]
 
-ORACLES["row_count_distribution"] = W(f"""
+RCD_BODY = f"""
 SELECT {KS}, {", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in _BUCKET_COLS)}, a.max_row_num, a.min_row_num
 FROM pg_snapshot_spine s LEFT JOIN (
   SELECT {KC}, count(*)::BIGINT AS num_tables, count_if(n_live_tup = 0)::BIGINT AS num_empty_tables,
     {_buckets(Q.ROW_BOUNDS)},
     max(n_live_tup) AS max_row_num, min(n_live_tup) AS min_row_num
-  FROM pg_stat_user_tables GROUP BY ALL) a ON {KEQ("s", "a")}""", "pg_snapshot_spine", "pg_stat_user_tables")
+  FROM pg_stat_user_tables GROUP BY ALL) a ON {KEQ("s", "a")}"""
+ORACLES["row_count_distribution"] = W(RCD_BODY, "pg_snapshot_spine", "pg_stat_user_tables")
 
 
 def _top_tables_sql(n: int, zero: bool = False, src: str = "pg_stat_user_tables") -> str:
