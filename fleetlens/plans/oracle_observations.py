@@ -133,7 +133,7 @@ SELECT organization_id, db_key, observation_time, relid, n_live_tup,
 FROM pg_stat_user_tables WHERE logical_database_name IN ('db0', 'db1', 'db2')""", "pg_stat_user_tables")
 ORACLES["replication_status"] = W(f"""
 SELECT {", ".join("s." + c for c in KC.split(", "))},
-  CASE WHEN r.db_key IS NULL THEN '' ELSE to_json({{'Source_Host': r.host, 'Seconds_Behind_Source': r.n}}) END
+  CASE WHEN r.db_key IS NULL THEN '' ELSE CAST(to_json({{'Source_Host': r.host, 'Seconds_Behind_Source': r.n}}) AS VARCHAR) END
     AS replica_status
 FROM (SELECT DISTINCT {KC} FROM mysql_status) s
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('replica-', user_id) AS host, count(*)::BIGINT AS n
