@@ -134,6 +134,15 @@ def latest_metric(samples: DataFrame, wanted: DataFrame | None, now: str, window
 
 
 # I2 (batch) ---------------------------------------------------------------------
+def _hour_ntz(ts: Column) -> Column:
+    """Hour truncation of a wall-clock timestamp (independent of the session time zone)."""
+    return F.window(ts, "1 hour").start
+
+
+def _micros_between(start: Column, end: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", start, end)
+
+
 def heartbeat_beats(activity: DataFrame, interval_s: int = 60) -> DataFrame:
     """Beat times per agent: start + k * interval for k = 1..N, the last is final.
 
@@ -141,9 +150,8 @@ def heartbeat_beats(activity: DataFrame, interval_s: int = 60) -> DataFrame:
     of one agent is its lifetime divided by the interval (not data sized).
     """
     iv = F.make_dt_interval(secs=F.lit(interval_s))
-    start = F.date_trunc("hour", F.col("first_seen"))
-    n = F.ceil((F.unix_micros(F.col("last_seen").cast("timestamp")) - F.unix_micros(start.cast("timestamp")))
-               / F.lit(interval_s * 1_000_000)).cast("int")
+    start = _hour_ntz(F.col("first_seen"))
+    n = F.ceil(_micros_between(start, F.col("last_seen")) / F.lit(interval_s * 1_000_000)).cast("int")
     n = F.greatest(n, F.lit(1))
     base = activity.select("organization_id", "db_key", start.alias("agent_starttime"), n.alias("_n"))
     beats = base.select("organization_id", "db_key", "agent_starttime", "_n",
@@ -154,13 +162,13 @@ def heartbeat_beats(activity: DataFrame, interval_s: int = 60) -> DataFrame:
 
 
 def _beat_of(ts: Column, start: Column, interval_s: int) -> Column:
-    us = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    us = _micros_between(start, ts)
     return (F.floor(us / F.lit(interval_s * 1_000_000)) + 1).cast("int")
 
 
 def heartbeat_errors(errors: DataFrame, activity: DataFrame, interval_s: int = 60) -> DataFrame:
     """Each error assigned to the beat that reports it (once, in arrival order by timestamp, id)."""
-    start = activity.select("organization_id", "db_key", F.date_trunc("hour", F.col("first_seen")).alias("_start"))
+    start = activity.select("organization_id", "db_key", _hour_ntz(F.col("first_seen")).alias("_start"))
     e = errors.join(start, ["organization_id", "db_key"])
     beat = _beat_of(F.col("timestamp"), F.col("_start"), interval_s)
     iv = F.make_dt_interval(secs=F.lit(interval_s))
@@ -212,30 +220,32 @@ def land(obs: DataFrame, path: str, compression: str = "gzip") -> None:
     hour, quirk Q4; ``hourly_latest`` reproduces that on read).
     """
     (landing_columns(obs).drop("object_key")
-     .write.mode("append").option("compression", compression)
+     .write.mode("append").option("compression", compression).option("timestampNTZFormat", TS_FORMAT)
      .partitionBy("organization_id", "db_key", "type_dir", "dt", "hr").json(path))
 
 
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 LANDING_SCHEMA = ("organization_id string, db_key string, type_dir string, dt string, hr string, "
                   "obs_type string, observation_time timestamp_ntz, payload string, id bigint")
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Read the landing zone back; the schema keeps dt/hr as text (no inference)."""
-    return spark.read.schema(LANDING_SCHEMA).json(path)
+    return spark.read.schema(LANDING_SCHEMA).option("timestampNTZFormat", TS_FORMAT).json(path)
 
 
 def serialize(obs: DataFrame, version: Column | None = None) -> DataFrame:
     """Document JSON text (NULL fields omitted) with the epoch-seconds summary."""
     summary = F.struct((version if version is not None else F.lit(None).cast("string")).alias("version"),
-                       F.unix_seconds(F.col("observation_time").cast("timestamp")).alias("observation_time"))
+                       F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                       F.col("observation_time")).alias("observation_time"))
     doc = F.struct(F.col("payload").alias("data"), summary.alias("summary"), "db_key", "organization_id")
     return obs.select("id", "obs_type", F.to_json(doc).alias("document"))
 
 
 def hourly_latest(obs: DataFrame) -> DataFrame:
     """A10: the last document of each (org, db, type, hour), as the fixed object name kept it."""
-    hour = F.date_trunc("hour", F.col("observation_time"))
+    hour = _hour_ntz(F.col("observation_time"))
     g = obs.groupBy("organization_id", "db_key", "obs_type", hour.alias("hour")).agg(
         F.max_by(F.struct("observation_time", "id", "payload"), F.struct("observation_time", "id")).alias("_l"))
     return g.select("organization_id", "db_key", "obs_type", "hour", "_l.observation_time", "_l.id", "_l.payload")

@@ -59,6 +59,19 @@ def sum_counters(df: DataFrame, cols: Sequence[str], spine: DataFrame | None = N
     return _spine_join(spine, df.groupBy(*keys).agg(*aggs))
 
 
+def row_count_aggs(bounds: Sequence[float] = ROW_COUNT_BOUNDS, col: str = "n_live_tup") -> list:
+    """The ten aggregates of D3 (also used by the streaming form)."""
+    n = F.col(col)
+    edges = [0.0, *bounds]
+    bucket = [F.count_if(n == 0)]
+    for lo, hi in zip(edges, edges[1:]):
+        bucket.append(F.count_if((n > F.lit(lo)) & (n <= F.lit(hi))))
+    bucket.append(F.count_if(n > F.lit(edges[-1])))
+    return [F.count(F.lit(1)).alias(ROW_COUNT_COLUMNS[0]),
+            *[b.alias(name) for b, name in zip(bucket, ROW_COUNT_COLUMNS[1:8])],
+            F.max(n).alias("max_row_num"), F.min(n).alias("min_row_num")]
+
+
 def row_count_distribution(tables: DataFrame, bounds: Sequence[float] = ROW_COUNT_BOUNDS,
                            spine: DataFrame | None = None, col: str = "n_live_tup") -> DataFrame:
     """D3: number of tables per row-count bucket (upper bounds inclusive).
@@ -66,18 +79,7 @@ def row_count_distribution(tables: DataFrame, bounds: Sequence[float] = ROW_COUN
     NULL or negative counts fall in no bucket but still count in num_tables;
     the buckets of every snapshot therefore add up to at most num_tables.
     """
-    n = F.col(col)
-    edges = [0.0, *bounds]
-    bucket = [F.count_if(n == 0)]
-    for lo, hi in zip(edges, edges[1:]):
-        bucket.append(F.count_if((n > F.lit(lo)) & (n <= F.lit(hi))))
-    bucket.append(F.count_if(n > F.lit(edges[-1])))
-    agg = tables.groupBy(*K).agg(
-        F.count(F.lit(1)).alias(ROW_COUNT_COLUMNS[0]),
-        *[b.alias(name) for b, name in zip(bucket, ROW_COUNT_COLUMNS[1:8])],
-        F.max(n).alias("max_row_num"),
-        F.min(n).alias("min_row_num"),
-    )
+    agg = tables.groupBy(*K).agg(*row_count_aggs(bounds, col))
     out = _spine_join(spine, agg)
     if spine is None:
         return out

@@ -138,3 +138,13 @@ SELECT {", ".join("s." + c for c in KC.split(", "))},
 FROM (SELECT DISTINCT {KC} FROM mysql_status) s
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('replica-', user_id) AS host, count(*)::BIGINT AS n
            FROM events WHERE user_id % 4 = 0 GROUP BY user_id) r ON s.db_key = r.db_key""", "mysql_status")
+
+# ------------------------------------------------------------------ streaming --
+ORACLES["snapshot_counters_stream"] = ORACLES["row_count_distribution"]
+ORACLES["latest_metric_stream"] = ORACLES["metric_source_registry"]
+ORACLES["heartbeat_stream"] = ORACLES["agent_heartbeat"]
+ORACLES["long_running_stream"] = __import__("fleetlens.plans.oracle_sql", fromlist=["x"]).ORACLES["long_running_pg"]
+ORACLES["landing_stream"] = W(f"""
+SELECT organization_id, db_key, {_TYPE_DIR} AS type_dir, strftime(observation_time, '%Y%m%d') AS dt,
+  strftime(observation_time, '%H') AS hr, obs_type, observation_time, payload, id
+FROM observation_log""", "observation_log")
