@@ -114,11 +114,11 @@ _RC = ["num_tables", "num_empty_tables", "num_tables_row_count_0_10k", "num_tabl
        "num_tables_row_count_100m_inf", "max_row_num", "min_row_num"]
 ORACLES["observation_assemble"] = W(f"""
 SELECT {", ".join("s." + c for c in KC.split(", "))},
-  to_json({{'row_num_stats': {{{", ".join(f"'{c}': r.{c}" for c in _RC)}}},
+  regexp_replace(regexp_replace(CAST(to_json({{'row_num_stats': {{{", ".join(f"'{c}': r.{c}" for c in _RC)}}},
            'table_counters': {{'n_live_tup': CAST(t.n_live_tup AS BIGINT), 'seq_scan': CAST(t.seq_scan AS BIGINT),
                                'idx_scan': CAST(t.idx_scan AS BIGINT)}},
            'index_counters': {{'idx_scan': CAST(i.idx_scan AS BIGINT), 'idx_tup_read': CAST(i.idx_tup_read AS BIGINT)}}
-          }}) AS document
+          }}) AS VARCHAR), '"[a-z_0-9]+":null,', '', 'g'), ',"[a-z_0-9]+":null', '', 'g') AS document
 FROM pg_snapshot_spine s
 LEFT JOIN rc r ON {KEQ("s", "r")}
 LEFT JOIN (SELECT {KC}, sum(n_live_tup) AS n_live_tup, sum(seq_scan) AS seq_scan, sum(idx_scan) AS idx_scan
