@@ -79,14 +79,11 @@ def bloat_factors(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stats: D
     j = factor_stats_join(attrs, classes, nsp, stats, targets)
     s = settings.select(*K, F.col("block_size").cast("double").alias("bs"),
                         max_alignment(F.col("version")).alias("ma"))
-    j = j.join(s, K)
     nf = F.coalesce(F.col("null_frac"), F.lit(0.0))
     n_stats = F.count("stat_found")
     g = j.groupBy(*K, "relid").agg(
         F.first("relpages").alias("tblpages"),
         F.first("reltuples").alias("reltuples"),
-        F.first("bs").alias("bs"),
-        F.first("ma").alias("ma"),
         F.first(fillfactor(F.col("reloptions"))).alias("fillfactor"),
         F.max(nf).alias("_max_nf"),
         n_stats.alias("_n_stats"),
@@ -98,7 +95,7 @@ def bloat_factors(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stats: D
     hdr = (F.lit(TUPLE_HEADER_BASE)
            + F.when(F.col("_max_nf") > 0, (F.lit(7) + F.col("_n_stats")) / F.lit(8.0)).otherwise(F.lit(0))
            + F.when(F.col("_has_oid"), F.lit(4)).otherwise(F.lit(0)))
-    return g.select(
+    return g.join(s, K).select(
         *K, "relid", "tblpages", "reltuples", "bs", F.lit(PAGE_HEADER_SIZE).alias("page_hdr"),
         "fillfactor",
         (F.col("_has_name") | (F.col("_n_user") != F.col("_n_stats"))).alias("is_na"),
@@ -173,7 +170,49 @@ def bloat_ratio(factors_with_padding: DataFrame) -> DataFrame:
 
 
 def table_bloat(attrs, classes, nsp, stats, settings, targets) -> DataFrame:
-    """The whole chain for a target set: factors, padding, ratio."""
+    """F1 targets -> bloat ratio in one pass (the flagship plan).
+
+    The separate operators above join attribute x class x namespace with the
+    statistics twice (LEFT for the factors, INNER for the widths) and
+    aggregate twice.  Here the LEFT join is done once and a single
+    ``groupBy(K, relid)`` computes the factors over the live columns and
+    collects the analysed widths for the padding fold, so the catalog is
+    shuffled once.  Tables of other kinds than r/m are cut before the join:
+    their padding would be discarded by the LEFT join from the factors (C11).
+    """
+    c = F.col
+    base = _attr_class_ns(attrs, classes, nsp, targets, BLOAT_RELKINDS)
+    j = base.join(_stats_on_names(stats), K + ["nspname", "relname", "attname"], "left")
+    live = ~c("attisdropped")
+    matched = c("stat_found").isNotNull()
+    nf = F.coalesce(c("null_frac"), F.lit(0.0))
+    g = j.groupBy(*K, c("attrelid").alias("relid")).agg(
+        F.first("relpages").alias("tblpages"),
+        F.first("reltuples").alias("reltuples"),
+        F.first(fillfactor(c("reloptions"))).alias("fillfactor"),
+        F.count(F.when(live, F.lit(1))).alias("_n_live"),
+        F.max(F.when(live, nf)).alias("_max_nf"),
+        F.count(F.when(live & matched, F.lit(1))).alias("_n_stats"),
+        F.bool_or(live & (c("attname") == "oid") & (c("attnum") < 0)).alias("_has_oid"),
+        F.sum(F.when(live, (1 - nf) * F.coalesce(c("avg_width"), F.lit(0)))).alias("_data"),
+        F.bool_or(live & (c("atttypname") == "name")).alias("_has_name"),
+        F.count(F.when(live & (c("attnum") > 0), F.lit(1))).alias("_n_user"),
+        F.array_sort(F.collect_list(F.when(matched, F.struct("attnum", "attalign", "avg_width")))).alias("cols"),
+    ).filter(c("_n_live") > 0)
+    s = settings.select(*K, c("block_size").cast("double").alias("bs"), max_alignment(c("version")).alias("ma"))
+    hdr = (F.lit(TUPLE_HEADER_BASE)
+           + F.when(c("_max_nf") > 0, (F.lit(7) + c("_n_stats")) / F.lit(8.0)).otherwise(F.lit(0))
+           + F.when(c("_has_oid"), F.lit(4)).otherwise(F.lit(0))).cast("double")
+    padding = F.when(F.size("cols") > 0, F.expr(_PADDING_FOLD).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    f = g.join(s, K).select(
+        *K, "relid", "tblpages", "reltuples", "bs", F.lit(PAGE_HEADER_SIZE).alias("page_hdr"), "fillfactor",
+        (c("_has_name") | (c("_n_user") != c("_n_stats"))).alias("is_na"),
+        F.round(c("_data"), 6).alias("tpl_data_size"), hdr.alias("tpl_hdr_size"), "ma", padding.alias("padding"))
+    return bloat_ratio(f)
+
+
+def table_bloat_stepwise(attrs, classes, nsp, stats, settings, targets) -> DataFrame:
+    """The same result composed from the separate operators (C12->D5, C5->D6, C11, H6)."""
     factors = bloat_factors(attrs, classes, nsp, stats, settings, targets)
     padding = tuple_padding(column_width_join(attrs, classes, nsp, stats, targets))
     return bloat_ratio(padding_default(factors, padding))

@@ -417,6 +417,7 @@ FROM (
 
 ORACLES["bloat_ratio"] = W(_RATIO, *_BLOAT_DEPS,
                            extra=[BT, _FACTOR_JOIN, _FACTORS, _width_join(True), _REC, _PADDING, _WITH_PAD])
+ORACLES["bloat_ratio_stepwise"] = ORACLES["bloat_ratio"]
 ORACLES["bloat_factors"] = W("SELECT * FROM fa", *_BLOAT_DEPS, extra=[BT, _FACTOR_JOIN, _FACTORS])
 ORACLES["factor_stats_join"] = W(f"SELECT {KC}, relid, attname, attnum, null_frac, avg_width FROM fj",
                                  *_BLOAT_DEPS, extra=[BT, _FACTOR_JOIN])

@@ -420,6 +420,12 @@ def q_bloat_ratio(spark, d):
     return BL.table_bloat(att, cls, ns, st, V.server_settings(spark, d), _bloat_targets(spark, d))
 
 
+@query("bloat_ratio_stepwise")
+def q_bloat_ratio_stepwise(spark, d):
+    att, cls, ns, st = _bloat_inputs(spark, d)
+    return BL.table_bloat_stepwise(att, cls, ns, st, V.server_settings(spark, d), _bloat_targets(spark, d))
+
+
 @query("bloat_factors")
 def q_bloat_factors(spark, d):
     att, cls, ns, st = _bloat_inputs(spark, d)
