@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import expr as X
-from fleetlens.functions.text import scrub_vacuum_query, truncate_lines
+from fleetlens.functions.text import scrub_vacuum_query, truncate_status
 from fleetlens.keys import K
 from fleetlens.operators import activity as A
 from fleetlens.operators import bloat as BL
@@ -303,7 +303,7 @@ def q_single_row_view(spark, d):
 @query("truncate_status_text")
 def q_truncate_status_text(spark, d):
     t = V.status_text(spark, d)
-    return t.select("doc_id", truncate_lines(F.col("text"), STATUS_HEAD, STATUS_TAIL).alias("status"))
+    return truncate_status(t, "text", "status", STATUS_HEAD, STATUS_TAIL).select("doc_id", "status")
 
 
 # ------------------------------------------------------------------ scalars --
