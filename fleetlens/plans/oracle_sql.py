@@ -441,3 +441,19 @@ SELECT db_key, bucket_number, bucket_number * 10.0 AS bucket_timer_low, (bucket_
     / sum(count_bucket) OVER (PARTITION BY db_key) AS bucket_quantile
 FROM (SELECT db_key, CAST(floor(value / 10.0) AS INTEGER) AS bucket_number, count(*)::BIGINT AS count_bucket
       FROM metric_samples GROUP BY ALL)""", "metric_samples")
+
+ORACLES["latency_histogram_mysql"] = W(f"""
+SELECT {KC}, bucket_number, bucket_number * 100.0 * 1e9 / 1e9 AS bucket_timer_low,
+  (bucket_number + 1) * 100.0 * 1e9 / 1e9 AS bucket_timer_high, count_bucket,
+  CAST(sum(count_bucket) OVER (PARTITION BY {KC} ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    AS BIGINT) AS count_bucket_and_lower,
+  sum(count_bucket) OVER (PARTITION BY {KC} ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    / sum(count_bucket) OVER (PARTITION BY {KC}) AS bucket_quantile
+FROM (SELECT {KC}, CAST(floor(TIMER_WAIT / (100.0 * 1e9)) AS INTEGER) AS bucket_number, count(*)::BIGINT AS count_bucket
+      FROM mysql_current_statements GROUP BY ALL)""", "mysql_current_statements")
+ORACLES["json_text"] = W(f"""
+SELECT {KC}, regexp_replace(regexp_replace(CAST(to_json(list({{'queryid': queryid, 'calls': calls,
+  'avg_time_ms': avg_time_ms}} ORDER BY queryid NULLS FIRST, calls, avg_time_ms)) AS VARCHAR),
+  '"queryid":null,', '', 'g'), ',"queryid":null', '', 'g') AS events_statements_summary_by_digest
+FROM (SELECT {KC}, coalesce(SCHEMA_NAME, 'NULL') || '_' || DIGEST AS queryid, COUNT_STAR AS calls,
+        round(AVG_TIMER_WAIT / 1000000000.0, 6) AS avg_time_ms FROM mysql_digests) GROUP BY ALL""", "mysql_digests")

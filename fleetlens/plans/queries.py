@@ -479,3 +479,22 @@ def q_metric_minute_avg(spark, d):
 @query("latency_histogram")
 def q_latency_histogram(spark, d):
     return R.latency_histogram(V.metric_samples(spark, d), 10.0)
+
+
+@query("latency_histogram_mysql")
+def q_latency_histogram_mysql(spark, d):
+    """D9 as MySQL serves it: buckets of statement timers in picoseconds, bounds scaled to ms."""
+    st = V.mysql_current_statements(spark, d).select(*K, "TIMER_WAIT")
+    hist = R.latency_histogram(st, 100.0 * 1e9, keys=K, value="TIMER_WAIT")
+    return R.histogram_ps_to_ms(hist)
+
+
+@query("json_text")
+def q_json_text(spark, d):
+    """H8: the statement digests of each snapshot as one JSON array text (bounded by the
+    engine's digest table size), in queryid order."""
+    lat = ST.statement_latency_mysql(V.mysql_digests(spark, d))
+    rec = F.struct("queryid", "calls", "avg_time_ms")
+    g = lat.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(F.col("queryid").alias("k"), F.col("calls").alias("c"),
+                                                                 rec.alias("r")))).alias("_l"))
+    return g.select(*K, F.to_json(F.transform("_l", lambda e: e["r"])).alias("events_statements_summary_by_digest"))
