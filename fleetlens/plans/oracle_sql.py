@@ -433,7 +433,8 @@ ORACLES["metric_minute_avg"] = W("""
 SELECT db_key, metric, time_bucket(INTERVAL 60 SECOND, ts) AS period_start, avg(value) AS avg_value,
   count(*)::BIGINT AS samples FROM metric_samples GROUP BY ALL""", "metric_samples")
 ORACLES["latency_histogram"] = W("""
-SELECT db_key, bucket_number, bucket_number * 10.0 AS bucket_timer_low, (bucket_number + 1) * 10.0 AS bucket_timer_high,
+SELECT db_key, bucket_number, CAST(bucket_number * 10.0 AS DOUBLE) AS bucket_timer_low,
+  CAST((bucket_number + 1) * 10.0 AS DOUBLE) AS bucket_timer_high,
   count_bucket,
   CAST(sum(count_bucket) OVER (PARTITION BY db_key ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
     AS count_bucket_and_lower,

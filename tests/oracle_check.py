@@ -68,6 +68,27 @@ def _rows(cols, records):
     return out
 
 
+def _family(t: str) -> str:
+    t = t.lower()
+    for fam, keys in (("list", ("array", "[]", "list")), ("struct", ("struct",)), ("map", ("map",)),
+                      ("timestamp", ("timestamp",)), ("bool", ("bool",)), ("string", ("string", "varchar", "json")),
+                      ("int", ("bigint", "int", "long", "short", "tinyint", "smallint", "hugeint")),
+                      ("float", ("double", "float", "real", "decimal"))):
+        if any(k in t for k in keys):
+            return fam
+    return t
+
+
+def type_mismatches(spark_df, sql: str, con) -> list:
+    d = {c[0]: str(c[1]) for c in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    out = []
+    for f in spark_df.schema.fields:
+        a, b = _family(f.dataType.simpleString()), _family(d.get(f.name, "?"))
+        if a != b:
+            out.append((f.name, f.dataType.simpleString(), d.get(f.name)))
+    return out
+
+
 def compare(spark_df, sql: str, con) -> tuple[bool, str]:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -85,6 +106,9 @@ def compare(spark_df, sql: str, con) -> tuple[bool, str]:
                 names = sorted(s_cols)
                 diff = [(names[i], x[i], y[i]) for i in range(len(x)) if x[i] != y[i]]
                 return False, f"values differ ({len(s_rows)} rows), first: {diff[:4]}"
+    tm = type_mismatches(spark_df, sql, con)
+    if tm:
+        return True, f"{len(s_rows)} rows, TYPE FAMILY DIFF {tm}"
     return True, f"{len(s_rows)} rows"
 
 
