@@ -109,8 +109,11 @@ def catalog_lookup(instances: DataFrame, catalog: DataFrame,
     ``instances``: (db_key, engine, version, cluster_id).
     """
     inst = instances.withColumn("engine_key", engine_version_key(F.col("engine"), F.col("version")))
-    cat = broadcast_if_small(catalog, max_broadcast_rows)
-    j = inst.join(cat, "engine_key")
+    cat = broadcast_if_small(catalog, max_broadcast_rows).withColumnRenamed("engine_key", "_ck")
+    # The key is a long CASE expression; a plain equality would let the optimizer infer
+    # IS NOT NULL(key) and copy the whole expression below the aggregation into the scan.
+    # The null-safe comparison (the key is never NULL) keeps it computed once per instance.
+    j = inst.join(cat, inst["engine_key"].eqNullSafe(cat["_ck"])).drop("_ck")
     return j.filter((F.col("level") == "instance") | (F.coalesce(F.col("cluster_id"), F.lit("")) != "")) \
         .select("db_key", "engine_key", "level", "metric").distinct()
 
