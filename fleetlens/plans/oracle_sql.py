@@ -251,8 +251,8 @@ FROM (SELECT {KC}, {_tot(["innodb_buffer_pool_reads"])} AS reads,
 ORACLES["user_set_parameters"] = W(f"""
 SELECT DISTINCT {KC}, name FROM knob_rows WHERE source = 'user' AND name IS NOT NULL""", "knob_rows")
 ORACLES["single_row_view"] = W(f"""
-SELECT {KC}, 'pg_stat_database' AS view, count(*)::BIGINT AS n_rows FROM pg_stat_database GROUP BY ALL
-HAVING count(*) <> 1""", "pg_stat_database")
+SELECT {KC}, 'pg_stat_bgwriter' AS view, count(*)::BIGINT AS n_rows FROM pg_stat_bgwriter GROUP BY ALL
+HAVING count(*) <> 1""", "pg_stat_bgwriter")
 
 # ------------------------------------------------------------------ text -----
 _BREAKS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"

@@ -294,9 +294,8 @@ def q_user_set_parameters(spark, d):
 
 @query("single_row_view")
 def q_single_row_view(spark, d):
-    # pg_stat_bgwriter stand-in: one row per database of pg_stat_database must hold
-    db = V.pg_stat_database(spark, d).select(*K, "datname", "numbackends")
-    return SS.single_row_view(db, "pg_stat_database").select(*K, "view", "n_rows")
+    """A5: snapshots whose pg_stat_bgwriter does not have exactly one row."""
+    return SS.single_row_view(V.pg_stat_bgwriter(spark, d), "pg_stat_bgwriter").select(*K, "view", "n_rows")
 
 
 # ------------------------------------------------------------------ text -----

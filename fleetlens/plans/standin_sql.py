@@ -274,6 +274,16 @@ SELECT {_k("concat('db', o_custkey % 10)")}, concat('d', o_custkey) AS datname,
   count_if(o_orderkey % 37 = 0)::BIGINT AS confl_deadlock
 FROM orders GROUP BY o_custkey""", ())
 
+S["pg_stat_bgwriter"] = (f"""
+WITH one AS (
+  SELECT {_k("concat('db', m)")}, checkpoints_timed, checkpoints_req, buffers_max FROM (
+    SELECT o_custkey % 10 AS m, count(*)::BIGINT AS checkpoints_timed,
+      CAST(sum(o_orderkey % 7) AS BIGINT) AS checkpoints_req, max(o_totalprice) AS buffers_max
+    FROM orders GROUP BY 1))
+SELECT * FROM one
+UNION ALL
+SELECT {KCOLS}, checkpoints_timed + 1, checkpoints_req, buffers_max FROM one WHERE db_key = 'db3'""", ())
+
 # ---- activity (V6, V8)
 S["pg_stat_activity"] = (f"""
 SELECT {_k("concat('db', o_custkey % 10)")},

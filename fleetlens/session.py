@@ -39,9 +39,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
+        _set_rdd_checkpoint_dir(spark, conf)
         return conf
     path = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # a session that refuses runtime changes still gets the path
+        pass
+    _set_rdd_checkpoint_dir(spark, path)
     return path
+
+
+def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # no SparkContext (remote session): DataFrame checkpoints use the conf
+        pass

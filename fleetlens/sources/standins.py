@@ -598,6 +598,19 @@ def pg_stat_database(spark: SparkSession, d: str) -> DataFrame:
                     *[x for x in g.columns if x != "o_custkey"])
 
 
+def pg_stat_bgwriter(spark: SparkSession, d: str) -> DataFrame:
+    """A global view: one row per database snapshot; database db3 reports it twice."""
+    o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    c = F.col
+    g = o.groupBy((c("o_custkey") % 10).alias("m")).agg(
+        F.count(F.lit(1)).alias("checkpoints_timed"), F.sum(c("o_orderkey") % 7).alias("checkpoints_req"),
+        F.max("o_totalprice").alias("buffers_max"))
+    one = g.select(*key(F.concat(F.lit("db"), c("m").cast("string"))), "checkpoints_timed", "checkpoints_req",
+                   "buffers_max")
+    dup = one.filter(c("db_key") == "db3").withColumn("checkpoints_timed", c("checkpoints_timed") + 1)
+    return one.unionByName(dup)
+
+
 # ---------------------------------------------------------------- V6 / V8 ------
 
 def pg_stat_activity(spark: SparkSession, d: str) -> DataFrame:
