@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import expr as X
 from fleetlens.functions.text import scrub_vacuum_query, truncate_lines
-from fleetlens.keys import K
 from fleetlens.operators import bloat as BL
 from fleetlens.operators import observations as O
 from fleetlens.operators import status as SS
