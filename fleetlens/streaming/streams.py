@@ -99,7 +99,8 @@ def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
 
 # I5 ----------------------------------------------------------------------------
 def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: list, name: str,
-                             watermark: str = "2 hours", trigger: dict | None = None) -> DataFrame:
+                             watermark: str = "2 hours", trigger: dict | None = None,
+                             max_files: int | None = None) -> DataFrame:
     """Per-snapshot aggregates (D1-D3) as snapshot rows arrive.
 
     ``snapshots`` is a batch relation carrying K; it is landed as files and
@@ -108,7 +109,7 @@ def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: li
     """
     base = work_dir(spark, name)
     src = materialize(snapshots, f"{base}/input")
-    s = _event_time(file_stream(spark, src, snapshots.schema), "observation_time")
+    s = _event_time(file_stream(spark, src, snapshots.schema, max_files), "observation_time")
     agg = s.withWatermark("observation_time", watermark).groupBy(*K).agg(*aggs)
     run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
     out = read_latest(spark, f"{base}/out", K)
@@ -117,11 +118,12 @@ def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: li
 
 # I1 ----------------------------------------------------------------------------
 def latest_metric_stream(spark: SparkSession, samples: DataFrame, now: str, window_s: int, period_s: int,
-                         watermark: str = "1 hour", trigger: dict | None = None) -> DataFrame:
+                         watermark: str = "1 hour", trigger: dict | None = None,
+                         max_files: int | None = None) -> DataFrame:
     """Period averages maintained by a stream; the newest period in the window wins."""
     base = work_dir(spark, "latest_metric")
     src = materialize(samples, f"{base}/input")
-    s = _event_time(file_stream(spark, src, samples.schema), "ts")
+    s = _event_time(file_stream(spark, src, samples.schema, max_files), "ts")
     w = F.window("ts", f"{period_s} seconds")
     agg = s.withWatermark("ts", watermark).groupBy("db_key", "metric", w.alias("w")) \
         .agg(F.avg("value").alias("avg_value"))
