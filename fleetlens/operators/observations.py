@@ -43,6 +43,17 @@ def _md5_bucket(text: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
 
 
+def with_pages(df: DataFrame, order: Sequence[str], page_rows: int = DEFAULT_PAGE_ROWS,
+               keys: Sequence[str] = K) -> DataFrame:
+    """Add ``page``: a group with n rows gets ceil(n / page_rows) pages, rows
+    are spread by an md5 of their order key (deterministic, reproducible in SQL)."""
+    c = F.col
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(page_rows))).alias("_pages"))
+    keytxt = F.concat_ws("\u0001", *[c(o).cast("string") for o in order])
+    return df.join(counts, keys).withColumn("page", _md5_bucket(keytxt, c("_pages"))).drop("_pages")
+
+
 def envelope_pack(df: DataFrame, item: str, cols: Sequence[str], order: Sequence[str],
                   page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
     """Rows -> ``{columns, rows}`` JSON per (K, item, page), rows sorted by ``order``.
@@ -53,12 +64,9 @@ def envelope_pack(df: DataFrame, item: str, cols: Sequence[str], order: Sequence
     ordered and the pages are disjoint.
     """
     c = F.col
-    counts = df.groupBy(*K).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(page_rows))).alias("_pages"))
-    keytxt = F.concat_ws("\u0001", *[c(o).cast("string") for o in order])
     row = F.array(*[c(x).cast("string") for x in cols])
-    paged = df.join(counts, K).select(*K, _md5_bucket(keytxt, c("_pages")).alias("page"),
-                                      F.struct(*[c(o).alias(f"_o{i}") for i, o in enumerate(order)],
-                                               row.alias("_row")).alias("_e"))
+    paged = with_pages(df, order, page_rows).select(
+        *K, "page", F.struct(*[c(o).alias(f"_o{i}") for i, o in enumerate(order)], row.alias("_row")).alias("_e"))
     g = paged.groupBy(*K, "page").agg(F.array_sort(F.collect_list("_e")).alias("_l"),
                                       F.count(F.lit(1)).alias("n_rows"))
     doc = F.struct(F.array(*[F.lit(x) for x in cols]).alias("columns"),
@@ -66,6 +74,19 @@ def envelope_pack(df: DataFrame, item: str, cols: Sequence[str], order: Sequence
     return g.select(*K, F.lit(item).alias("item"), "page", "n_rows", F.to_json(doc).alias("payload"))
 
 
+def records_json(df: DataFrame, cols: Sequence, order: Sequence[str], alias: str,
+                 page_rows: int = DEFAULT_PAGE_ROWS, keys: Sequence[str] = K) -> DataFrame:
+    """H8: records as JSON array text per (keys, page), NULL fields omitted, sorted by ``order``."""
+    c = F.col
+    keys = list(keys)
+    paged = with_pages(df, order, page_rows, keys).select(
+        *keys, "page", F.struct(*[c(o).alias(f"_o{i}") for i, o in enumerate(order)],
+                                F.struct(*cols).alias("_r")).alias("_e"))
+    g = paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list("_e")).alias("_l"),
+                                         F.count(F.lit(1)).alias("n_rows"))
+    return g.select(*keys, "page", "n_rows", F.to_json(F.transform("_l", lambda e: e["_r"])).alias(alias))
+
+
 # A7 / C15 -----------------------------------------------------------------------
 CATALOG_FILE_PATTERN = r"cloudwatch_metrics(_cluster)?/rds_([a-z_]+)-([0-9_]+)\.json$"
 
@@ -193,16 +214,15 @@ def agent_heartbeat(errors: DataFrame, activity: DataFrame, interval_s: int = 60
                     n.alias("n_errors"))
 
 
-def pack_errors(errors_long: DataFrame) -> DataFrame:
-    """Error list of each beat as the document's array (ordered by time, id).
+def pack_errors(errors_long: DataFrame, page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
+    """The error list of each beat as the document's JSON array (time, id order).
 
-    Only for assembling a heartbeat document: the list length is the number of
-    errors of one interval of one agent.
+    Errors of one interval of one agent are paged like every other list, so a
+    burst of errors never becomes one unbounded group.
     """
-    e = F.struct(F.col("timestamp").alias("_t"), F.col("error_id").alias("_i"),
-                 F.struct(F.struct("name", "message", "stacktrace").alias("data"), "timestamp").alias("_e"))
-    g = errors_long.groupBy("organization_id", "db_key", "heartbeat_time").agg(F.array_sort(F.collect_list(e)).alias("_l"))
-    return g.select("organization_id", "db_key", "heartbeat_time", F.transform("_l", lambda x: x["_e"]).alias("errors"))
+    rec = [F.struct("name", "message", "stacktrace").alias("data"), F.col("timestamp")]
+    return records_json(errors_long, rec, ["timestamp", "error_id"], "errors", page_rows,
+                        keys=["organization_id", "db_key", "heartbeat_time"])
 
 
 # A8 - A10 -----------------------------------------------------------------------

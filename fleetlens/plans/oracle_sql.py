@@ -453,8 +453,16 @@ SELECT {KC}, bucket_number, bucket_number * 100.0 * 1e9 / 1e9 AS bucket_timer_lo
 FROM (SELECT {KC}, CAST(floor(TIMER_WAIT / (100.0 * 1e9)) AS INTEGER) AS bucket_number, count(*)::BIGINT AS count_bucket
       FROM mysql_current_statements GROUP BY ALL)""", "mysql_current_statements")
 ORACLES["json_text"] = W(f"""
-SELECT {KC}, regexp_replace(regexp_replace(CAST(to_json(list({{'queryid': queryid, 'calls': calls,
-  'avg_time_ms': avg_time_ms}} ORDER BY queryid NULLS FIRST, calls, avg_time_ms)) AS VARCHAR),
-  '"queryid":null,', '', 'g'), ',"queryid":null', '', 'g') AS events_statements_summary_by_digest
-FROM (SELECT {KC}, coalesce(SCHEMA_NAME, 'NULL') || '_' || DIGEST AS queryid, COUNT_STAR AS calls,
-        round(AVG_TIMER_WAIT / 1000000000.0, 6) AS avg_time_ms FROM mysql_digests) GROUP BY ALL""", "mysql_digests")
+SELECT {KC}, page, count(*)::BIGINT AS n_rows,
+  regexp_replace(regexp_replace(CAST(to_json(list({{'queryid': queryid, 'calls': calls, 'avg_time_ms': avg_time_ms}}
+    ORDER BY queryid NULLS FIRST, FIRST_SEEN)) AS VARCHAR), '"queryid":null,', '', 'g'), ',"queryid":null', '', 'g')
+    AS events_statements_summary_by_digest
+FROM (
+  SELECT *, CAST(('0x' || substr(md5(concat_ws(chr(1), queryid, CAST(FIRST_SEEN AS VARCHAR))), 1, 8))::BIGINT % pages
+    AS BIGINT) AS page
+  FROM (
+    SELECT {KC}, coalesce(SCHEMA_NAME, 'NULL') || '_' || DIGEST AS queryid, COUNT_STAR AS calls,
+      round(AVG_TIMER_WAIT / 1000000000.0, 6) AS avg_time_ms, FIRST_SEEN,
+      CAST(ceil(count(*) OVER (PARTITION BY {KC}) / {float(Q.JSON_PAGE_ROWS)}) AS BIGINT) AS pages
+    FROM mysql_digests))
+GROUP BY ALL""", "mysql_digests")

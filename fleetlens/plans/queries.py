@@ -37,6 +37,7 @@ LR_MINUTES_PG = 25 * 365 * 24 * 60          # the activity stand-in is measured
 LR_MINUTES_MYSQL = 2
 N_BLOAT_TABLES = 100
 STATUS_HEAD, STATUS_TAIL = 5, 10
+JSON_PAGE_ROWS = 50
 
 
 def query(name: str):
@@ -490,10 +491,13 @@ def q_latency_histogram_mysql(spark, d):
 
 @query("json_text")
 def q_json_text(spark, d):
-    """H8: the statement digests of each snapshot as one JSON array text (bounded by the
-    engine's digest table size), in queryid order."""
-    lat = ST.statement_latency_mysql(V.mysql_digests(spark, d))
-    rec = F.struct("queryid", "calls", "avg_time_ms")
-    g = lat.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(F.col("queryid").alias("k"), F.col("calls").alias("c"),
-                                                                 rec.alias("r")))).alias("_l"))
-    return g.select(*K, F.to_json(F.transform("_l", lambda e: e["r"])).alias("events_statements_summary_by_digest"))
+    """H8: the statement digests of each snapshot as JSON array text, in pages of
+    at most about JSON_PAGE_ROWS records, ordered by queryid and first-seen time."""
+    from fleetlens.functions.expr import mysql_statement_key, ps_to_ms
+    from fleetlens.operators.observations import records_json
+    dg = V.mysql_digests(spark, d)
+    lat = dg.select(*K, mysql_statement_key("SCHEMA_NAME", "DIGEST").alias("queryid"),
+                    F.col("COUNT_STAR").alias("calls"),
+                    F.round(ps_to_ms(F.col("AVG_TIMER_WAIT")), 6).alias("avg_time_ms"), "FIRST_SEEN")
+    return records_json(lat, ["queryid", "calls", "avg_time_ms"], ["queryid", "FIRST_SEEN"],
+                        "events_statements_summary_by_digest", JSON_PAGE_ROWS)

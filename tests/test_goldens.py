@@ -237,4 +237,5 @@ def test_heartbeat_statuses(spark):
     assert got == [("2024-01-01 01:00:00", "error", 1), ("2024-01-01 02:00:00", "ok", 0),
                    ("2024-01-01 03:00:00", "ok", 0), ("2024-01-01 04:00:00", "terminating_error", 1)]
     errs = O.pack_errors(O.heartbeat_errors(err, act, 3600)).orderBy("heartbeat_time").collect()
-    assert [len(r["errors"]) for r in errs] == [1, 1]
+    assert [r["n_rows"] for r in errs] == [1, 1]
+    assert errs[0]["errors"].startswith('[{"data":{"name":"E","message":"m","stacktrace":"s"},"timestamp":')
