@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -39,6 +40,8 @@ def _norm(v):
         f = float(v)
         if f == 0:
             return 0.0
+        if os.environ.get("ORACLE_STRICT"):
+            return f
         return float(f"{f:.9g}")
     if isinstance(v, (np.integer,)):
         return int(v)
