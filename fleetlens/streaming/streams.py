@@ -56,9 +56,23 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def _event_time(df: DataFrame, col: str) -> DataFrame:
-    # withWatermark needs TIMESTAMP; landed parquet gives TIMESTAMP_NTZ
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+    """withWatermark needs TIMESTAMP; landed parquet gives wall-clock TIMESTAMP_NTZ.
+
+    The wall time is read as UTC (not in the session time zone), so event-time
+    windows align with the batch forms whatever the session zone is.
+    """
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.col(col))
+    return df.withColumn(col, F.timestamp_micros(micros))
+
+
+def _wall_time(col) -> "F.Column":
+    """Inverse of ``_event_time``: an instant back to UTC wall-clock TIMESTAMP_NTZ."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, ckpt: str,
@@ -113,7 +127,7 @@ def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: li
     agg = s.withWatermark("observation_time", watermark).groupBy(*K).agg(*aggs)
     run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
     out = read_latest(spark, f"{base}/out", K)
-    return out.withColumn("observation_time", F.col("observation_time").cast("timestamp_ntz"))
+    return out.withColumn("observation_time", _wall_time("observation_time"))
 
 
 # I1 ----------------------------------------------------------------------------
@@ -127,7 +141,7 @@ def latest_metric_stream(spark: SparkSession, samples: DataFrame, now: str, wind
     w = F.window("ts", f"{period_s} seconds")
     agg = s.withWatermark("ts", watermark).groupBy("db_key", "metric", w.alias("w")) \
         .agg(F.avg("value").alias("avg_value"))
-    agg = agg.select("db_key", "metric", F.col("w.start").cast("timestamp_ntz").alias("period_start"), "avg_value")
+    agg = agg.select("db_key", "metric", _wall_time(F.col("w.start")).alias("period_start"), "avg_value")
     run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
     per = read_latest(spark, f"{base}/out", ["db_key", "metric", "period_start"])
     now_ts = F.lit(now).cast("timestamp_ntz")
@@ -151,7 +165,7 @@ def heartbeat_error_stream(spark: SparkSession, errors: DataFrame, activity: Dat
         .agg(F.count(F.lit(1)).alias("n_errors"))
     run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
     per = read_latest(spark, f"{base}/out", ["organization_id", "db_key", "heartbeat_time"]) \
-        .withColumn("heartbeat_time", F.col("heartbeat_time").cast("timestamp_ntz"))
+        .withColumn("heartbeat_time", _wall_time("heartbeat_time"))
     beats = heartbeat_beats(activity, interval_s)
     j = beats.join(per, ["organization_id", "db_key", "heartbeat_time"], "left")
     n = F.coalesce(F.col("n_errors"), F.lit(0).cast("bigint"))

@@ -30,3 +30,15 @@ def test_latest_metric_stream_many_batches(spark):
 def test_streams_write_below_checkpoint_dir(spark):
     base = S.work_dir(spark, "probe")
     assert base.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
+
+
+def test_stream_windows_do_not_depend_on_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        now = "2024-01-31 00:00:00"
+        stream = S.latest_metric_stream(spark, V.metric_samples(spark, SF_SMALL), now, 86400, 3600)
+        batch = O.latest_metric(V.metric_samples(spark, SF_SMALL), None, now, 86400, 3600)
+        assert _same(stream.select(*batch.columns), batch)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
