@@ -40,6 +40,11 @@ def _class_ns(cls: DataFrame, nsp: DataFrame) -> DataFrame:
     return cls.join(ns, K + ["relnamespace"], "left")
 
 
+def multi_matches(df: DataFrame, keys) -> DataFrame:
+    """C2 check: keys of a lookup that would match more than once (should be empty)."""
+    return df.groupBy(*keys).count().filter(F.col("count") > 1)
+
+
 def column_inventory(att: DataFrame, cls: DataFrame, nsp: DataFrame, attrdef: DataFrame, types: DataFrame,
                      coll: DataFrame, with_generated: bool = True) -> DataFrame:
     """C1 + C2: user columns of user relations with type, default and collation.

@@ -77,8 +77,13 @@ def _wall_time(col) -> "F.Column":
 
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, ckpt: str,
         output_mode: str = "update", trigger: dict | None = None, path: str | None = None,
-        fmt: str = "parquet", partition_by=None, options: dict | None = None) -> None:
-    """Start a query with a checkpoint and wait until it has drained its input."""
+        fmt: str = "parquet", partition_by=None, options: dict | None = None, block: bool = True):
+    """Start a query with a checkpoint.
+
+    With the default ``availableNow`` trigger it drains its input and returns;
+    with a ``processingTime`` trigger (the polling intervals) pass
+    ``block=False`` to get the running ``StreamingQuery`` back.
+    """
     w = stream.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode)
     w = w.trigger(**(trigger or {"availableNow": True}))
     if sink is not None:
@@ -91,7 +96,10 @@ def run(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, ckpt:
         if partition_by:
             w = w.partitionBy(*partition_by)
         q = w.start(path)
+    if not block:
+        return q
     q.awaitTermination()
+    return q
 
 
 def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:

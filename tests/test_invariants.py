@@ -54,3 +54,25 @@ def test_entry_smoke(spark):
     assert df.columns == ["organization_id", "db_key", "logical_database_name", "observation_time", "relid",
                           "bloat_ratio"]
     assert df.count() > 0
+
+
+def test_column_lookups_match_at_most_once(spark):
+    from fleetlens.operators.inventory import multi_matches
+    assert multi_matches(V.catalog_attrdef(spark, SF_SMALL), K + ["adrelid", "adnum"]).count() == 0
+    assert multi_matches(V.catalog_collation(spark, SF_SMALL), K + ["oid"]).count() == 0
+    assert multi_matches(V.catalog_type(spark, SF_SMALL), K + ["oid"]).count() == 0
+
+
+def test_stream_with_processing_time_trigger_runs_until_stopped(spark):
+    from fleetlens.streaming import streams as S
+    base = S.work_dir(spark, "pt")
+    src = S.materialize(V.pg_stat_user_tables(spark, SF_SMALL), f"{base}/input")
+    s = S.file_stream(spark, src, V.pg_stat_user_tables(spark, SF_SMALL).schema)
+    q = S.run(s.groupBy(*K).count(), S.versioned_sink(f"{base}/out"), f"{base}/ckpt", "update",
+              {"processingTime": "1 second"}, block=False)
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{base}/out").count() > 0
