@@ -354,10 +354,12 @@ S["catalog_am"] = (f"""
 SELECT {_K0}, oid, CASE WHEN oid = 403 THEN 'btree' ELSE 'hash' END AS amname FROM (
   SELECT DISTINCT CAST(CASE WHEN p_size % 2 = 0 THEN 403 ELSE 405 END AS BIGINT) AS oid FROM part)""", ())
 
-_ATTNUM = "CAST(CASE WHEN s_suppkey % 13 = 0 THEN -(s_suppkey // 25 + 1) ELSE s_suppkey // 25 + 1 END AS INTEGER)"
+_ATTNUM = ("CAST(CASE WHEN s_suppkey % 13 = 0 THEN -((s_suppkey % 1000) // 25 + 1) "
+           "ELSE (s_suppkey % 1000) // 25 + 1 END AS INTEGER)")
+_ATTRELID = "s_suppkey % 25 + 25 * (s_suppkey // 1000)"
 
 S["catalog_attribute"] = (f"""
-SELECT {_K0}, s_suppkey % 25 AS attrelid, {_ATTNUM} AS attnum,
+SELECT {_K0}, {_ATTRELID} AS attrelid, {_ATTNUM} AS attnum,
   lower(replace(s_name, '#', '_')) AS attname, s_suppkey % 3 AS atttypid, s_suppkey % 4 AS attcollation,
   s_suppkey % 11 = 0 AS attisdropped, s_acctbal > 0 AS attnotnull,
   CAST(CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_suppkey % 100 END AS INTEGER) AS attstattarget,
@@ -368,7 +370,7 @@ SELECT {_K0}, s_suppkey % 25 AS attrelid, {_ATTNUM} AS attnum,
 FROM supplier""", ())
 
 S["catalog_attrdef"] = (f"""
-SELECT {_K0}, s_suppkey % 25 AS adrelid, {_ATTNUM} AS adnum,
+SELECT {_K0}, {_ATTRELID} AS adrelid, {_ATTNUM} AS adnum,
   concat('nextval(''seq_', s_suppkey, '''::regclass)') AS adsrc
 FROM supplier WHERE s_suppkey % 2 = 0""", ())
 

@@ -753,14 +753,24 @@ def catalog_am(spark: SparkSession, d: str) -> DataFrame:
                      F.when(F.col("oid") == 403, F.lit("btree")).otherwise(F.lit("hash")).alias("amname"))
 
 
+def _attrelid() -> Column:
+    # 25 tables per block of 1,000 suppliers: a table never has more than 40 columns
+    return F.expr("s_suppkey % 25 + 25 * (s_suppkey div 1000)")
+
+
+def _attnum_abs() -> Column:
+    return F.expr("(s_suppkey % 1000) div 25") + 1
+
+
 def catalog_attribute(spark: SparkSession, d: str) -> DataFrame:
-    """pg_attribute from supplier: table s_suppkey % 25, column number s_suppkey div 25 + 1."""
+    """pg_attribute from supplier: 25 tables per 1,000 suppliers, at most 40 columns each
+    (the engine bounds columns per table; the stand-in keeps that bound at every scale)."""
     s = read_table(spark, d, "supplier", "s_suppkey", "s_name", "s_acctbal")
     c = F.col
-    num = F.expr("s_suppkey div 25") + 1
+    num = _attnum_abs()
     return s.select(
         *key(F.lit("db0")),
-        (c("s_suppkey") % 25).alias("attrelid"),
+        _attrelid().alias("attrelid"),
         F.when(c("s_suppkey") % 13 == 0, -num).otherwise(num).cast("int").alias("attnum"),
         F.lower(F.regexp_replace("s_name", "#", "_")).alias("attname"),
         (c("s_suppkey") % 3).alias("atttypid"),
@@ -779,10 +789,10 @@ def catalog_attribute(spark: SparkSession, d: str) -> DataFrame:
 def catalog_attrdef(spark: SparkSession, d: str) -> DataFrame:
     s = read_table(spark, d, "supplier", "s_suppkey").filter(F.col("s_suppkey") % 2 == 0)
     c = F.col
-    num = F.expr("s_suppkey div 25") + 1
+    num = _attnum_abs()
     return s.select(
         *key(F.lit("db0")),
-        (c("s_suppkey") % 25).alias("adrelid"),
+        _attrelid().alias("adrelid"),
         F.when(c("s_suppkey") % 13 == 0, -num).otherwise(num).cast("int").alias("adnum"),
         F.concat(F.lit("nextval('seq_"), c("s_suppkey").cast("string"), F.lit("'::regclass)")).alias("adsrc"),
     )
