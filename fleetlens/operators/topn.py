@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 from fleetlens.keys import K
 
 DEFAULT_SALTS = 16
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def ensure_group_limit(spark, n: int) -> None:
+    """Make Spark insert the per-partition ``WindowGroupLimit`` for a limit of ``n``.
+
+    The optimizer only adds it when n <= the threshold (1,000 by default); the
+    agent's limits go up to 10,000 (indexes, statements).  Without it a hot
+    snapshot's rows would be sorted whole before the filter.
+    """
+    cur = int(spark.conf.get(GROUP_LIMIT_CONF, "1000"))
+    if n > cur:
+        spark.conf.set(GROUP_LIMIT_CONF, str(n))
 
 
 def top_n_per_key(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str] = K,
@@ -29,6 +42,7 @@ def top_n_per_key(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence
     sub-groups; without it the single-stage window is used.
     """
     keys = list(keys)
+    ensure_group_limit(df.sparkSession, n)
     out = df
     if salt_by and salts > 1:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts))

@@ -863,7 +863,7 @@ def catalog_views(spark: SparkSession, d: str) -> DataFrame:
            .when(c("r_regionkey") == 1, F.lit("pg_toast_1"))
            .when(c("r_regionkey") == 4, F.lit("information_schema"))
            .otherwise(F.lower("r_name")))
-    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)  # region: 5 rows at every scale
     return j.select(*key(F.lit("db0")), nsp.alias("schemaname"), F.lower("n_name").alias("viewname"),
                     F.lit("postgres").alias("viewowner"),
                     F.concat(F.lit(" SELECT * FROM region WHERE r_regionkey = "), c("n_regionkey").cast("string"))

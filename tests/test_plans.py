@@ -49,3 +49,12 @@ def test_flagship_joins_statistics_once(spark):
     # one LEFT OUTER join with the column statistics instead of a LEFT and an INNER one
     assert fused.count("LeftOuter") < stepwise.count("LeftOuter") + stepwise.count("Inner")
     assert fused.count("Scan parquet") < stepwise.count("Scan parquet")
+
+
+def test_large_limits_still_limit_before_shuffle(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.operators import topn as T
+    from fleetlens.sources import standins as V
+    ts = V.pg_stat_user_tables(spark, SF_SMALL)
+    top = T.top_n_per_key(ts, 10000, [F.col("n_live_tup").desc(), F.col("relid")], salt_by=["relid"])
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
