@@ -209,11 +209,11 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 def landing_stream(spark: SparkSession, obs: DataFrame, trigger: dict | None = None) -> DataFrame:
     """Documents appended to the landing zone as they arrive (A8 layout, gzip JSON)."""
-    from fleetlens.operators.observations import landing_columns, read_landing
+    from fleetlens.operators.observations import landing_layout, read_landing
 
     base = work_dir(spark, "landing")
     src = materialize(obs, f"{base}/input")
-    s = landing_columns(file_stream(spark, src, obs.schema)).drop("object_key")
+    s = landing_layout(file_stream(spark, src, obs.schema))
     run(s, None, f"{base}/ckpt", "append", trigger, path=f"{base}/zone", fmt="json",
         partition_by=["organization_id", "db_key", "type_dir", "dt", "hr"],
         options={"compression": "gzip", "timestampNTZFormat": TS_FORMAT})
