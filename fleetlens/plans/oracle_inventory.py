@@ -11,8 +11,10 @@ _CAT = ("catalog_attribute", "catalog_class", "catalog_namespace", "catalog_attr
         "catalog_collation", "catalog_index", "catalog_am", "catalog_constraint", "catalog_views")
 P = lambda a: ", ".join(f"{a}.{c}" for c in KC.split(", "))
 
-ORACLES["user_schemas_pg"] = W(f"SELECT * FROM catalog_namespace WHERE {_USER.format(c='nspname')}",
-                               "catalog_namespace")
+ORACLES["user_schemas_pg"] = W(f"""
+SELECT {P("c")}, c.oid, c.relname, n.nspname
+FROM catalog_class c LEFT JOIN catalog_namespace n ON {KEQ("c", "n")} AND n.oid = c.relnamespace
+WHERE {_USER.format(c="n.nspname")}""", "catalog_class", "catalog_namespace")
 ORACLES["live_columns"] = W(f"SELECT {KC}, attrelid, attnum, attname FROM catalog_attribute "
                             "WHERE attnum > 0 AND NOT attisdropped", "catalog_attribute")
 

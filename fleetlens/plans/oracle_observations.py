@@ -9,8 +9,8 @@ from fleetlens.plans.standin_sql import OBS
 from fleetlens.plans.standin_sql import with_standins as W
 
 ORACLES["envelope_explode"] = W(f"""
-SELECT 'org0' AS organization_id, concat('db', n_regionkey) AS db_key, 'db0' AS logical_database_name,
-  {OBS} AS observation_time, 'nation' AS item, n_nationkey, n_name FROM nation""")
+SELECT 'org0' AS organization_id, concat('db', s_nationkey % 5) AS db_key, 'db0' AS logical_database_name,
+  {OBS} AS observation_time, 'supplier' AS item, s_suppkey, s_name, s_nationkey FROM supplier""")
 
 ORACLES["envelope_pack"] = W(
     pack_sql("pk", "pg_stat_user_tables_all_fields", QO.PG_TABLE_COLUMNS, ["relid"], QO.TABLE_PAGE_ROWS),

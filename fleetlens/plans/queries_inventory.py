@@ -21,7 +21,11 @@ def _pg(spark, d):
 
 @query("user_schemas_pg")
 def q_user_schemas_pg(spark, d):
-    return INV.user_schemas_pg(V.catalog_namespace(spark, d))
+    """B1 on every relation of the catalog: relations in user schemas (NULL schema dropped)."""
+    cls = V.catalog_class(spark, d)
+    ns = V.catalog_namespace(spark, d).select(*K, F.col("oid").alias("relnamespace"), "nspname")
+    j = cls.join(ns, K + ["relnamespace"], "left")
+    return INV.user_schemas_pg(j).select(*K, "oid", "relname", "nspname")
 
 
 @query("live_columns")

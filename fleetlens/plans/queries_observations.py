@@ -29,8 +29,8 @@ ENGINE_VERSIONS = ["14.2", "8.0.28", "12.6", "5.6.mysql_aurora.1.22.2", "5.7.mys
 @query("envelope_explode")
 def q_envelope_explode(spark, d):
     docs = V.envelope_documents(spark, d)
-    rows = O.envelope_explode(docs, "nation", "n_nationkey int, n_name string")
-    return rows.select(*K, "item", "n_nationkey", "n_name")
+    rows = O.envelope_explode(docs, "supplier", "s_suppkey bigint, s_name string, s_nationkey int")
+    return rows.select(*K, "item", "s_suppkey", "s_name", "s_nationkey")
 
 
 @query("envelope_pack")

@@ -404,7 +404,11 @@ FROM part WHERE p_partkey % 5 IN (2, 3)""", ())
 S["catalog_views"] = (f"""
 SELECT {_K0}, {_NSPNAME} AS schemaname, lower(n_name) AS viewname, 'postgres' AS viewowner,
   concat(' SELECT * FROM region WHERE r_regionkey = ', n_regionkey) AS definition
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 2""", ())
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 2
+UNION ALL
+SELECT {_K0}, {_NSPNAME} AS schemaname, concat('v_', p_partkey) AS viewname, 'app' AS viewowner,
+  concat(' SELECT * FROM part WHERE p_type = ''', p_type, '''') AS definition
+FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_size % 10 = 2""", ())
 
 S["mysql_columns"] = (f"""
 SELECT {_k("concat('db', s_nationkey % 3)")},

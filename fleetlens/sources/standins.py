@@ -855,7 +855,8 @@ def catalog_constraint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_views(spark: SparkSession, d: str) -> DataFrame:
-    """pg_views: the class rows of kind 'v' with their namespace."""
+    """pg_views: the class rows of kind 'v' (from nation) plus one view per part
+    with p_size % 10 = 2, in namespace p_partkey % 5."""
     n = read_table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey").filter(F.col("n_nationkey") % 5 == 2)
     r = read_table(spark, d, "region", "r_regionkey", "r_name")
     c = F.col
@@ -864,10 +865,18 @@ def catalog_views(spark: SparkSession, d: str) -> DataFrame:
            .when(c("r_regionkey") == 4, F.lit("information_schema"))
            .otherwise(F.lower("r_name")))
     j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)  # region: 5 rows at every scale
-    return j.select(*key(F.lit("db0")), nsp.alias("schemaname"), F.lower("n_name").alias("viewname"),
+    base = j.select(*key(F.lit("db0")), nsp.alias("schemaname"), F.lower("n_name").alias("viewname"),
                     F.lit("postgres").alias("viewowner"),
                     F.concat(F.lit(" SELECT * FROM region WHERE r_regionkey = "), c("n_regionkey").cast("string"))
                     .alias("definition"))
+    p = read_table(spark, d, "part", "p_partkey", "p_size", "p_type").filter(c("p_size") % 10 == 2)
+    pj = p.join(F.broadcast(r), (p.p_partkey % 5) == r.r_regionkey)
+    parts = pj.select(*key(F.lit("db0")), nsp.alias("schemaname"),
+                      F.concat(F.lit("v_"), c("p_partkey").cast("string")).alias("viewname"),
+                      F.lit("app").alias("viewowner"),
+                      F.concat(F.lit(" SELECT * FROM part WHERE p_type = '"), c("p_type"), F.lit("'"))
+                      .alias("definition"))
+    return base.unionByName(parts)
 
 
 def mysql_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -985,17 +994,16 @@ def extensions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def envelope_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One {columns, rows} JSON document per region; column order varies."""
-    n = read_table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
-    c = F.col
-    flip = c("n_regionkey") % 2 == 1
-    row = F.when(flip, F.array(c("n_name"), c("n_nationkey").cast("string"))) \
-        .otherwise(F.array(c("n_nationkey").cast("string"), c("n_name")))
-    g = n.groupBy("n_regionkey").agg(F.collect_list(row).alias("rows"))
-    cols = F.when(flip, F.array(F.lit("n_name"), F.lit("n_nationkey"))) \
-        .otherwise(F.array(F.lit("n_nationkey"), F.lit("n_name")))
-    return g.select(
-        *key(F.concat(F.lit("db"), c("n_regionkey").cast("string"))),
-        F.lit("nation").alias("item"),
-        F.to_json(F.struct(cols.alias("columns"), c("rows"))).alias("payload"),
-    )
+    """{columns, rows} JSON documents of the supplier rows, one set per database
+    ('db' || nation % 5), paged; even and odd nations list the columns in different orders."""
+    from fleetlens.operators.observations import envelope_pack
+
+    sp = read_table(spark, d, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    c = F.col
+    rows = sp.select(*key(F.concat(F.lit("db"), (c("s_nationkey") % 5).cast("string"))),
+                     "s_suppkey", "s_name", "s_nationkey")
+    even = envelope_pack(rows.filter(c("s_nationkey") % 2 == 0), "supplier",
+                         ["s_suppkey", "s_name", "s_nationkey"], ["s_suppkey"], 1000)
+    odd = envelope_pack(rows.filter(c("s_nationkey") % 2 == 1), "supplier",
+                        ["s_name", "s_nationkey", "s_suppkey"], ["s_suppkey"], 1000)
+    return even.unionByName(odd)
