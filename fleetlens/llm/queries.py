@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, simhash
+from fleetlens.llm import bpe, minhash, mixing, simhash, token_counts
 from fleetlens.llm.common import table
 
 
@@ -20,6 +20,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_simhash)}
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", minhash.hex_digits(F.col("sig")).alias("fingerprint"),
+                        minhash.hex_digits(F.col("edited_sig")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_simhash, op6_minhash, op7_token_counts, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
