@@ -7,6 +7,7 @@ Index: cut the 64 bits into two halves; of two fingerprints that differ in at
 most two bits, one half differs in at most one.  Each half is indexed once per
 bit with that bit left out, so such a pair meets in an equal bucket and is
 verified there.  Equal fingerprints are one entry, so copies never multiply.
+A large bucket yields a spanning forest of its links, which connects the same.
 A bucket of more than ``limit`` different fingerprints is not paired; its
 members are indexed again over the bits that the bucket leaves open, in the
 same way (halves, one bit left out), until buckets are small.  64 fixed bits
@@ -31,6 +32,8 @@ from fleetlens.llm.common import map_rows, materialise
 from fleetlens.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
+#: Buckets up to this size yield all their links, larger ones a forest of them.
+SMALL = 16
 FULL = (1 << 64) - 1
 
 
@@ -80,15 +83,47 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), v)), pa.array(own)], names=["mask", "fp"])
 
 
+def _first_meeting(mask: np.ndarray, diff: np.ndarray) -> np.ndarray:
+    """False where another of the 64 first variants also finds the pair and comes first (later levels: True)."""
+    first = np.bitwise_count(mask.view(np.uint64)) == 31
+    lower = (mask & 0xFFFFFFFF) != 0  # the variant fixes bits of the lower half
+    ones = np.bitwise_count((diff & 0xFFFFFFFF).view(np.uint64))
+    lowest = np.where(lower, (mask & 1) == 0, (mask >> 32 & 1) == 0)
+    once = np.where(lower, (ones == 1) | ((ones == 0) & lowest), (ones == 2) & lowest)
+    return ~first | once
+
+
+def _forest(mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links within one bucket connect: fewer than it has members."""
+    rest, tree = np.arange(len(fp)), []
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            x = reached.pop()
+            diff = fp[rest] ^ fp[x]
+            near = (np.bitwise_count(diff.view(np.uint64)) <= DISTANCE) & _first_meeting(mask[rest], diff)
+            tree += [(x, y) for y in rest[near]]
+            reached += rest[near].tolist()
+            rest = rest[~near]
+    at = np.array(tree, dtype=np.int64).reshape(-1, 2)
+    return fp[at[:, 0]], fp[at[:, 1]]
+
+
 def _verify(limit: int):
     def pairs(mask, key, fp):
         """Links of whole buckets: at most ``limit`` members, or at most 6 open bits and so 64 members."""
-        for d in range(1, min(max(limit, 64), len(fp))):
-            same = (key[d:] == key[:-d]) & (mask[d:] == mask[:-d])
-            if not same.any():
-                return
-            a, b = fp[:-d][same], fp[d:][same]
-            near = np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (mask[1:] != mask[:-1])) + 1
+        edges = np.concatenate([[0], cut, [len(fp)]])
+        size = np.diff(edges)
+        for start, stop in zip(edges[:-1][size > SMALL], edges[1:][size > SMALL]):
+            yield _forest(mask[start:stop], fp[start:stop])
+        after = np.repeat(edges[1:], size) - np.arange(len(fp))  # members from here to the bucket's end
+        at = np.flatnonzero(np.repeat(size <= SMALL, size))
+        for d in range(1, int(after[at].max(initial=0))):
+            at = at[after[at] > d]
+            a, b, m = fp[at], fp[at + d], mask[at]
+            diff = a ^ b
+            near = (np.bitwise_count(diff.view(np.uint64)) <= DISTANCE) & _first_meeting(m, diff)
             if near.any():
                 yield a[near], b[near]
 
@@ -99,7 +134,8 @@ def _verify(limit: int):
         return pa.RecordBatch.from_arrays(cols, names=["a", "b", "mask", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, hot = np.zeros((2, 0), dtype=np.int64), None  # rows of the last, perhaps unfinished bucket; its key if too large
+        # Rows of the last, perhaps unfinished bucket; the key of a bucket found too large.
+        kept, hot = np.zeros((2, 0), dtype=np.int64), None
         for batch in batches:
             rows = np.hstack([kept, np.array([np.asarray(c) for c in batch.columns], dtype=np.int64)])
             mask, fp = rows
@@ -128,8 +164,12 @@ def _verify(limit: int):
     return run
 
 
-def links(fps: DataFrame, limit: int = 64) -> DataFrame:
-    """(a, b): all pairs of different fingerprints (column fp, distinct) within the distance."""
+def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
+    """(a, b): pairs of different fingerprints (column fp, distinct) within the distance.
+
+    Buckets of many members give a spanning forest of their links instead of
+    each link, so the rows grow with the entries and the classes are the same.
+    """
     found, level = [], fps.select(F.lit(0).cast("long").alias("mask"), "fp")
     while True:
         bucket = F.col("fp").bitwiseAND(F.col("mask"))
