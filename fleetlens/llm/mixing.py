@@ -102,9 +102,9 @@ def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
                                    .alias("last"))
             .select(F.col("source").alias("_l"), "last"))
     c = edge.select(F.col("_s").alias("_e"), "_c")
-    return (goals.join(last, F.col("source").eqNullSafe(F.col("_l")), "left")
-            .join(c, F.col("source").eqNullSafe(F.col("_e")), "left")
-            .select("source", "source_size", "target", "copies", "p", "cells", "_c", "last"))
+    return materialise(goals.join(last, F.col("source").eqNullSafe(F.col("_l")), "left")
+                       .join(c, F.col("source").eqNullSafe(F.col("_e")), "left")
+                       .select("source", "source_size", "target", "copies", "p", "cells", "_c", "last"), "plan")
 
 
 def take_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document repeated ``copies`` times, columns unchanged."""
     columns = docs.columns
-    plan = materialise(plan_mix(document_sizes(docs)), "plan")
+    plan = plan_mix(document_sizes(docs))
     slim = docs.select("doc_id", "source", F.struct(*columns).alias("_row"),
                        word_count(F.col("text")).alias("size"))
     taken = take_mix(slim, plan).filter("copies > 0")
