@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash, mixing, simhash, token_counts
-from fleetlens.llm.common import table
+from fleetlens.llm import bpe, minhash, mixing, ngram_lm, simhash, token_counts
+from fleetlens.llm.common import crc_mod, table
+
+
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_simhash, op6_minhash, op7_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op6_minhash, op7_token_counts, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}

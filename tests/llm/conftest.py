@@ -1,6 +1,5 @@
 import os
 import sys
-import zlib
 
 import pytest
 
@@ -10,10 +9,6 @@ SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "score double, size long, label string, fp long, `copies` int")
 
 
-def crc(doc_id, m):
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
-
-
 @pytest.fixture(scope="session")
 def edge_docs(spark):
     """Nulls in every column, empty, blank and very long texts, repeated rows, clashing extra columns."""
