@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash, mixing, ngram_lm, simhash, token_counts
+from fleetlens.llm import bpe, langid, minhash, mixing, ngram_lm, simhash, token_counts
 from fleetlens.llm.common import crc_mod, table
 
 
@@ -24,6 +24,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs.filter(~held))
+    return langid.identify(docs, model, [F.col("doc_id"), held.alias("held_out")])
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", "edited_sha256", minhash.hex_digits(F.col("sig")).alias("fingerprint"),
@@ -38,6 +45,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op6_minhash, op7_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
