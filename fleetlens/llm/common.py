@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.session import checkpoint_dir
 
@@ -40,14 +41,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str,
+def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str | StructType,
              batch_rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over the rows of ``df`` as tuples; ``fn`` yields output tuples.
 
     ``fn`` sees one partition as a stream, so a task holds one Arrow batch and
     at most ``batch_rows`` finished rows.
     """
-    fields = df.sparkSession.createDataFrame([], schema).schema
+    fields = schema if not isinstance(schema, str) else df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, langid, minhash, mixing, ngram_lm, simhash, token_counts
+from fleetlens.llm import bpe, langid, minhash, mixing, ngram_lm, pii, simhash, token_counts
 from fleetlens.llm.common import crc_mod, table
 
 
@@ -41,10 +41,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op8_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op8_semi_markov_pii, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
