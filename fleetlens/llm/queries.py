@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, langid, minhash, mixing, ngram_lm, pii, simhash, token_counts
+from fleetlens.llm import bpe, langid, minhash, mixing, ngram_lm, pii, quality, simhash, token_counts
 from fleetlens.llm.common import crc_mod, table
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels.filter(~held))
+    return quality.score_documents(docs, model, [F.col("doc_id"), held.alias("held_out")])
+
+
 def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
@@ -50,6 +58,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op8_semi_markov_pii, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op8_semi_markov_pii, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
