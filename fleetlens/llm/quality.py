@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = (known.filter(unit < 1.2 * sample_rows / max(1, known.count()))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows))
-    sample = with_statistics(docs.join(F.broadcast(chosen), "doc_id"),  # at most sample_rows small rows
+    texts = docs.select("doc_id", "text")
+    sample = with_statistics(texts.join(F.broadcast(chosen), "doc_id"),  # at most sample_rows small rows
                              [F.col("doc_id"), F.col("label")])
     # A fixed layout, so that the forest's draws do not depend on the input's.
     sample = sample.repartition(4, "doc_id").sortWithinPartitions("doc_id", "label", *STATISTICS).cache()
