@@ -218,6 +218,13 @@ class Codec:
         if tail := machine.decode(b"", True):
             yield b"", tail
 
+    def decoded_digest(self, ids: list[int]) -> str:
+        """SHA-256 of the bytes that the ids decode to."""
+        out = hashlib.sha256()
+        for data, _ in self.decode_stream(ids):
+            out.update(data)
+        return out.hexdigest()
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
@@ -233,16 +240,17 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): the tokens of every text."""
+    """(doc_id, n_tokens, ids, decoded_sha256): the tokens of every text, and the digest of what they decode to."""
     path, pattern = vocabulary or default_vocabulary()
 
     def run(rows):
         enc = codec(path, pattern)
         for doc_id, text in rows:
-            ids = np.frombuffer(enc.encode(text or ""), dtype="<u4")
-            yield doc_id, len(ids), ids.astype(np.int32).tolist()
+            ids = np.frombuffer(enc.encode(text or ""), dtype="<u4").astype(np.int32).tolist()
+            yield doc_id, len(ids), ids, enc.decoded_digest(ids)
 
-    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids array<int>", 200)
+    return map_rows(docs.select("doc_id", "text"), run,
+                    "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", 200)
 
 
 def decode_documents(tokens: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -265,10 +273,8 @@ def round_trip(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> Da
         enc = codec(path, pattern)
         for doc_id, text in rows:
             ids = enc.encode(text or "")
-            decoded = hashlib.sha256()
-            for data, _ in enc.decode_stream(np.frombuffer(ids, dtype="<u4").tolist()):
-                decoded.update(data)
-            yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest()
+            decoded = enc.decoded_digest(np.frombuffer(ids, dtype="<u4").tolist())
+            yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded
 
     return map_rows(docs.select("doc_id", "text"), run,
                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

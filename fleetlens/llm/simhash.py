@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import map_rows, materialise
@@ -57,13 +57,14 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned bits in a long."""
+    """(doc_id, text_hash, fp): fp holds the unsigned bits in a long."""
     def run(rows):
-        for doc_id, text in rows:
+        for doc_id, text_hash, text in rows:
             fp = fingerprint(text or b"")
-            yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+            yield doc_id, text_hash, fp - (1 << 64) if fp >> 63 else fp
 
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary")), run, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")), run,
+                    "doc_id long, text_hash long, fp long")
 
 
 def variant_masks(fixed: int) -> list[int]:
@@ -187,12 +188,28 @@ def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``; component_id: smallest id reachable over links."""
+    """(doc_id, text_hash, fp, class_fp, component_id) per row of ``docs``.
+
+    class_fp: smallest fingerprint of the class; component_id: smallest id
+    reachable over links.
+    """
     own = materialise(fingerprints(docs), "fingerprints")
     fps = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     classes = components(links(fps))
     named = fps.join(classes, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    names = materialise(named.select("fp", "label").join(ids, "label").select("fp", "component_id"), "classes")
-    return own.join(names, "fp").select("doc_id", "fp", "component_id")
+        "fp", "first_id", F.coalesce("label", "fp").alias("class_fp"))
+    ids = named.groupBy("class_fp").agg(F.min("first_id").alias("component_id"))
+    names = materialise(named.select("fp", "class_fp").join(ids, "class_fp"), "classes")
+    return own.join(names, "fp").select("doc_id", "text_hash", "fp", "class_fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates: of each class the row of the smallest id (null ids last) stays."""
+    columns = docs.columns
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    stay = near_duplicates(docs).groupBy("class_fp").agg(F.min(key).alias("k")).select("k.*")
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").isNull().alias("none"),
+                       F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"))
+    names = ["none", "id", "text_hash"]
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("_row")))
+    return rows.join(stay, names, "left_semi").withColumn("_n", one).filter("_n = 1").select("_row.*")
