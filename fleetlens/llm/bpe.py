@@ -3,11 +3,17 @@
 A sequence of tokens is what BPE makes of its bytes exactly if every two
 neighbours are: ``merge(a + b) == [a, b]``.  So each prefix of a piece has one
 encoding, and it ends in the one token that fits the encoding of what lies
-before it.  The transducer reads bytes; its nondeterministic states are pairs
-(tokens not yet emitted, place in the vocabulary's trie).  The set of these
-pairs is one deterministic state, built when first reached and kept in a
-table; tokens that all pairs agree on are emitted, so the lookahead is bounded
-by the longest token.  At a piece's end the pair at the trie's root holds the rest.
+before it; and any chain of fitting neighbours is the encoding.
+
+The transducer comes in two forms, whose deterministic states and moves are
+made when first needed and kept in tables.  For short pieces the state is the
+last token, the input the longest match in the vocabulary's trie (a lookahead
+bounded by the longest token), and the output the longest token there that may
+follow; a token after which nothing fits is taken back.  Longer pieces are
+read byte by byte and nothing is taken back: a nondeterministic state is a
+pair (tokens not yet emitted, place in the trie), the set of these pairs is
+one deterministic state, and tokens that all pairs agree on are emitted.  At
+the piece's end the pair at the trie's root holds the rest.
 
 A text is cut into pieces by the tokenizer's pattern.  Words come again and
 again, so the tokens of a stretch between two single spaces are kept in a
@@ -35,12 +41,17 @@ from pyspark.sql import DataFrame
 
 from fleetlens.llm.common import map_rows
 
-#: Entries of a worker's tables of stretches, and transducer states.
-TABLE_SIZE = 300_000
+#: Entries of a worker's tables of stretches and of transducer states.
+TABLE_SIZE, STATES = 600_000, 400_000
+#: Bytes of the longest piece that the first form encodes.
+SHORT = 64
 
 #: Places where no piece of the pattern can cross: a single space between two other characters.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
+#: ASCII characters that are neither letters, digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 NEVER = 1 << 60
 
@@ -66,6 +77,8 @@ class Transducer:
         self.ranks, self.spines = ranks, ({}, {})
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
+        self.parent: list[int] = [0]
+        self.follows: dict[tuple[int, int], int] = {}
         self.word = {i: t for t, i in ranks.items()}
         for t, i in ranks.items():
             node = 0
@@ -75,6 +88,7 @@ class Transducer:
                     nxt = self.child[node][byte] = len(self.child)
                     self.child.append({})
                     self.token.append(-1)
+                    self.parent.append(node)
                 node = nxt
             self.token[node] = i
         self.clear()
@@ -133,23 +147,30 @@ class Transducer:
         A state is the last token emitted (None: none yet) and its pairs.
         """
         last, before = self.states[state]
-        pairs, whole = [], None
+        pairs, whole, child, token = [], None, self.child, self.token
         for tokens, node in before:
-            node = self.child[node].get(byte)
+            node = child[node].get(byte)
             if node is None:
                 continue
-            if self.child[node]:
+            if child[node]:
                 pairs.append((tokens, node))
-            t = self.token[node]
-            if whole is None and t >= 0 and self.fits(tokens[-1] if tokens else last, t):
+            t = token[node]
+            if t >= 0 and whole is None and self.fits(tokens[-1] if tokens else last, t):
                 whole = (tokens + (t,), 0)
-                pairs.append(whole)
+        if whole:
+            pairs.append(whole)  # pairs stay in the order of their open token's start
         first, same = pairs[0][0], 0
-        shortest = min(len(tokens) for tokens, _ in pairs)
-        while same < shortest and all(tokens[same] == first[same] for tokens, _ in pairs):
-            same += 1
+        if len(pairs) == 1:
+            same = len(first)
+        elif first:
+            shortest = min(len(tokens) for tokens, _ in pairs)
+            while same < shortest and all(tokens[same] == first[same] for tokens, _ in pairs):
+                same += 1
         emitted = first[:same]
-        new = emitted[-1] if emitted else last, tuple(sorted((tokens[same:], node) for tokens, node in pairs))
+        if same:
+            new = emitted[-1], tuple((tokens[same:], node) for tokens, node in pairs)
+        else:
+            new = last, tuple(pairs)
         at = self.index.get(new)
         if at is None:
             at = self.index[new] = len(self.states)
@@ -158,17 +179,65 @@ class Transducer:
         self.moves[state][byte] = at, emitted
         return at, emitted
 
+    def _next(self, last: int, node: int) -> tuple[int, ...]:
+        """The tokens on the way to ``node`` that may follow ``last`` (-1: at the start), longest first."""
+        at, found = node, []
+        while at:
+            t = self.token[at]
+            if t >= 0 and self.fits(None if last < 0 else last, t):
+                found.append(t)
+            at = self.parent[at]
+        if len(self.follows) >= STATES:
+            self.follows.clear()
+        out = self.follows[last, node] = tuple(found)
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
+        """Tokens of one piece.
+
+        A prefix has one encoding, so a place from which no token may follow
+        is closed for good, and the last token is taken back.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > TABLE_SIZE:
+        n = len(piece)
+        if n > SHORT:
+            return self.encode_by_sets(piece)
+        child, follows, word = self.child, self.follows, self.word
+        out, last, at, closed = [], -1, 0, ()
+        while at < n:
+            node, i = 0, at
+            while i < n:
+                step = child[node].get(piece[i])
+                if step is None:
+                    break
+                node, i = step, i + 1
+            options = follows.get((last, node))
+            if options is None:
+                options = self._next(last, node)
+            for t in options:
+                end = at + len(word[t])
+                if end not in closed:
+                    out.append(t)
+                    last, at = t, end
+                    break
+            else:
+                closed = {*closed, at}
+                at -= len(word[out.pop()])
+                last = out[-1] if out else -1
+        return out
+
+    def encode_by_sets(self, piece: bytes) -> list[int]:
+        """Tokens of one piece by the machine over sets of pairs."""
+        if len(self.states) > STATES:
             self.clear()
         state, out, moves = self.ROOT, [], self.moves
         for byte in piece:
             step = moves[state].get(byte)
             state, emitted = step if step is not None else self._move(state, byte)
             out += emitted
-        return out + list(next(tokens for tokens, node in self.states[state][1] if node == 0))
+        tokens, node = self.states[state][1][-1]  # the pair at the root, if any, is the last
+        return out + list(tokens)
 
 
 class Codec:
@@ -186,22 +255,39 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def _stretch(self, s: str) -> bytes:
-        """Ids of a stretch of pieces, as little-endian 32-bit integers."""
-        ids = [i for p in self.pieces(s) for i in self.fst.encode(p.encode())]
-        out = np.array(ids, dtype="<u4").tobytes()
+    def _ids(self, pieces: list[str]) -> bytes:
+        return np.array([i for p in pieces for i in self.fst.encode(p.encode())], dtype="<u4").tobytes()
+
+    def _keep(self, s: str, ids: bytes) -> bytes:
         if len(s) <= 64:
             if len(self.known) >= TABLE_SIZE:
                 self.known.clear()
-            self.known[s] = out
-        return out
+            self.known[s] = ids
+        return ids
+
+    def _stretch(self, s: str) -> bytes:
+        """Ids of a stretch of pieces, as little-endian 32-bit integers.
+
+        Letters with marks after them are two pieces, which are looked up on their own.
+        """
+        word = s.rstrip(_MARKS)
+        if not word[1:].isalpha() or word[0] != " " and not word[0].isalpha():
+            return self._keep(s, self._ids(self.pieces(s)))
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._keep(word, self._ids([word]))
+        if len(word) == len(s):
+            return ids
+        marks = s[len(word):]
+        more = self.known.get(marks)
+        return ids + (self._keep(marks, self._ids([marks])) if more is None else more)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         head, *rest = _BREAK.split(text)
-        get, make, out = self.known.get, self._stretch, [self._stretch(head)]
+        get, make, out = self.known.get, self._stretch, [self._stretch(head) if head else b""]
         for s in rest:
             s = " " + s
             ids = get(s)

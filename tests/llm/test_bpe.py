@@ -38,11 +38,21 @@ def test_like_the_library(own, library):
 
 def test_tables_start_anew_when_full(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_SIZE", 20)
+    monkeypatch.setattr(bpe, "STATES", 20)
     fresh = bpe.Codec(*bpe.default_vocabulary())
     text = "Some words, others and yet others; unbelievably long ones. " * 3
     assert ids(fresh, text) == library.encode_ordinary(text)
 
 
+def test_both_machines(own, small_docs):
+    words = {w for r in small_docs.select("text").limit(40).collect() for p in own.pieces(r.text) for w in [p.encode()]}
+    rnd = random.Random(5)
+    words |= {"".join(rnd.choices("abein rst", k=rnd.randint(1, 12))).encode() for _ in range(2000)}
+    for w in words:
+        if w not in own.ranks:
+            assert own.fst.encode(w) == own.fst.encode_by_sets(w), w
+
+
 def test_streaming_decode_keeps_split_characters(own):
     text = "日本語🙂é" * 50
     parts = list(own.decode_stream(ids(own, text), chunk=1))
