@@ -58,9 +58,11 @@ def vacuum_activity(activity: DataFrame, own: DataFrame | None = None) -> DataFr
                           for c in VACUUM_COLUMNS])
 
 
-def raw_view(df: DataFrame, key: str) -> DataFrame:
-    """A view kept raw, one row per (K, key) (the later duplicate wins)."""
-    return df.dropDuplicates(K + [key])
+def raw_view(df: DataFrame, key: str, order: str) -> DataFrame:
+    """A view kept raw, one row per (K, key); of duplicates the last by ``order`` (the row's position)."""
+    rest = [c for c in df.columns if c not in (*K, key, order)]
+    last = df.groupBy(*K, key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    return last.select(*K, key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def vacuuming_tables(table_stats: DataFrame, progress: DataFrame) -> DataFrame:

@@ -5,20 +5,18 @@ latest metric value (I1, batch form) and agent heartbeat (I2, batch form).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.expr import engine_version_key, object_prefix
+from fleetlens.functions.expr import OBSERVATION_TYPES, engine_version_key, iso_timestamp, object_prefix
 from fleetlens.keys import K
 from fleetlens.operators.rollups import metric_period_avg
 
 ENVELOPE_SCHEMA = "columns array<string>, rows array<array<string>>"
 DEFAULT_PAGE_ROWS = 10000
-CATALOG_BROADCAST_ROWS = 100_000      # the shipped catalogs hold ~2,000 entries
 
 
 # A1 ---------------------------------------------------------------------------
@@ -39,34 +37,34 @@ def envelope_explode(docs: DataFrame, item: str | None, schema: str | T.StructTy
 
 
 # A2 ---------------------------------------------------------------------------
-def _md5_bucket(text: Column, n: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
+def order_column(name: str) -> Column:
+    """A column of an order list; ``!name`` puts true before false."""
+    return ~F.col(name[1:]) if name.startswith("!") else F.col(name)
 
 
 def with_pages(df: DataFrame, order: Sequence[str], page_rows: int = DEFAULT_PAGE_ROWS,
                keys: Sequence[str] = K) -> DataFrame:
-    """Add ``page``: a group with n rows gets ceil(n / page_rows) pages, rows
-    are spread by an md5 of their order key (deterministic, reproducible in SQL)."""
-    c = F.col
-    keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(page_rows))).alias("_pages"))
-    keytxt = F.concat_ws("\u0001", *[c(o).cast("string") for o in order])
-    return df.join(counts, keys).withColumn("page", _md5_bucket(keytxt, c("_pages"))).drop("_pages")
+    """Add ``page``: rows of a group in ``order``, ``page_rows`` to a page.
+
+    Pages are ranges of the order, so one after the other they are the whole
+    list.  The numbering streams over the sorted rows of one snapshot of one
+    database (it holds no group) and needs no second pass for a count.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[order_column(o).asc_nulls_first() for o in order])
+    return df.withColumn("page", F.floor((F.row_number().over(w) - 1) / F.lit(page_rows)).cast("bigint"))
 
 
 def envelope_pack(df: DataFrame, item: str, cols: Sequence[str], order: Sequence[str],
                   page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
     """Rows -> ``{columns, rows}`` JSON per (K, item, page), rows sorted by ``order``.
 
-    A snapshot with more than ``page_rows`` rows is split over
-    ceil(n / page_rows) pages by a hash of its order key, so no single group
-    (task) ever holds more than about ``page_rows`` rows; each page is
-    ordered and the pages are disjoint.
+    A snapshot with more than ``page_rows`` rows is split into pages of that
+    many, ranges of the order, so no collected group holds more.
     """
     c = F.col
     row = F.array(*[c(x).cast("string") for x in cols])
     paged = with_pages(df, order, page_rows).select(
-        *K, "page", F.struct(*[c(o).alias(f"_o{i}") for i, o in enumerate(order)], row.alias("_row")).alias("_e"))
+        *K, "page", F.struct(*[order_column(o).alias(f"_o{i}") for i, o in enumerate(order)], row.alias("_row")).alias("_e"))
     g = paged.groupBy(*K, "page").agg(F.array_sort(F.collect_list("_e")).alias("_l"),
                                       F.count(F.lit(1)).alias("n_rows"))
     doc = F.struct(F.array(*[F.lit(x) for x in cols]).alias("columns"),
@@ -80,7 +78,7 @@ def records_json(df: DataFrame, cols: Sequence, order: Sequence[str], alias: str
     c = F.col
     keys = list(keys)
     paged = with_pages(df, order, page_rows, keys).select(
-        *keys, "page", F.struct(*[c(o).alias(f"_o{i}") for i, o in enumerate(order)],
+        *keys, "page", F.struct(*[order_column(o).alias(f"_o{i}") for i, o in enumerate(order)],
                                 F.struct(*cols).alias("_r")).alias("_e"))
     g = paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list("_e")).alias("_l"),
                                          F.count(F.lit(1)).alias("n_rows"))
@@ -118,19 +116,13 @@ def metric_catalog(spark: SparkSession, path: str) -> DataFrame:
     return normalize_catalog(read_metric_catalog_files(spark, path))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a size check; above it the planner decides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def catalog_lookup(instances: DataFrame, catalog: DataFrame,
-                   max_broadcast_rows: int = CATALOG_BROADCAST_ROWS) -> DataFrame:
+def catalog_lookup(instances: DataFrame, catalog: DataFrame) -> DataFrame:
     """Wanted metrics per instance; cluster metrics only with a cluster id.
 
     ``instances``: (db_key, engine, version, cluster_id).
     """
     inst = instances.withColumn("engine_key", engine_version_key(F.col("engine"), F.col("version")))
-    cat = broadcast_if_small(catalog, max_broadcast_rows).withColumnRenamed("engine_key", "_ck")
+    cat = catalog.withColumnRenamed("engine_key", "_ck")
     # The key is a long CASE expression; a plain equality would let the optimizer infer
     # IS NOT NULL(key) and copy the whole expression below the aggregation into the scan.
     # The null-safe comparison (the key is never NULL) keeps it computed once per instance.
@@ -140,6 +132,16 @@ def catalog_lookup(instances: DataFrame, catalog: DataFrame,
 
 
 # I1 (batch) ---------------------------------------------------------------------
+def samples_in_window(samples: DataFrame, wanted: DataFrame | None, now: str, window_s: int) -> DataFrame:
+    """Samples in [now - window, now] of the wanted metrics."""
+    now_ts = F.lit(now).cast("timestamp_ntz")
+    lo = now_ts - F.make_dt_interval(secs=F.lit(window_s))
+    s = samples.filter((F.col("ts") >= lo) & (F.col("ts") <= now_ts))
+    if wanted is not None:
+        s = s.join(wanted.select("db_key", "metric"), ["db_key", "metric"], "left_semi")
+    return s
+
+
 def latest_metric(samples: DataFrame, wanted: DataFrame | None, now: str, window_s: int = 600,
                   period_s: int = 60) -> DataFrame:
     """Newest period average of each wanted metric in [now - window, now].
@@ -147,12 +149,7 @@ def latest_metric(samples: DataFrame, wanted: DataFrame | None, now: str, window
     Metrics without a point in the window are absent.  ``max_by`` is a partial
     aggregate, so a metric with many periods is never collected whole.
     """
-    now_ts = F.lit(now).cast("timestamp_ntz")
-    lo = now_ts - F.make_dt_interval(secs=F.lit(window_s))
-    s = samples.filter((F.col("ts") >= lo) & (F.col("ts") <= now_ts))
-    if wanted is not None:
-        s = s.join(wanted.select("db_key", "metric"), ["db_key", "metric"], "left_semi")
-    avg = metric_period_avg(s, period_s)
+    avg = metric_period_avg(samples_in_window(samples, wanted, now, window_s), period_s)
     return avg.groupBy("db_key", "metric").agg(F.max_by("avg_value", "period_start").alias("value"),
                                                F.max("period_start").alias("period_start"))
 
@@ -167,39 +164,50 @@ def _micros_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
 
 
+def _beat_count(first: Column, last: Column, interval_s: int) -> Column:
+    n = F.ceil(_micros_between(first, last) / F.lit(interval_s * 1_000_000)).cast("bigint")
+    return F.greatest(n, F.lit(1).cast("bigint"))
+
+
 def heartbeat_beats(activity: DataFrame, interval_s: int = 60) -> DataFrame:
     """Beat times per agent: start + k * interval for k = 1..N, the last is final.
 
-    ``activity``: (organization_id, db_key, first_seen, last_seen).  The spine
-    of one agent is its lifetime divided by the interval (not data sized).
+    ``activity``: (organization_id, db_key, first_seen, last_seen); an agent
+    starts when it is first seen.  The spine of one agent is its lifetime
+    divided by the interval (not data sized).
     """
     iv = F.make_dt_interval(secs=F.lit(interval_s))
-    start = _hour_ntz(F.col("first_seen"))
-    n = F.ceil(_micros_between(start, F.col("last_seen")) / F.lit(interval_s * 1_000_000)).cast("int")
-    n = F.greatest(n, F.lit(1))
-    base = activity.select("organization_id", "db_key", start.alias("agent_starttime"), n.alias("_n"))
+    base = activity.select("organization_id", "db_key", F.col("first_seen").alias("agent_starttime"),
+                           _beat_count(F.col("first_seen"), F.col("last_seen"), interval_s).alias("_n"))
     beats = base.select("organization_id", "db_key", "agent_starttime", "_n",
-                        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("beat"))
+                        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("beat"))
     return beats.select("organization_id", "db_key", "agent_starttime", "beat",
                         (F.col("agent_starttime") + iv * F.col("beat")).alias("heartbeat_time"),
                         (F.col("beat") == F.col("_n")).alias("is_last"))
 
 
-def _beat_of(ts: Column, start: Column, interval_s: int) -> Column:
-    us = _micros_between(start, ts)
-    return (F.floor(us / F.lit(interval_s * 1_000_000)) + 1).cast("int")
-
-
 def heartbeat_errors(errors: DataFrame, activity: DataFrame, interval_s: int = 60) -> DataFrame:
-    """Each error assigned to the beat that reports it (once, in arrival order by timestamp, id)."""
-    start = activity.select("organization_id", "db_key", _hour_ntz(F.col("first_seen")).alias("_start"))
+    """Each error assigned to the beat that reports it (once, in arrival order by timestamp, id).
+
+    The first beat after the error reports it.  The last beat also takes what
+    arrives with it or later, and the first what came before the start, so no
+    error is lost.
+    """
+    start = activity.select("organization_id", "db_key", F.col("first_seen").alias("_start"),
+                            _beat_count(F.col("first_seen"), F.col("last_seen"), interval_s).alias("_n"))
     e = errors.join(start, ["organization_id", "db_key"])
-    beat = _beat_of(F.col("timestamp"), F.col("_start"), interval_s)
+    passed = F.floor(_micros_between(F.col("_start"), F.col("timestamp")) / F.lit(interval_s * 1_000_000))
+    beat = F.greatest(F.least(passed.cast("bigint") + 1, F.col("_n")), F.lit(1).cast("bigint"))
     iv = F.make_dt_interval(secs=F.lit(interval_s))
     return e.select("organization_id", "db_key", (F.col("_start") + iv * beat).alias("heartbeat_time"),
                     "error_id", "name", "message", "stacktrace", "timestamp")
 
 
+def beat_status(is_last: Column, n: Column) -> Column:
+    return (F.when(is_last & (n > 0), F.lit("terminating_error")).when(is_last, F.lit("terminating_ok"))
+            .when(n > 0, F.lit("error")).otherwise(F.lit("ok")))
+
+
 def agent_heartbeat(errors: DataFrame, activity: DataFrame, interval_s: int = 60) -> DataFrame:
     """Status per beat: ok / error, terminating_ok / terminating_error on the last."""
     beats = heartbeat_beats(activity, interval_s)
@@ -207,11 +215,33 @@ def agent_heartbeat(errors: DataFrame, activity: DataFrame, interval_s: int = 60
         .agg(F.count(F.lit(1)).alias("n_errors"))
     j = beats.join(per, ["organization_id", "db_key", "heartbeat_time"], "left")
     n = F.coalesce(F.col("n_errors"), F.lit(0).cast("bigint"))
-    status = (F.when(F.col("is_last") & (n > 0), F.lit("terminating_error"))
-              .when(F.col("is_last"), F.lit("terminating_ok"))
-              .when(n > 0, F.lit("error")).otherwise(F.lit("ok")))
-    return j.select("organization_id", "db_key", "agent_starttime", "heartbeat_time", status.alias("agent_status"),
-                    n.alias("n_errors"))
+    return j.select("organization_id", "db_key", "agent_starttime", "heartbeat_time",
+                    beat_status(F.col("is_last"), n).alias("agent_status"), n.alias("n_errors"))
+
+
+def heartbeat_document(errors: DataFrame, activity: DataFrame, agent_version: str, interval_s: int = 60,
+                       page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
+    """I2 as the posted document: one JSON text per beat and error page (page 0 where there are no errors).
+
+    Fields: organization_id, db_key, agent_status, agent_starttime,
+    heartbeat_time (ISO), agent_version and the errors with data and timestamp.
+    """
+    keys = ["organization_id", "db_key", "heartbeat_time"]
+    err = heartbeat_errors(errors, activity, interval_s)
+    counted = agent_heartbeat(errors, activity, interval_s)
+    rec = F.struct(F.struct("name", "message", "stacktrace").alias("data"),
+                   iso_timestamp(F.col("timestamp")).alias("timestamp"))
+    paged = with_pages(err, ["timestamp", "error_id"], page_rows, keys).select(
+        *keys, "page", F.struct(F.col("timestamp").alias("_t"), "error_id", rec.alias("_r")).alias("_e"))
+    lists = paged.groupBy(*keys, "page").agg(F.transform(F.array_sort(F.collect_list("_e")), lambda x: x["_r"])
+                                             .alias("errors"))
+    j = counted.join(lists, keys, "left")
+    empty = F.array().cast(lists.schema["errors"].dataType)
+    doc = F.struct("organization_id", "db_key", "agent_status", iso_timestamp(F.col("agent_starttime")).alias(
+        "agent_starttime"), iso_timestamp(F.col("heartbeat_time")).alias("heartbeat_time"),
+        F.lit(agent_version).alias("agent_version"), F.coalesce("errors", empty).alias("errors"))
+    return j.select(*keys, F.coalesce(F.col("page"), F.lit(0)).cast("bigint").alias("page"),
+                    F.to_json(doc).alias("document"))
 
 
 def pack_errors(errors_long: DataFrame, page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
@@ -229,49 +259,45 @@ def pack_errors(errors_long: DataFrame, page_rows: int = DEFAULT_PAGE_ROWS) -> D
 def landing_columns(obs: DataFrame, ts: str = "observation_time") -> DataFrame:
     """A8 layout: partition columns of org/db/TYPE/yyyyMMdd/HH (UTC)."""
     t = F.col("obs_type")
-    typ = F.when(F.lower(t).isin("db", "table", "query", "long_running_query", "schema"), F.upper(t)) \
+    typ = F.when(F.lower(t).isin(*OBSERVATION_TYPES), F.upper(t)) \
         .otherwise(F.lit("UNKNOWN"))
     return obs.select("*", typ.alias("type_dir"), F.date_format(ts, "yyyyMMdd").alias("dt"),
                       F.date_format(ts, "HH").alias("hr"),
                       object_prefix(F.col("organization_id"), F.col("db_key"), t, F.col(ts)).alias("object_key"))
 
 
-LANDING_PARTITIONS = ["organization_id", "db_key", "type_dir", "dt", "hr"]
-
-
-def write_parallelism(spark: SparkSession) -> int:
-    try:
-        return int(spark.sparkContext.defaultParallelism)
-    except Exception:  # remote session without a SparkContext
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+LANDING_PARTITIONS = ["type_dir", "dt", "hr"]
+# Document types that the object store holds compressed.
+COMPRESSED_TYPES = ("QUERY", "LONG_RUNNING_QUERY", "SCHEMA")
 
 
 def landing_layout(obs: DataFrame) -> DataFrame:
-    """A8 rows clustered by folder: each folder (one database, type and hour) is
-    written by one task as one file, spread over all write slots.
+    """A8 rows clustered by organisation and database inside type/day/hour folders.
 
-    An explicit partition count keeps AQE from coalescing small inputs into one
-    writer task.  A folder holds the documents of one database, type and hour,
-    bounded by the collection rate, so no salt is needed.
+    Folders do not multiply with the fleet; a document keeps its object name
+    in ``object_key``.  Rows are dealt by folder and database, so a folder
+    that holds most of the rows is written by many tasks.
     """
-    out = landing_columns(obs).drop("object_key")
-    return out.repartition(write_parallelism(obs.sparkSession), *LANDING_PARTITIONS)
+    return (landing_columns(obs).repartition(*LANDING_PARTITIONS, "organization_id", "db_key")
+            .sortWithinPartitions(*LANDING_PARTITIONS, "organization_id", "db_key", "observation_time"))
 
 
-def land(obs: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A8 + A9: append every document under its prefix as compressed JSON.
+def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "append") -> None:
+    """A8 + A9: append every document as JSON; query, long-running and schema documents compressed, others plain.
 
     All documents are kept (the reference overwrote all but the last one of an
     hour, quirk Q4; ``hourly_latest`` reproduces that on read).
     """
-    (landing_layout(obs)
-     .write.mode("append").option("compression", compression).option("timestampNTZFormat", TS_FORMAT)
-     .partitionBy(*LANDING_PARTITIONS).json(path))
+    rows = landing_layout(obs)
+    packed = F.col("type_dir").isin(*COMPRESSED_TYPES)
+    for part, codec, how in ((rows.filter(packed), compression, mode), (rows.filter(~packed), "none", "append")):
+        (part.write.mode(how).option("compression", codec).option("timestampNTZFormat", TS_FORMAT)
+         .partitionBy(*LANDING_PARTITIONS).json(path))
 
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 LANDING_SCHEMA = ("organization_id string, db_key string, type_dir string, dt string, hr string, "
-                  "obs_type string, observation_time timestamp_ntz, payload string, id bigint")
+                  "obs_type string, observation_time timestamp_ntz, payload string, id bigint, object_key string")
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -280,11 +306,15 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def serialize(obs: DataFrame, version: Column | None = None) -> DataFrame:
-    """Document JSON text (NULL fields omitted) with the epoch-seconds summary."""
+    """Document JSON text (NULL fields omitted) with the epoch-seconds summary.
+
+    A payload that is JSON text is nested as such; other text stays a string.
+    """
     summary = F.struct((version if version is not None else F.lit(None).cast("string")).alias("version"),
                        F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                                        F.col("observation_time")).alias("observation_time"))
-    doc = F.struct(F.col("payload").alias("data"), summary.alias("summary"), "db_key", "organization_id")
+    data = F.coalesce(F.try_parse_json("payload"), F.col("payload").cast("variant"))
+    doc = F.struct(data.alias("data"), summary.alias("summary"), "db_key", "organization_id")
     return obs.select("id", "obs_type", F.to_json(doc).alias("document"))
 
 
@@ -323,17 +353,13 @@ def observation_assemble(spine: DataFrame, parts: Mapping[str, DataFrame]) -> Da
     return doc
 
 
-def logical_db_union(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """G1: rows of every logical database with its name; missing columns become NULL (Q10).
+def logical_db_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """G1: rows of all logical databases with their name; missing columns become NULL (Q10).
 
-    Duplicate names collapse into one (Q13): the mapping has unique keys.
+    Rows carry the database's name in K, so there is one frame per column set
+    (server version), not per database: any number of databases is one scan.
     """
     out = None
-    for name, df in frames.items():
-        f = df.withColumn("logical_database_name", F.lit(name))
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    for df in frames:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
-
-
-def pages_needed(n_rows: int, page_rows: int = DEFAULT_PAGE_ROWS) -> int:
-    return max(1, math.ceil(n_rows / page_rows))

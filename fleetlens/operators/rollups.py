@@ -34,6 +34,10 @@ ROW_COUNT_COLUMNS = ["num_tables", "num_empty_tables", "num_tables_row_count_0_1
                      "num_tables_row_count_100m_inf", "max_row_num", "min_row_num"]
 
 
+# How partial values of the row-count columns combine.
+ROW_COUNT_MERGE = {c: "sum" for c in ROW_COUNT_COLUMNS[:8]} | {"max_row_num": "max", "min_row_num": "min"}
+
+
 def _spine_join(spine: DataFrame | None, agg: DataFrame) -> DataFrame:
     if spine is None:
         return agg
@@ -87,9 +91,11 @@ def row_count_distribution(tables: DataFrame, bounds: Sequence[float] = ROW_COUN
                       "max_row_num", "min_row_num")
 
 
-def extension_present(extensions: DataFrame, name: str = "pg_stat_statements") -> DataFrame:
-    """Exactly one row for the extension -> true."""
-    return extensions.groupBy(*K).agg((F.count_if(F.col("extname") == name) == 1).alias("extension_present"))
+def extension_present(extensions: DataFrame, name: str = "pg_stat_statements",
+                      spine: DataFrame | None = None) -> DataFrame:
+    """Exactly one row for the extension -> true; a snapshot without extension rows -> false."""
+    found = extensions.groupBy(*K).agg((F.count_if(F.col("extname") == name) == 1).alias("extension_present"))
+    return _spine_join(spine, found).select(*K, F.coalesce("extension_present", F.lit(False)).alias("extension_present"))
 
 
 def metric_period_avg(samples: DataFrame, period_s: int = 60, keys: Sequence[str] = ("db_key", "metric"),
@@ -100,25 +106,39 @@ def metric_period_avg(samples: DataFrame, period_s: int = 60, keys: Sequence[str
         .agg(F.avg(value).alias("avg_value"), F.count(F.lit(1)).alias("samples"))
 
 
-def latency_histogram(samples: DataFrame, bucket_ms: float = 10.0, keys: Sequence[str] = ("db_key",),
-                      value: str = "value") -> DataFrame:
-    """Histogram of durations (ms) with cumulative counts and quantiles.
+# The engine's statement histogram has 450 buckets; the first ends at 10 us (in ps) and
+# 50 buckets make a power of ten.
+HISTOGRAM_BUCKETS, HISTOGRAM_FIRST_PS, HISTOGRAM_PER_DECADE = 450, 1e7, 50
+
+
+def latency_histogram(samples: DataFrame, first: float = HISTOGRAM_FIRST_PS, keys: Sequence[str] = ("db_key",),
+                      value: str = "value", buckets: int = HISTOGRAM_BUCKETS,
+                      per_decade: int = HISTOGRAM_PER_DECADE) -> DataFrame:
+    """Histogram of durations over the engine's fixed logarithmic buckets, empty ones kept.
 
-    The raw rows are aggregated per (key, bucket) first; the running sum then
-    runs over buckets only (bounded by the bucket count, not by the data).
+    Bucket 0 holds [0, first), bucket i [first * 10^((i-1)/per_decade), ...),
+    the last one everything beyond.  Raw rows are counted per (key, bucket)
+    before the shuffle, and the running sums run over ``buckets`` rows per key
+    whatever the data.  Negative and NULL durations are in no bucket.
     """
     keys = list(keys)
-    b = F.floor(F.col(value) / F.lit(bucket_ms)).cast("int")
-    per = samples.groupBy(*keys, b.alias("bucket_number")).agg(F.count(F.lit(1)).alias("count_bucket"))
+    v = F.col(value).cast("double")
+    step = F.floor(F.log10(v / F.lit(first)) * per_decade) + 1
+    b = F.when(v < first, F.lit(0)).otherwise(F.least(step, F.lit(buckets - 1))).cast("int")
+    per = samples.filter(v >= 0).groupBy(*keys, b.alias("bucket_number")).agg(F.count(F.lit(1)).alias("n"))
+    every = per.select(*keys).distinct().withColumn("bucket_number", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    full = every.join(per, keys + ["bucket_number"], "left")
     w = Window.partitionBy(*keys).orderBy("bucket_number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wt = Window.partitionBy(*keys)
-    return per.select(
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    edge = lambda i: F.lit(first) * F.pow(F.lit(10.0), i / F.lit(float(per_decade)))
+    i = F.col("bucket_number")
+    return full.select(
         *keys, "bucket_number",
-        (F.col("bucket_number") * F.lit(bucket_ms)).alias("bucket_timer_low"),
-        ((F.col("bucket_number") + 1) * F.lit(bucket_ms)).alias("bucket_timer_high"),
-        "count_bucket",
-        F.sum("count_bucket").over(w).alias("count_bucket_and_lower"),
-        (F.sum("count_bucket").over(w) / F.sum("count_bucket").over(wt)).alias("bucket_quantile"),
+        F.when(i == 0, F.lit(0.0)).otherwise(edge(i - 1)).alias("bucket_timer_low"),
+        F.when(i < buckets - 1, edge(i)).alias("bucket_timer_high"),
+        n.alias("count_bucket"),
+        F.sum(n).over(w).alias("count_bucket_and_lower"),
+        (F.sum(n).over(w) / F.sum(n).over(Window.partitionBy(*keys))).alias("bucket_quantile"),
     )
 
 

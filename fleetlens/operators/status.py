@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.expr import iso_timestamp
 from fleetlens.keys import K
 
 # Status counters read by the derived ratios.
@@ -41,19 +42,28 @@ def transaction_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def pack_map(long: DataFrame, name: str = "name", value: str = "setting", alias: str = "settings") -> DataFrame:
-    """(K, name, value) -> one MAP per K (names must already be unique)."""
-    return long.groupBy(*K).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(name), F.col(value)))).alias(alias))
+    """(K, name, value) -> one MAP per K, sorted by name (names must already be unique).
+
+    Timestamps are rendered in ISO form, as in the posted document.
+    """
+    v = F.col(value)
+    if dict(long.dtypes)[value].startswith("timestamp"):
+        v = iso_timestamp(v)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(name), v)))
+    return long.filter(F.col(name).isNotNull()).groupBy(*K).agg(F.map_from_entries(entries).alias(alias))
 
 
-def single_row_view(df: DataFrame, view: str) -> DataFrame:
-    """A5: a global view must have exactly one row per snapshot.
+def single_row_view(df: DataFrame, view: str, spine: DataFrame) -> DataFrame:
+    """A5: a global view must have exactly one row per snapshot of the spine.
 
-    Returns (K, view, n_rows, row) for the violations (n_rows != 1).
+    Returns (K, view, n_rows, row) for the violations (n_rows != 1): none or
+    several; ``row`` is the smallest of several.
     """
-    g = df.groupBy(*K).agg(F.count(F.lit(1)).alias("n_rows"),
-                           F.first(F.struct(*[c for c in df.columns if c not in K])).alias("row"))
-    return g.filter(F.col("n_rows") != 1).select(*K, F.lit(view).alias("view"), "n_rows", "row")
+    cols = [c for c in df.columns if c not in K]
+    g = df.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*cols)).alias("row"))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return spine.select(*K).distinct().join(g, K, "left").filter(n != 1).select(
+        *K, F.lit(view).alias("view"), n.alias("n_rows"), "row")
 
 
 def derived_ratios(status_long: DataFrame) -> DataFrame:

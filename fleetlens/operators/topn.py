@@ -137,8 +137,9 @@ def top_indexes_mysql(index_stats: DataFrame, target_tables: DataFrame, n: int =
 # F5 / F6 ------------------------------------------------------------------------
 def top_statements_pg(statements: DataFrame, n: int = 10000) -> DataFrame:
     c = F.col
-    return top_n_per_key(statements, n, [c("calls").desc(), c("userid"), c("dbid"), c("query")],
-                         salt_by=["userid", "dbid", "query"], rank_col="rank")
+    return top_n_per_key(statements, n, [c("calls").desc(), c("userid"), c("dbid"), c("query"),
+                                         c("queryid").asc_nulls_first()],
+                         salt_by=["userid", "dbid", "query", "queryid"], rank_col="rank")
 
 
 def top_statements_mysql(digests: DataFrame, n: int = 10000) -> DataFrame:
@@ -146,9 +147,3 @@ def top_statements_mysql(digests: DataFrame, n: int = 10000) -> DataFrame:
     return top_n_per_key(digests, n, [c("COUNT_STAR").desc(), c("DIGEST").asc_nulls_first(),
                                       c("FIRST_SEEN"), c("DIGEST_TEXT")],
                          salt_by=["DIGEST", "FIRST_SEEN", "DIGEST_TEXT"], rank_col="rank")
-
-
-# F8 ---------------------------------------------------------------------------
-def inventory_order(df: DataFrame, *cols) -> DataFrame:
-    """Display order of an inventory (inside documents the order comes from array_sort)."""
-    return df.orderBy(*K, *cols)

@@ -113,17 +113,14 @@ SELECT {KC}, TABLE_SCHEMA, TABLE_NAME, INDEX_NAME, NON_UNIQUE, COLUMN_NAME, "COL
 
 def pack_sql(src: str, item: str, cols: list[str], order: list[str], page_rows: int) -> str:
     """DuckDB text of ``envelope_pack`` over the relation ``src``."""
-    keytxt = f"concat_ws(chr(1), {', '.join(f'CAST(s.\"{o}\" AS VARCHAR)' for o in order)})"
     row = "[" + ", ".join(f'CAST(s."{c}" AS VARCHAR)' for c in cols) + "]"
     colnames = "[" + ", ".join(f"'{c}'" for c in cols) + "]"
+    keys = ", ".join((f'NOT s."{o[1:]}"' if o.startswith("!") else f's."{o}"') + " NULLS FIRST" for o in order)
     return f"""
 SELECT {KC}, '{item}' AS item, page, count(*)::BIGINT AS n_rows,
-  to_json({{'columns': {colnames}, 'rows': list(r ORDER BY {", ".join(f"o{i}" for i in range(len(order)))})}}) AS payload
-FROM (
-  SELECT x.*, CAST(('0x' || substr(md5(kt), 1, 8))::BIGINT % pages AS BIGINT) AS page FROM (
-    SELECT {P("s")}, {keytxt} AS kt, {row} AS r, {", ".join(f's."{o}" AS o{i}' for i, o in enumerate(order))},
-      CAST(ceil(count(*) OVER (PARTITION BY {P("s")}) / {float(page_rows)}) AS BIGINT) AS pages
-    FROM {src} s) x)
+  to_json({{'columns': {colnames}, 'rows': list(r ORDER BY pos)}}) AS payload
+FROM (SELECT *, CAST((pos - 1) // {page_rows} AS BIGINT) AS page FROM (
+  SELECT {P("s")}, {row} AS r, row_number() OVER (PARTITION BY {P("s")} ORDER BY {keys}) AS pos FROM {src} s))
 GROUP BY ALL"""
 
 

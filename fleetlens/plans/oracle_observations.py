@@ -51,22 +51,25 @@ ORACLES["row_postprocess_registry"] = W(f"SELECT {KC}, pid, {_SCRUB} AS query FR
 
 # ------------------------------------------------------------------ heartbeat --
 _IV = QO.HEARTBEAT_INTERVAL_S
+# A beat at start + k * interval for every k until the agent is last seen; what comes later or with the last beat
+# belongs to the last one.
 _ACT = ("act", f"""
-SELECT organization_id, db_key, date_trunc('hour', first_seen) AS agent_starttime,
-  greatest(CAST(ceil((epoch_us(last_seen) - epoch_us(date_trunc('hour', first_seen))) / {_IV * 1_000_000}.0)
-    AS INTEGER), 1) AS n
+SELECT organization_id, db_key, first_seen AS agent_starttime,
+  greatest(1, (epoch_us(last_seen) - epoch_us(first_seen) + {_IV * 1_000_000 - 1}) // {_IV * 1_000_000}) AS n
 FROM agent_activity""")
 _BEATS = ("beats", f"""
 SELECT organization_id, db_key, agent_starttime, beat, agent_starttime + to_seconds(beat * {_IV}) AS heartbeat_time,
   beat = n AS is_last
 FROM (SELECT *, unnest(range(1, n + 1)) AS beat FROM act)""")
-_ERRS = ("errs", f"""
+_ERRS = ("errs", """
 SELECT e.organization_id, e.db_key,
-  a.agent_starttime + to_seconds((CAST(floor((epoch_us(e."timestamp") - epoch_us(a.agent_starttime))
-    / {_IV * 1_000_000}.0) AS BIGINT) + 1) * {_IV}) AS heartbeat_time,
+  coalesce(min(b.heartbeat_time), any_value(l.heartbeat_time)) AS heartbeat_time,
   e.error_id, e.name, e.message, e.stacktrace, e."timestamp"
-FROM agent_errors e JOIN act a ON e.organization_id = a.organization_id AND e.db_key = a.db_key""")
-ORACLES["heartbeat_errors"] = W("SELECT * FROM errs", "agent_errors", "agent_activity", extra=[_ACT, _ERRS])
+FROM agent_errors e JOIN (SELECT * FROM beats WHERE is_last) l USING (organization_id, db_key)
+LEFT JOIN beats b ON e.organization_id = b.organization_id AND e.db_key = b.db_key AND b.heartbeat_time > e."timestamp"
+GROUP BY ALL""")
+ORACLES["heartbeat_errors"] = W("SELECT * FROM errs", "agent_errors", "agent_activity", extra=[_ACT, _BEATS, _ERRS])
+_ISO = "CASE WHEN epoch_us({c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END"
 ORACLES["agent_heartbeat"] = W("""
 SELECT b.organization_id, b.db_key, b.agent_starttime, b.heartbeat_time,
   CASE WHEN b.is_last AND coalesce(c.n, 0) > 0 THEN 'terminating_error' WHEN b.is_last THEN 'terminating_ok'
@@ -76,6 +79,23 @@ FROM beats b LEFT JOIN (SELECT organization_id, db_key, heartbeat_time, count(*)
   ON b.organization_id = c.organization_id AND b.db_key = c.db_key AND b.heartbeat_time = c.heartbeat_time""",
                                "agent_errors", "agent_activity", extra=[_ACT, _BEATS, _ERRS])
 
+ORACLES["heartbeat_document"] = W(f"""
+SELECT b.organization_id, b.db_key, b.heartbeat_time, coalesce(c.page, 0)::BIGINT AS page,
+  CAST(to_json({{'organization_id': b.organization_id, 'db_key': b.db_key,
+    'agent_status': CASE WHEN b.is_last AND c.page IS NOT NULL THEN 'terminating_error' WHEN b.is_last THEN 'terminating_ok'
+       WHEN c.page IS NOT NULL THEN 'error' ELSE 'ok' END,
+    'agent_starttime': {_ISO.format(c="b.agent_starttime")}, 'heartbeat_time': {_ISO.format(c="b.heartbeat_time")},
+    'agent_version': '{QO.AGENT_VERSION}', 'errors': coalesce(c.errors, [])}}) AS VARCHAR) AS document
+FROM beats b LEFT JOIN (
+  SELECT organization_id, db_key, heartbeat_time, page,
+    list({{'data': {{'name': name, 'message': message, 'stacktrace': stacktrace}},
+           'timestamp': {_ISO.format(c='"timestamp"')}}} ORDER BY "timestamp", error_id) AS errors
+  FROM paged GROUP BY ALL) c
+  ON b.organization_id = c.organization_id AND b.db_key = c.db_key AND b.heartbeat_time = c.heartbeat_time""",
+    "agent_errors", "agent_activity", extra=[_ACT, _BEATS, _ERRS, ("paged", f"""
+SELECT *, CAST((row_number() OVER (PARTITION BY organization_id, db_key, heartbeat_time ORDER BY "timestamp", error_id) - 1)
+  // {QO.ERROR_PAGE_ROWS} AS BIGINT) AS page FROM errs""")])
+
 # ------------------------------------------------------------------ landing --
 _TYPE_DIR = ("CASE WHEN lower(obs_type) IN ('db', 'table', 'query', 'long_running_query', 'schema') "
              "THEN upper(obs_type) ELSE 'UNKNOWN' END")
@@ -86,7 +106,7 @@ SELECT organization_id, db_key, {_TYPE_DIR} AS type_dir, strftime(observation_ti
             strftime(observation_time, '%H'), 'data') AS object_key
 FROM observation_log""", "observation_log")
 ORACLES["observation_serialize"] = W("""
-SELECT id, obs_type, to_json({'data': payload, 'summary': {'observation_time': epoch_us(observation_time) // 1000000},
+SELECT id, obs_type, to_json({'data': json(payload), 'summary': {'observation_time': epoch_us(observation_time) // 1000000},
   'db_key': db_key, 'organization_id': organization_id}) AS document
 FROM observation_log""", "observation_log")
 ORACLES["hourly_latest"] = W("""
@@ -141,7 +161,7 @@ LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('replica-', user_id
 
 # ------------------------------------------------------------------ streaming --
 ORACLES["snapshot_counters_stream"] = ORACLES["row_count_distribution"]
-ORACLES["latest_metric_stream"] = ORACLES["metric_source_registry"]
+ORACLES["latest_metric_stream"] = ORACLES["latest_metric"]
 ORACLES["heartbeat_stream"] = ORACLES["agent_heartbeat"]
 ORACLES["long_running_stream"] = __import__("fleetlens.plans.oracle_sql", fromlist=["x"]).ORACLES["long_running_pg"]
 ORACLES["landing_stream"] = W(f"""

@@ -128,7 +128,7 @@ ORACLES["composite_semi"] = W(
 
 # ------------------------------------------------------------------ statements
 ORACLES["top_statements_pg"] = W(f"""
-SELECT * FROM (SELECT *, {_rank("calls DESC, userid, dbid, query")} AS rank FROM pg_stat_statements)
+SELECT * FROM (SELECT *, {_rank("calls DESC, userid, dbid, query, queryid NULLS FIRST")} AS rank FROM pg_stat_statements)
 WHERE rank <= {Q.N_STATEMENTS}""", "pg_stat_statements")
 ORACLES["top_statements_mysql"] = W(f"""
 SELECT * FROM (SELECT *, {_rank("COUNT_STAR DESC, DIGEST ASC NULLS FIRST, FIRST_SEEN, DIGEST_TEXT")} AS rank
@@ -191,7 +191,9 @@ WHERE query ILIKE '%vacuum %'
                                "vacuum_activity_src", "vacuum_own_sessions")
 ORACLES["scrub_vacuum_query"] = W(f"SELECT {KC}, pid, {_SCRUB} AS query FROM vacuum_activity_src",
                                   "vacuum_activity_src")
-ORACLES["vacuum_progress"] = W("SELECT * FROM pg_stat_progress_vacuum", "pg_stat_progress_vacuum")
+ORACLES["vacuum_progress"] = W(f"""
+SELECT {KC}, pid, relid, phase, heap_blks_total FROM pg_stat_progress_vacuum
+QUALIFY row_number() OVER (PARTITION BY {KC}, pid ORDER BY ord DESC) = 1""", "pg_stat_progress_vacuum")
 ORACLES["vacuuming_tables"] = W(
     _semi("pg_stat_user_tables", "pg_stat_progress_vacuum", [("relid", "relid")],
           f"{', '.join('t.' + c for c in KC.split(', '))}, t.relid, t.last_autovacuum, t.n_dead_tup, t.relname"),
@@ -222,10 +224,9 @@ ORACLES["index_counters"] = W(_sums("pg_stat_user_indexes", _R.INDEX_COUNTERS, "
 ORACLES["index_io_counters"] = W(_sums("pg_stat_user_indexes", _R.INDEX_IO_COUNTERS, "pg_snapshot_spine"),
                                  "pg_stat_user_indexes", "pg_snapshot_spine")
 ORACLES["extension_present"] = W(f"""
-SELECT {KC}, count_if(extname = 'pg_stat_statements') = 1 AS extension_present FROM extensions GROUP BY ALL""",
-                                 "extensions")
-
-# ------------------------------------------------------------------ key/value --
+SELECT {", ".join("s." + c for c in KC.split(", "))}, count(CASE WHEN e.extname = 'pg_stat_statements' THEN 1 END) = 1 AS extension_present
+FROM (SELECT DISTINCT {KC} FROM knob_rows) s LEFT JOIN extensions e ON {KEQ("s", "e")} GROUP BY ALL""",
+                                   "extensions", "knob_rows")
 ORACLES["knob_snapshot"] = W(f"SELECT {KC}, name, arg_max(setting, ord) AS setting FROM knob_rows GROUP BY ALL",
                              "knob_rows")
 _STATUS = ("status", f"""SELECT {KC}, lower(Variable_name) AS name, arg_max(Value, ord) AS value
@@ -251,8 +252,16 @@ FROM (SELECT {KC}, {_tot(["innodb_buffer_pool_reads"])} AS reads,
 ORACLES["user_set_parameters"] = W(f"""
 SELECT DISTINCT {KC}, name FROM knob_rows WHERE source = 'user' AND name IS NOT NULL""", "knob_rows")
 ORACLES["single_row_view"] = W(f"""
-SELECT {KC}, 'pg_stat_bgwriter' AS view, count(*)::BIGINT AS n_rows FROM pg_stat_bgwriter GROUP BY ALL
-HAVING count(*) <> 1""", "pg_stat_bgwriter")
+SELECT {", ".join("s." + c for c in KC.split(", "))}, 'pg_stat_bgwriter' AS view, count(b.buffers_max)::BIGINT AS n_rows
+FROM pg_server_spine s LEFT JOIN pg_stat_bgwriter b ON {KEQ("s", "b")} GROUP BY ALL
+HAVING count(b.buffers_max) <> 1""", "pg_stat_bgwriter", "pg_server_spine")
+ORACLES["knob_map"] = W(f"""
+SELECT {KC}, CAST(to_json(map_from_entries(list({{'k': name, 'v': setting}} ORDER BY name))) AS VARCHAR) AS settings
+FROM (SELECT {KC}, name, arg_max(setting, ord) AS setting FROM knob_rows WHERE name IS NOT NULL GROUP BY ALL)
+GROUP BY ALL""", "knob_rows")
+ORACLES["snapshot_round_trip"] = W(
+    "SELECT * REPLACE (CAST(blk_read_time AS BIGINT) AS blk_read_time, CAST(blk_write_time AS BIGINT) AS blk_write_time) "
+    "FROM pg_stat_database", "pg_stat_database")
 
 # ------------------------------------------------------------------ text -----
 _BREAKS = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
@@ -432,37 +441,39 @@ ORACLES["relation_kinds"] = W(f"SELECT {KC}, oid, relkind FROM bloat_class WHERE
 ORACLES["metric_minute_avg"] = W("""
 SELECT db_key, metric, time_bucket(INTERVAL 60 SECOND, ts) AS period_start, avg(value) AS avg_value,
   count(*)::BIGINT AS samples FROM metric_samples GROUP BY ALL""", "metric_samples")
-ORACLES["latency_histogram"] = W("""
-SELECT db_key, bucket_number, CAST(bucket_number * 10.0 AS DOUBLE) AS bucket_timer_low,
-  CAST((bucket_number + 1) * 10.0 AS DOUBLE) AS bucket_timer_high,
-  count_bucket,
-  CAST(sum(count_bucket) OVER (PARTITION BY db_key ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
-    AS count_bucket_and_lower,
-  sum(count_bucket) OVER (PARTITION BY db_key ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    / sum(count_bucket) OVER (PARTITION BY db_key) AS bucket_quantile
-FROM (SELECT db_key, CAST(floor(value / 10.0) AS INTEGER) AS bucket_number, count(*)::BIGINT AS count_bucket
-      FROM metric_samples GROUP BY ALL)""", "metric_samples")
-
-ORACLES["latency_histogram_mysql"] = W(f"""
-SELECT {KC}, bucket_number, bucket_number * 100.0 * 1e9 / 1e9 AS bucket_timer_low,
-  (bucket_number + 1) * 100.0 * 1e9 / 1e9 AS bucket_timer_high, count_bucket,
-  CAST(sum(count_bucket) OVER (PARTITION BY {KC} ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    AS BIGINT) AS count_bucket_and_lower,
-  sum(count_bucket) OVER (PARTITION BY {KC} ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-    / sum(count_bucket) OVER (PARTITION BY {KC}) AS bucket_quantile
-FROM (SELECT {KC}, CAST(floor(TIMER_WAIT / (100.0 * 1e9)) AS INTEGER) AS bucket_number, count(*)::BIGINT AS count_bucket
-      FROM mysql_current_statements GROUP BY ALL)""", "mysql_current_statements")
+
+
+def _histogram(source: str, keys: str, value: str, first: float, unit: float = 1.0) -> str:
+    """Fixed log buckets: an edge table of its own, counts by comparison with the edges."""
+    k = ", ".join(f"h.{c}" for c in keys.split(", "))
+    same = " AND ".join(f"s.{c} = h.{c}" for c in keys.split(", "))
+    return f"""
+SELECT {keys}, bucket_number, lo / {unit} AS bucket_timer_low, hi / {unit} AS bucket_timer_high, count_bucket,
+  CAST(sum(count_bucket) OVER w AS BIGINT) AS count_bucket_and_lower,
+  sum(count_bucket) OVER w / sum(count_bucket) OVER (PARTITION BY {keys}) AS bucket_quantile
+FROM (SELECT {k}, e.bucket_number, e.lo, e.hi, count(s.v)::BIGINT AS count_bucket
+  FROM (SELECT DISTINCT {keys} FROM {source}) h
+  CROSS JOIN (SELECT CAST(i AS INTEGER) AS bucket_number, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE {first} * pow(10.0, (i - 1) / 50.0) END AS lo,
+         CASE WHEN i < 449 THEN {first} * pow(10.0, i / 50.0) END AS hi FROM range(450) t(i)) e
+  LEFT JOIN (SELECT {keys}, CAST({value} AS DOUBLE) AS v FROM {source}) s
+    ON {same} AND s.v >= e.lo AND (e.hi IS NULL OR s.v < e.hi)
+  GROUP BY ALL)
+WINDOW w AS (PARTITION BY {keys} ORDER BY bucket_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+ORACLES["latency_histogram"] = W(_histogram("metric_samples", "db_key", "value", 0.01), "metric_samples")
+ORACLES["latency_histogram_mysql"] = W(_histogram("mysql_current_statements", KC, "TIMER_WAIT", 1e7, 1e9),
+                                       "mysql_current_statements")
 ORACLES["json_text"] = W(f"""
 SELECT {KC}, page, count(*)::BIGINT AS n_rows,
   regexp_replace(regexp_replace(CAST(to_json(list({{'queryid': queryid, 'calls': calls, 'avg_time_ms': avg_time_ms}}
     ORDER BY queryid NULLS FIRST, FIRST_SEEN)) AS VARCHAR), '"queryid":null,', '', 'g'), ',"queryid":null', '', 'g')
     AS events_statements_summary_by_digest
 FROM (
-  SELECT *, CAST(('0x' || substr(md5(concat_ws(chr(1), queryid, CAST(FIRST_SEEN AS VARCHAR))), 1, 8))::BIGINT % pages
-    AS BIGINT) AS page
+  SELECT *, CAST((row_number() OVER (PARTITION BY {KC} ORDER BY queryid NULLS FIRST, FIRST_SEEN) - 1)
+    // {Q.JSON_PAGE_ROWS} AS BIGINT) AS page
   FROM (
     SELECT {KC}, coalesce(SCHEMA_NAME, 'NULL') || '_' || DIGEST AS queryid, COUNT_STAR AS calls,
-      round(AVG_TIMER_WAIT / 1000000000.0, 6) AS avg_time_ms, FIRST_SEEN,
-      CAST(ceil(count(*) OVER (PARTITION BY {KC}) / {float(Q.JSON_PAGE_ROWS)}) AS BIGINT) AS pages
+      round(AVG_TIMER_WAIT / 1000000000.0, 6) AS avg_time_ms, FIRST_SEEN
     FROM mysql_digests))
 GROUP BY ALL""", "mysql_digests")

@@ -219,7 +219,7 @@ def q_scrub_vacuum_query(spark, d):
 
 @query("vacuum_progress")
 def q_vacuum_progress(spark, d):
-    return A.raw_view(V.pg_stat_progress_vacuum(spark, d), "pid")
+    return A.raw_view(V.pg_stat_progress_vacuum(spark, d), "pid", "ord")
 
 
 @query("vacuuming_tables")
@@ -264,7 +264,7 @@ def q_index_io_counters(spark, d):
 
 @query("extension_present")
 def q_extension_present(spark, d):
-    return R.extension_present(V.extensions(spark, d))
+    return R.extension_present(V.extensions(spark, d), spine=V.knob_rows(spark, d).select(*K).distinct())
 
 
 # ------------------------------------------------------------------ key/value --
@@ -273,6 +273,22 @@ def q_knob_snapshot(spark, d):
     return SS.knob_snapshot(V.knob_rows(spark, d))
 
 
+@query("knob_map")
+def q_knob_map(spark, d):
+    """A3 as the document's map: one JSON object of settings per snapshot."""
+    return SS.pack_map(SS.knob_snapshot(V.knob_rows(spark, d))).select(*K, F.to_json("settings").alias("settings"))
+
+
+@query("snapshot_round_trip")
+def q_snapshot_round_trip(spark, d):
+    """A relation written as a landed snapshot table and read back."""
+    from fleetlens.sources.snapshots import read_snapshot, write_snapshot
+    from fleetlens.streaming.streams import work_dir
+    path = work_dir(spark, "snapshot_round_trip")
+    write_snapshot(V.pg_stat_database(spark, d), path)
+    return read_snapshot(spark, path)
+
+
 @query("status_counters")
 def q_status_counters(spark, d):
     return SS.status_counters(V.mysql_status(spark, d))
@@ -296,7 +312,8 @@ def q_user_set_parameters(spark, d):
 @query("single_row_view")
 def q_single_row_view(spark, d):
     """A5: snapshots whose pg_stat_bgwriter does not have exactly one row."""
-    return SS.single_row_view(V.pg_stat_bgwriter(spark, d), "pg_stat_bgwriter").select(*K, "view", "n_rows")
+    return SS.single_row_view(V.pg_stat_bgwriter(spark, d), "pg_stat_bgwriter", V.pg_server_spine(spark, d)) \
+        .select(*K, "view", "n_rows")
 
 
 # ------------------------------------------------------------------ text -----
@@ -478,14 +495,14 @@ def q_metric_minute_avg(spark, d):
 
 @query("latency_histogram")
 def q_latency_histogram(spark, d):
-    return R.latency_histogram(V.metric_samples(spark, d), 10.0)
+    return R.latency_histogram(V.metric_samples(spark, d), 0.01)
 
 
 @query("latency_histogram_mysql")
 def q_latency_histogram_mysql(spark, d):
     """D9 as MySQL serves it: buckets of statement timers in picoseconds, bounds scaled to ms."""
     st = V.mysql_current_statements(spark, d).select(*K, "TIMER_WAIT")
-    hist = R.latency_histogram(st, 100.0 * 1e9, keys=K, value="TIMER_WAIT")
+    hist = R.latency_histogram(st, keys=K, value="TIMER_WAIT")
     return R.histogram_ps_to_ms(hist)
 
 

@@ -130,9 +130,10 @@ PG_SCHEMA_ITEMS = {
     "indexes": (["table_id", "index_id", "index_name", "is_primary", "is_unique", "is_clustered", "is_valid",
                  "index_expression", "index_constraint", "constraint_type", "constraint_deferrable",
                  "constraint_deferred_by_default", "index_replica_identity", "table_space", "index_type"],
-                ["table_id", "index_id"]),
+                ["!is_primary", "index_name"]),
     "foreign_keys": (["table_id", "constraint_name", "constraint_expression"], ["table_id", "constraint_name"]),
-    "tables": (["schema", "table_id", "table_name", "type", "owner", "persistence", "description"], ["table_id"]),
+    "tables": (["schema", "table_id", "table_name", "type", "owner", "persistence", "description"],
+               ["schema", "table_id"]),
     "views": (["schemaname", "viewname", "viewowner", "definition"], ["schemaname", "viewname"]),
     "index_columns": (["table_id", "index_id", "column_names"], ["table_id", "index_id"]),
 }

@@ -15,9 +15,10 @@ from fleetlens.plans.queries import N_TABLES, ROW_BOUNDS, query
 from fleetlens.sources import standins as V
 
 TABLE_PAGE_ROWS = 1000
-METRIC_NOW = "2024-01-31 00:00:00"
+METRIC_NOW = "2024-01-30 23:47:13"      # not on a period's edge
 METRIC_WINDOW_S, METRIC_PERIOD_S = 86400, 3600
 HEARTBEAT_INTERVAL_S = 3600
+AGENT_VERSION, ERROR_PAGE_ROWS = "0.2.1", 50
 PG_TABLE_COLUMNS = ["relid", "schemaname", "relname", "seq_scan", "seq_tup_read", "idx_scan", "idx_tup_fetch",
                     "n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd", "n_live_tup", "n_dead_tup",
                     "n_mod_since_analyze", "last_vacuum", "last_autovacuum", "last_analyze", "last_autoanalyze",
@@ -81,10 +82,13 @@ def q_catalog_lookup(spark, d):
     return O.catalog_lookup(_instances(spark, d), O.normalize_catalog(_raw_catalog(spark, d)))
 
 
+def wanted_metrics(spark, d):
+    return O.catalog_lookup(_instances(spark, d), O.normalize_catalog(_raw_catalog(spark, d)))
+
+
 @query("latest_metric")
 def q_latest_metric(spark, d):
-    wanted = O.catalog_lookup(_instances(spark, d), O.normalize_catalog(_raw_catalog(spark, d)))
-    return O.latest_metric(V.metric_samples(spark, d), wanted, METRIC_NOW, METRIC_WINDOW_S, METRIC_PERIOD_S)
+    return O.latest_metric(V.metric_samples(spark, d), wanted_metrics(spark, d), METRIC_NOW, METRIC_WINDOW_S, METRIC_PERIOD_S)
 
 
 @query("metric_source_registry")
@@ -112,6 +116,12 @@ def q_heartbeat_errors(spark, d):
     return O.heartbeat_errors(V.agent_errors(spark, d), V.agent_activity(spark, d), HEARTBEAT_INTERVAL_S)
 
 
+@query("heartbeat_document")
+def q_heartbeat_document(spark, d):
+    return O.heartbeat_document(V.agent_errors(spark, d), V.agent_activity(spark, d), AGENT_VERSION,
+                                HEARTBEAT_INTERVAL_S, ERROR_PAGE_ROWS)
+
+
 # ------------------------------------------------------------------ landing --
 @query("observation_landing")
 def q_observation_landing(spark, d):
@@ -165,11 +175,8 @@ def q_observation_assemble(spark, d):
 def q_logical_db_union(spark, d):
     """G1: per-logical-database frames appended with their name (one lacks a column)."""
     ts = V.pg_stat_user_tables(spark, d).select(*K, "relid", "n_live_tup", "n_dead_tup")
-    frames = {}
-    for name in ("db0", "db1", "db2"):
-        f = ts.filter(F.col("logical_database_name") == name).drop("logical_database_name")
-        frames[name] = f.drop("n_dead_tup") if name == "db2" else f
-    return O.logical_db_union(frames)
+    old = F.col("logical_database_name") == "db2"      # an older server whose view lacks a column
+    return O.logical_db_union([ts.filter(~old), ts.filter(old).drop("n_dead_tup")])
 
 
 @query("replication_status")

@@ -16,28 +16,32 @@ from fleetlens.sources import standins as V
 from fleetlens.streaming import streams as S
 
 
+BATCHES = 4      # input files, one per micro-batch
+
+
 @query("snapshot_counters_stream")
 def q_snapshot_counters_stream(spark, d):
-    return S.snapshot_counters_stream(spark, V.pg_stat_user_tables(spark, d), R.row_count_aggs(Q.ROW_BOUNDS),
-                                      "snapshot_counters")
+    return S.snapshot_counters_stream(spark, V.pg_stat_user_tables(spark, d).repartition(BATCHES),
+                                      R.row_count_aggs(Q.ROW_BOUNDS), R.ROW_COUNT_MERGE, "snapshot_counters",
+                                      spine=V.pg_snapshot_spine(spark, d), max_files=1)
 
 
 @query("latest_metric_stream")
 def q_latest_metric_stream(spark, d):
-    return S.latest_metric_stream(spark, V.metric_samples(spark, d), QO.METRIC_NOW, QO.METRIC_WINDOW_S,
-                                  QO.METRIC_PERIOD_S)
+    return S.latest_metric_stream(spark, V.metric_samples(spark, d).repartition(BATCHES), QO.METRIC_NOW,
+                                  QO.METRIC_WINDOW_S, QO.METRIC_PERIOD_S, QO.wanted_metrics(spark, d), max_files=1)
 
 
 @query("heartbeat_stream")
 def q_heartbeat_stream(spark, d):
-    return S.heartbeat_error_stream(spark, V.agent_errors(spark, d), V.agent_activity(spark, d),
-                                    QO.HEARTBEAT_INTERVAL_S)
+    return S.heartbeat_error_stream(spark, V.agent_errors(spark, d).repartition(BATCHES), V.agent_activity(spark, d),
+                                    QO.HEARTBEAT_INTERVAL_S, max_files=1)
 
 
 @query("long_running_stream")
 def q_long_running_stream(spark, d):
-    return S.long_running_stream(spark, V.pg_stat_activity(spark, d),
-                                 lambda b: A.long_running_pg(b, Q.N_LONG_RUNNING, Q.LR_MINUTES_PG))
+    return S.long_running_stream(spark, V.pg_stat_activity(spark, d).repartition(BATCHES),
+                                 lambda b: A.long_running_pg(b, Q.N_LONG_RUNNING, Q.LR_MINUTES_PG), max_files=1)
 
 
 @query("landing_stream")

@@ -71,10 +71,14 @@ SELECT {_V1K}, l_partkey AS relid, qty * 8192 + n * 8192 AS table_size,
 FROM table_facts""", ("table_facts",))
 
 S["pg_stat_progress_vacuum"] = (f"""
-SELECT {_k("p_brand", _LDB_PART.format(x="p_partkey"))}, p_partkey + 100000 AS pid, p_partkey AS relid,
+SELECT {_k("p_brand", _LDB_PART.format(x="p_partkey"))}, 100000 + p_partkey // 100 * 50 + p_partkey % 50 AS pid, p_partkey AS ord,
+  p_partkey AS relid,
   ['scanning heap', 'vacuuming indexes', 'cleaning up indexes'][p_size % 3 + 1] AS phase,
   CAST(p_size * 10 AS BIGINT) AS heap_blks_total
-FROM part WHERE p_size % 4 = 1""", ())
+FROM part""", ())
+
+S["pg_server_spine"] = (f"""
+SELECT DISTINCT {_k("concat('db', o_custkey % 12)")} FROM orders""", ())
 
 S["pg_snapshot_spine"] = (f"""
 SELECT DISTINCT {_k("p_brand", _LDB_PART.format(x="p_partkey"))} FROM part""", ())
@@ -348,7 +352,16 @@ SELECT {_K0}, p_partkey + 1000000 AS oid, concat('idx_', p_partkey) AS relname,
   CAST(CASE WHEN p_size % 2 = 0 THEN 403 ELSE 405 END AS BIGINT) AS relam,
   CAST(CASE WHEN p_size % 5 = 0 THEN 1663 ELSE 0 END AS BIGINT) AS reltablespace,
   'postgres' AS owner, 'p' AS relpersistence, CAST(NULL AS VARCHAR) AS description
-FROM part""", ())
+FROM part
+UNION ALL
+SELECT {_K0}, oid, concat('table_', oid) AS relname, oid % 5 AS relnamespace,
+  ['r', 'p', 'v', 'm', 'S'][oid % 5 + 1] AS relkind, CAST(0 AS BIGINT) AS relam, CAST(0 AS BIGINT) AS reltablespace,
+  CASE WHEN oid % 2 = 0 THEN 'postgres' ELSE 'app' END AS owner,
+  CASE WHEN oid % 7 = 0 THEN 'u' ELSE 'p' END AS relpersistence,
+  CASE WHEN oid % 3 = 0 THEN concat('table of ', oid) END AS description
+FROM (SELECT CAST(s_suppkey % 25 + 25 * (s_suppkey // 1000) AS BIGINT) AS oid FROM supplier
+      WHERE s_suppkey >= 1000 AND s_suppkey % 1000 < 25
+      UNION ALL SELECT CAST(c_custkey + 3000000 AS BIGINT) FROM customer)""", ())
 
 S["catalog_am"] = (f"""
 SELECT {_K0}, oid, CASE WHEN oid = 403 THEN 'btree' ELSE 'hash' END AS amname FROM (

@@ -30,28 +30,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    Where it is unset, a local session (tests, bench) gets one scratch folder
+    of its own; on a cluster that is an error, as executors share no local folder.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
-        _set_rdd_checkpoint_dir(spark, conf)
         return conf
-    path = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # a session that refuses runtime changes still gets the path
-        pass
-    _set_rdd_checkpoint_dir(spark, path)
-    return path
-
-
-def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # no SparkContext (remote session): DataFrame checkpoints use the conf
-        pass
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
+    return _LOCAL_DIRS[app]

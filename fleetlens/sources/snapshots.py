@@ -13,32 +13,43 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.keys import K
+from fleetlens.keys import K, KEY_COLS
 
 PARTITION_COLS = ("organization_id", "db_key", "obs_date")
 
 
-def write_snapshot(df: DataFrame, path: str, mode: str = "append", salts: int = 16) -> None:
+def write_snapshot(df: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
     """Append a snapshot relation below ``path`` (one folder per org/db/date).
 
-    Rows are clustered by the partition columns plus a deterministic hash salt,
-    so one folder is written by at most ``salts`` tasks (few files) and a
-    database holding a large share of the rows is still spread over ``salts``
-    tasks; inside the files rows are sorted by the rest of K.
+    A folder's rows are dealt to as many tasks as it needs files of about
+    ``rows_per_file`` rows (counted first, one row per folder), so a database
+    holding a large share of the rows is written by many tasks at every size;
+    inside the files rows are sorted by the rest of K.
     """
     out = df.withColumn("obs_date", F.to_date("observation_time"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
-    (out.repartition(*PARTITION_COLS, salt)
+    parts = list(PARTITION_COLS)
+    sizes = out.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_files"))
+    (out.join(sizes, parts).withColumn("_salt", salt)
+        .repartition(*parts, "_salt")
         .sortWithinPartitions("logical_database_name", "observation_time")
-        .write.mode(mode).partitionBy(*PARTITION_COLS).parquet(path))
+        .drop("_files", "_salt")
+        .write.mode(mode).partitionBy(*parts).parquet(path))
 
 
 def read_snapshot(spark: SparkSession, path: str, cols: Sequence[str] | None = None,
                   organization_id: str | None = None, db_key: str | None = None,
                   since: str | None = None, until: str | None = None) -> DataFrame:
-    """Read a landed relation; key filters prune partitions before any file is opened."""
-    df = spark.read.parquet(path)
+    """Read a landed relation; key filters prune partitions before any file is opened.
+
+    Key columns are text: the folder names are not turned into numbers, so the
+    databases '007' and '7' stay apart.
+    """
+    found = spark.read.parquet(path).schema
+    text = [T.StructField(f.name, T.StringType()) if f.name in KEY_COLS[:2] else f for f in found.fields]
+    df = spark.read.schema(T.StructType(text)).parquet(path)
     if organization_id is not None:
         df = df.filter(F.col("organization_id") == organization_id)
     if db_key is not None:

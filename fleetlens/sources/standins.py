@@ -174,17 +174,25 @@ def pg_table_size_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pg_stat_progress_vacuum(spark: SparkSession, d: str) -> DataFrame:
-    """Running vacuums: one per part with p_size % 4 = 1, on table relid = p_partkey."""
-    p = read_table(spark, d, "part", "p_partkey", "p_brand", "p_size").filter(F.col("p_size") % 4 == 1)
+    """Progress rows of vacuums: one per part, on table relid = p_partkey; two parts share a pid
+    (a later row of the same process)."""
+    p = read_table(spark, d, "part", "p_partkey", "p_brand", "p_size")
     return p.select(
         *key(F.col("p_brand"), _ldb_by_part(F.col("p_partkey"))),
-        (F.col("p_partkey") + 100000).alias("pid"),
+        F.expr("100000 + p_partkey div 100 * 50 + p_partkey % 50").alias("pid"),
+        F.col("p_partkey").alias("ord"),
         F.col("p_partkey").alias("relid"),
         _pick(F.col("p_size") % 3, ["scanning heap", "vacuuming indexes", "cleaning up indexes"]).alias("phase"),
         (F.col("p_size") * 10).cast("bigint").alias("heap_blks_total"),
     )
 
 
+def pg_server_spine(spark: SparkSession, d: str) -> DataFrame:
+    """All servers, two of them without a row in pg_stat_bgwriter."""
+    o = read_table(spark, d, "orders", "o_custkey")
+    return o.select(*key(F.concat(F.lit("db"), (F.col("o_custkey") % 12).cast("string")))).distinct()
+
+
 def pg_snapshot_spine(spark: SparkSession, d: str) -> DataFrame:
     """All snapshots of the table world, including ones whose views are empty."""
     p = read_table(spark, d, "part", "p_partkey", "p_brand")
@@ -743,7 +751,20 @@ def catalog_class(spark: SparkSession, d: str) -> DataFrame:
         F.lit("p").alias("relpersistence"),
         F.lit(None).cast("string").alias("description"),
     )
-    return tables.unionByName(idx)
+    s = read_table(spark, d, "supplier", "s_suppkey").filter("s_suppkey >= 1000 and s_suppkey % 1000 < 25")
+    more = _more_tables(s, _attrelid())          # the tables of catalog_attribute beyond the first 25
+    plain = _more_tables(read_table(spark, d, "customer", "c_custkey"), c("c_custkey") + 3000000)
+    return tables.unionByName(idx).unionByName(more).unionByName(plain)
+
+
+def _more_tables(df: DataFrame, oid: Column) -> DataFrame:
+    return df.select(oid.cast("bigint").alias("oid")).select(
+        *key(F.lit("db0")), "oid", F.concat(F.lit("table_"), F.col("oid").cast("string")).alias("relname"),
+        (F.col("oid") % 5).alias("relnamespace"), _pick(F.col("oid") % 5, _RELKIND).alias("relkind"),
+        F.lit(0).cast("bigint").alias("relam"), F.lit(0).cast("bigint").alias("reltablespace"),
+        F.when(F.col("oid") % 2 == 0, F.lit("postgres")).otherwise(F.lit("app")).alias("owner"),
+        F.when(F.col("oid") % 7 == 0, F.lit("u")).otherwise(F.lit("p")).alias("relpersistence"),
+        F.when(F.col("oid") % 3 == 0, F.concat(F.lit("table of "), F.col("oid").cast("string"))).alias("description"))
 
 
 def catalog_am(spark: SparkSession, d: str) -> DataFrame:

@@ -3,19 +3,26 @@
 The reference polls on fixed intervals; here landed snapshots arrive as files
 and each job is a streaming query over a file source with a checkpoint:
 
-* I1 ``latest_metric_stream``   watermark + 1-period windows, update mode;
-  the sink keeps every update, the reader takes the newest per window.
-* I2 ``heartbeat_error_stream`` error counts per (agent, beat) window; the
-  beat spine (all beats, also those without errors) is joined on read.
-* I3 ``long_running_stream``    the batch operator applied per micro-batch.
-* I4 ``landing_stream``         file source -> partitioned, compressed JSON sink.
-* I5 ``snapshot_counters_stream`` per-snapshot roll-ups with a watermark on
-  the observation time, update mode.
+* I1 ``latest_metric_stream``     sums and counts per period
+* I2 ``heartbeat_error_stream``   error counts per (agent, beat); the beat
+  spine (all beats, also those without errors) is joined on read
+* I3 ``long_running_stream``      the batch operator per micro-batch, and once
+  more over what the batches left (top n of the top n)
+* I4 ``landing_stream``           file source -> partitioned JSON sink
+* I5 ``snapshot_counters_stream`` per-snapshot roll-ups
+
+Files come in any order, so no watermark decides which rows count: each
+micro-batch writes partial aggregates under its batch id (written again as a
+whole if the batch is repeated), and readers merge them by key.  Late rows
+change the result whenever they come, and no state is kept between batches.
+
+``base`` is the job's folder (``input``, ``ckpt``, ``out``).  A caller who
+passes the same one again goes on where the last run stopped; without it each
+call takes a fresh folder below ``spark.checkpoint.dir``.
 
 Production triggers follow the reference's intervals (``processingTime``);
 tests and the registered queries use ``availableNow`` so a query drains its
-input and stops.  Checkpoints and sinks live under ``spark.checkpoint.dir``
-(shared storage on a cluster), so a restarted driver resumes exactly once.
+input and stops.
 """
 
 from __future__ import annotations
@@ -43,9 +50,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fleetlens/{name}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str) -> str:
-    """Land a derived snapshot relation as parquet files (the stream's input)."""
-    df.write.mode("overwrite").parquet(path)
+def materialize(df: DataFrame, path: str, mode: str = "append") -> str:
+    """Land a snapshot relation as parquet files (the stream's input)."""
+    df.write.mode(mode).parquet(path)
     return path
 
 
@@ -56,25 +63,6 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
-_EPOCH_NTZ = "1970-01-01 00:00:00"
-
-
-def _event_time(df: DataFrame, col: str) -> DataFrame:
-    """withWatermark needs TIMESTAMP; landed parquet gives wall-clock TIMESTAMP_NTZ.
-
-    The wall time is read as UTC (not in the session time zone), so event-time
-    windows align with the batch forms whatever the session zone is.
-    """
-    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.col(col))
-    return df.withColumn(col, F.timestamp_micros(micros))
-
-
-def _wall_time(col) -> "F.Column":
-    """Inverse of ``_event_time``: an instant back to UTC wall-clock TIMESTAMP_NTZ."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
-
-
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None, ckpt: str,
         output_mode: str = "update", trigger: dict | None = None, path: str | None = None,
         fmt: str = "parquet", partition_by=None, options: dict | None = None, block: bool = True):
@@ -110,111 +98,103 @@ def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def read_latest(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Newest version of every key written by ``versioned_sink``."""
-    df = spark.read.parquet(path)
-    keys = list(keys)
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys and c != "batch"]),
-                                          F.col("_batch_id")).alias("_r")) \
-        .select(*keys, "_r.*").drop("_batch_id")
+def partials(spark: SparkSession, rows: DataFrame, name: str, op: Callable[[DataFrame], DataFrame], base: str | None,
+             trigger: dict | None, max_files: int | None) -> DataFrame:
+    """Lands ``rows``, streams them through ``op`` batch by batch and returns what all batches wrote."""
+    base = base or work_dir(spark, name)
+    src = materialize(rows, f"{base}/input")
+    s = file_stream(spark, src, rows.schema, max_files)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        versioned_sink(f"{base}/out")(op(batch), batch_id)
+
+    run(s, sink, f"{base}/ckpt", "append", trigger)
+    return spark.read.parquet(f"{base}/out").drop("_batch_id", "batch")
 
 
 # I5 ----------------------------------------------------------------------------
-def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: list, name: str,
-                             watermark: str = "2 hours", trigger: dict | None = None,
+def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: list, merge: dict[str, str], name: str,
+                             spine: DataFrame | None = None, base: str | None = None, trigger: dict | None = None,
                              max_files: int | None = None) -> DataFrame:
     """Per-snapshot aggregates (D1-D3) as snapshot rows arrive.
 
-    ``snapshots`` is a batch relation carrying K; it is landed as files and
-    read back as a stream.  State per K is dropped once the watermark on the
-    observation time passes it.
+    ``merge`` names how each aggregate's partial values combine (sum, min or
+    max).  Snapshots of the spine without rows come with NULLs, counts with 0.
     """
-    base = work_dir(spark, name)
-    src = materialize(snapshots, f"{base}/input")
-    s = _event_time(file_stream(spark, src, snapshots.schema, max_files), "observation_time")
-    agg = s.withWatermark("observation_time", watermark).groupBy(*K).agg(*aggs)
-    run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
-    out = read_latest(spark, f"{base}/out", K)
-    return out.withColumn("observation_time", _wall_time("observation_time"))
+    part = partials(spark, snapshots, name, lambda b: b.groupBy(*K).agg(*aggs), base, trigger, max_files)
+    out = part.groupBy(*K).agg(*[getattr(F, how)(c).alias(c) for c, how in merge.items()])
+    if spine is None:
+        return out
+    zero = F.lit(0).cast("bigint")
+    return spine.select(*K).join(out, K, "left").select(
+        *K, *[F.coalesce(F.col(c), zero).alias(c) if how == "sum" else F.col(c) for c, how in merge.items()])
 
 
 # I1 ----------------------------------------------------------------------------
 def latest_metric_stream(spark: SparkSession, samples: DataFrame, now: str, window_s: int, period_s: int,
-                         watermark: str = "1 hour", trigger: dict | None = None,
+                         wanted: DataFrame | None = None, base: str | None = None, trigger: dict | None = None,
                          max_files: int | None = None) -> DataFrame:
-    """Period averages maintained by a stream; the newest period in the window wins."""
-    base = work_dir(spark, "latest_metric")
-    src = materialize(samples, f"{base}/input")
-    s = _event_time(file_stream(spark, src, samples.schema, max_files), "ts")
-    w = F.window("ts", f"{period_s} seconds")
-    agg = s.withWatermark("ts", watermark).groupBy("db_key", "metric", w.alias("w")) \
-        .agg(F.avg("value").alias("avg_value"))
-    agg = agg.select("db_key", "metric", _wall_time(F.col("w.start")).alias("period_start"), "avg_value")
-    run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
-    per = read_latest(spark, f"{base}/out", ["db_key", "metric", "period_start"])
-    now_ts = F.lit(now).cast("timestamp_ntz")
-    inside = per.filter((F.col("period_start") >= now_ts - F.make_dt_interval(secs=F.lit(window_s)))
-                        & (F.col("period_start") <= now_ts))
-    return inside.groupBy("db_key", "metric").agg(F.max_by("avg_value", "period_start").alias("value"),
-                                                  F.max("period_start").alias("period_start"))
+    """The newest period average of each wanted metric among the samples in [now - window, now]."""
+    from fleetlens.operators.observations import samples_in_window
+
+    def sums(batch: DataFrame) -> DataFrame:
+        start = F.window("ts", f"{int(period_s)} seconds").start
+        return samples_in_window(batch, wanted, now, window_s).groupBy(
+            "db_key", "metric", start.alias("period_start")).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+
+    per = partials(spark, samples, "latest_metric", sums, base, trigger, max_files).groupBy(
+        "db_key", "metric", "period_start").agg((F.sum("s") / F.sum("n")).alias("avg_value"))
+    return per.groupBy("db_key", "metric").agg(F.max_by("avg_value", "period_start").alias("value"),
+                                               F.max("period_start").alias("period_start"))
 
 
 # I2 ----------------------------------------------------------------------------
 def heartbeat_error_stream(spark: SparkSession, errors: DataFrame, activity: DataFrame, interval_s: int,
-                           watermark: str = "1 hour", trigger: dict | None = None) -> DataFrame:
-    """Errors counted per (agent, beat) by a stream, joined to the full beat spine."""
-    from fleetlens.operators.observations import heartbeat_beats, heartbeat_errors
-
-    base = work_dir(spark, "heartbeat")
-    assigned = heartbeat_errors(errors, activity, interval_s)
-    src = materialize(assigned, f"{base}/input")
-    s = _event_time(file_stream(spark, src, assigned.schema), "heartbeat_time")
-    agg = s.withWatermark("heartbeat_time", watermark).groupBy("organization_id", "db_key", "heartbeat_time") \
-        .agg(F.count(F.lit(1)).alias("n_errors"))
-    run(agg, versioned_sink(f"{base}/out"), f"{base}/ckpt", "update", trigger)
-    per = read_latest(spark, f"{base}/out", ["organization_id", "db_key", "heartbeat_time"]) \
-        .withColumn("heartbeat_time", _wall_time("heartbeat_time"))
-    beats = heartbeat_beats(activity, interval_s)
-    j = beats.join(per, ["organization_id", "db_key", "heartbeat_time"], "left")
+                           base: str | None = None, trigger: dict | None = None,
+                           max_files: int | None = None) -> DataFrame:
+    """Raw errors assigned to beats and counted by a stream, joined to the full beat spine."""
+    from fleetlens.operators.observations import beat_status, heartbeat_beats, heartbeat_errors
+
+    keys = ["organization_id", "db_key", "heartbeat_time"]
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return heartbeat_errors(batch, activity, interval_s).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_errors"))
+
+    per = partials(spark, errors, "heartbeat", counts, base, trigger, max_files).groupBy(*keys).agg(
+        F.sum("n_errors").alias("n_errors"))
+    j = heartbeat_beats(activity, interval_s).join(per, keys, "left")
     n = F.coalesce(F.col("n_errors"), F.lit(0).cast("bigint"))
-    status = (F.when(F.col("is_last") & (n > 0), F.lit("terminating_error"))
-              .when(F.col("is_last"), F.lit("terminating_ok"))
-              .when(n > 0, F.lit("error")).otherwise(F.lit("ok")))
-    return j.select("organization_id", "db_key", "agent_starttime", "heartbeat_time", status.alias("agent_status"),
-                    n.alias("n_errors"))
+    return j.select("organization_id", "db_key", "agent_starttime", "heartbeat_time",
+                    beat_status(F.col("is_last"), n).alias("agent_status"), n.alias("n_errors"))
 
 
 # I3 ----------------------------------------------------------------------------
 def long_running_stream(spark: SparkSession, activity: DataFrame, op: Callable[[DataFrame], DataFrame],
-                        trigger: dict | None = None) -> DataFrame:
-    """The long-running filter evaluated on every arriving batch of session rows.
+                        base: str | None = None, trigger: dict | None = None,
+                        max_files: int | None = None) -> DataFrame:
+    """The long-running filter on every arriving batch of session rows, and its limit over all batches.
 
     ``trigger={"processingTime": "120 seconds"}`` reproduces the polling interval.
     """
-    base = work_dir(spark, "long_running")
-    src = materialize(activity, f"{base}/input")
-    s = file_stream(spark, src, activity.schema)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        op(batch).withColumn("_batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{base}/out/batch={batch_id}")
-
-    run(s, sink, f"{base}/ckpt", "append", trigger)
-    return spark.read.parquet(f"{base}/out").drop("_batch_id", "batch")
+    return op(partials(spark, activity, "long_running", op, base, trigger, max_files))
 
 
 # I4 ----------------------------------------------------------------------------
-TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
+def landing_stream(spark: SparkSession, obs: DataFrame, base: str | None = None, trigger: dict | None = None,
+                   max_files: int | None = None) -> DataFrame:
+    """Documents appended to the landing zone as they arrive (A8 layout).
 
-def landing_stream(spark: SparkSession, obs: DataFrame, trigger: dict | None = None) -> DataFrame:
-    """Documents appended to the landing zone as they arrive (A8 layout, gzip JSON)."""
-    from fleetlens.operators.observations import landing_layout, read_landing
+    Each micro-batch has a folder of its own in the zone, written anew as a
+    whole if the batch is repeated.
+    """
+    from fleetlens.operators.observations import land, read_landing
 
-    base = work_dir(spark, "landing")
+    base = base or work_dir(spark, "landing")
     src = materialize(obs, f"{base}/input")
-    s = landing_layout(file_stream(spark, src, obs.schema))
-    run(s, None, f"{base}/ckpt", "append", trigger, path=f"{base}/zone", fmt="json",
-        partition_by=["organization_id", "db_key", "type_dir", "dt", "hr"],
-        options={"compression": "gzip", "timestampNTZFormat": TS_FORMAT})
-    return read_landing(spark, f"{base}/zone")
+    s = file_stream(spark, src, obs.schema, max_files)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        land(batch, f"{base}/zone/batch={batch_id}", mode="overwrite")
+
+    run(s, sink, f"{base}/ckpt", "append", trigger)
+    return read_landing(spark, f"{base}/zone").drop("batch")

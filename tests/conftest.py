@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -23,6 +22,4 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):  # tests only: the cluster names its own
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetlens-test-ckpt-"))
     yield s

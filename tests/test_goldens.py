@@ -159,7 +159,8 @@ def test_latest_metric_golden(spark):
 
 def test_logical_db_union_twice(spark):
     df = spark.createDataFrame([(1, 10), (2, 20)], "relid bigint, n bigint")
-    u = O.logical_db_union({"postgres": df, "other": df.drop("n")})
+    named = lambda x: df.withColumn("logical_database_name", F.lit(x))
+    u = O.logical_db_union([named("postgres"), named("other").drop("n")])
     rows = sorted((r["logical_database_name"], r["relid"], r["n"]) for r in u.collect())
     assert rows == [("other", 1, None), ("other", 2, None), ("postgres", 1, 10), ("postgres", 2, 20)]
 
@@ -234,8 +235,52 @@ def test_heartbeat_statuses(spark):
         .withColumn("timestamp", F.col("t").cast("timestamp_ntz")).drop("t")
     got = [(str(r["heartbeat_time"]), r["agent_status"], r["n_errors"])
            for r in O.agent_heartbeat(err, act, 3600).orderBy("heartbeat_time").collect()]
-    assert got == [("2024-01-01 01:00:00", "error", 1), ("2024-01-01 02:00:00", "ok", 0),
-                   ("2024-01-01 03:00:00", "ok", 0), ("2024-01-01 04:00:00", "terminating_error", 1)]
+    assert got == [("2024-01-01 01:10:00", "error", 1), ("2024-01-01 02:10:00", "ok", 0),
+                   ("2024-01-01 03:10:00", "ok", 0), ("2024-01-01 04:10:00", "terminating_error", 1)]
     errs = O.pack_errors(O.heartbeat_errors(err, act, 3600)).orderBy("heartbeat_time").collect()
     assert [r["n_rows"] for r in errs] == [1, 1]
     assert errs[0]["errors"].startswith('[{"data":{"name":"E","message":"m","stacktrace":"s"},"timestamp":')
+
+
+def test_heartbeat_of_a_short_life_and_an_error_on_the_last_beat(spark):
+    act = spark.sql("""SELECT 'o' AS organization_id, 'a' AS db_key, timestamp_ntz'2024-01-01 00:10:05' AS first_seen,
+                       timestamp_ntz'2024-01-01 00:10:35' AS last_seen""")
+    err = spark.sql("""SELECT 'o' AS organization_id, 'a' AS db_key, 1 AS error_id, 'E' AS name, 'm' AS message,
+                       's' AS stacktrace, timestamp_ntz'2024-01-01 00:11:05' AS timestamp""")
+    got = [(str(r.heartbeat_time), r.agent_status, r.n_errors) for r in O.agent_heartbeat(err, act, 60).collect()]
+    assert got == [("2024-01-01 00:11:05", "terminating_error", 1)]
+    doc = O.heartbeat_document(err, act, "1.0", 60).first().document
+    assert doc == ('{"organization_id":"o","db_key":"a","agent_status":"terminating_error",'
+                   '"agent_starttime":"2024-01-01T00:10:05","heartbeat_time":"2024-01-01T00:11:05","agent_version":"1.0",'
+                   '"errors":[{"data":{"name":"E","message":"m","stacktrace":"s"},"timestamp":"2024-01-01T00:11:05"}]}')
+
+
+def test_payloads_are_nested(spark):
+    obs = spark.sql("""SELECT 1 AS id, 'db' AS obs_type, '{"a": [1, "x"]}' AS payload, 'd' AS db_key,
+                       'o' AS organization_id, timestamp_ntz'1970-01-01 00:00:07' AS observation_time""")
+    assert O.serialize(obs, F.lit("14.2")).first().document == (
+        '{"data":{"a":[1,"x"]},"summary":{"version":"14.2","observation_time":7},"db_key":"d","organization_id":"o"}')
+
+
+def test_empty_views_are_reported(spark):
+    from fleetlens.keys import K
+    from fleetlens.operators import rollups as R
+    from fleetlens.operators import status as SS
+    spine = spark.sql("SELECT 'o' organization_id, concat('d', id) db_key, 'l' logical_database_name, "
+                      "timestamp_ntz'2024-01-01 00:00:00' observation_time FROM range(3)")
+    view = spine.filter("db_key = 'd0'").withColumn("x", F.lit(1)).union(
+        spine.filter("db_key = 'd1'").withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))))
+    got = {r.db_key: r.n_rows for r in SS.single_row_view(view, "v", spine).collect()}
+    assert got == {"d1": 2, "d2": 0}
+    ext = spine.filter("db_key = 'd0'").withColumn("extname", F.lit("pg_stat_statements"))
+    assert {r.db_key: r.extension_present for r in R.extension_present(ext, spine=spine).collect()} == {
+        "d0": True, "d1": False, "d2": False}
+    assert K
+
+
+def test_histogram_has_fixed_buckets(spark):
+    from fleetlens.operators import rollups as R
+    df = spark.createDataFrame([("a", 5.0e6), ("a", 1.0e7), ("a", 3.0e20), ("a", None)], "db_key string, value double")
+    got = R.latency_histogram(df).orderBy("bucket_number").collect()
+    assert len(got) == 450 and [r.bucket_number for r in got if r.count_bucket] == [0, 1, 449]
+    assert got[-1].bucket_timer_high is None and got[-1].bucket_quantile == 1.0

@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from fleetlens.plans.registry import all_oracles, all_queries
 from oracle_check import compare, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 @pytest.fixture(scope="module")

@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from fleetlens.plans.registry import all_queries
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 STREAMING = {"snapshot_counters_stream", "latest_metric_stream", "heartbeat_stream", "long_running_stream",
              "landing_stream"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
@@ -58,3 +58,17 @@ def test_large_limits_still_limit_before_shuffle(spark):
     ts = V.pg_stat_user_tables(spark, SF_SMALL)
     top = T.top_n_per_key(ts, 10000, [F.col("n_live_tup").desc(), F.col("relid")], salt_by=["relid"])
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_schema_document_without_cross_or_self_join(spark):
+    plan = _plan(spark, "schema_observation")
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_pages_are_ranges_of_the_order(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.operators.observations import with_pages
+    df = spark.range(25).select(F.lit("k").alias("k"), "id")
+    pages = {r.page: r.ids for r in with_pages(df, ["id"], 10, ["k"]).groupBy("page").agg(
+        F.sort_array(F.collect_list("id")).alias("ids")).collect()}
+    assert pages == {0: list(range(10)), 1: list(range(10, 20)), 2: list(range(20, 25))}

@@ -16,3 +16,14 @@ def test_round_trip_and_pruning(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "db_key" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert one.count() == ts.filter("db_key = 'Brand#1'").count()
+
+
+def test_keys_stay_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+    path = str(tmp_path / "keys")
+    df = spark.createDataFrame([("1", "007", "d", "2024-01-01 00:00:00", 1), ("1", "7", "d", "2024-01-01 00:00:00", 2)],
+                               "organization_id string, db_key string, logical_database_name string, t string, v int")
+    df = df.withColumn("observation_time", F.col("t").cast("timestamp_ntz")).drop("t")
+    SN.write_snapshot(df, path, rows_per_file=1)
+    assert [r.v for r in SN.read_snapshot(spark, path, db_key="007").collect()] == [1]
+    assert {(r.organization_id, r.db_key) for r in SN.read_snapshot(spark, path).collect()} == {("1", "007"), ("1", "7")}
