@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import materialise
 
 #: Bytes of text after which a block ends, and of text per hash range of the counts.
-BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 16 << 20, 8 << 20, 64
+BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 8 << 20, 8 << 20, 64
 #: Shares of the bigram estimate that are tried, by the power of two of the context's count.
 GRID = np.array([0, 1e-4, 1e-3, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])
 BINS = 48
@@ -159,22 +159,23 @@ def code_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
 def _requests(ranges: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block.read(data)
-                train = block.training()
-                own = np.bincount(block.stream[train], minlength=len(block.words)).astype(np.uint32)
-                _, keys, place = block.pairs()
-                pairs = np.bincount(place[train], minlength=len(keys)).astype(np.uint32)
-                out = []
-                for kind, h, c in ((1, block.words, own), (2, keys, pairs)):
-                    part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    cut = np.searchsorted(part, np.arange(ranges + 1))
-                    out += [(name, kind, i, pack(gaps(h[a:b]), c[a:b]))
-                            for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
-                     pa.array(cols[3], pa.binary())], names=["block", "kind", "part", "data"])
+            for row in range(batch.num_rows):  # one block at a time
+                yield ask(batch.column(0)[row].as_py(), Block.read(batch.column(1)[row].as_py()))
+
+    def ask(name: str, block: Block) -> pa.RecordBatch:
+        train = block.training()
+        own = np.bincount(block.stream[train], minlength=len(block.words)).astype(np.uint32)
+        _, keys, place = block.pairs()
+        pairs = np.bincount(place[train], minlength=len(keys)).astype(np.uint32)
+        out = []
+        for kind, h, c in ((1, block.words, own), (2, keys, pairs)):
+            part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(ranges + 1))
+            out += [(name, kind, i, pack(gaps(h[a:b]), c[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
+             pa.array(cols[3], pa.binary())], names=["block", "kind", "part", "data"])
 
     return run
 
