@@ -7,9 +7,9 @@ The flagship plan is one lazy job per fleet:
       -> tuple_padding  : attribute x class x namespace  INNER stats   (C5  -> D6)
       -> bloat_ratio    : factors LEFT padding (C11) -> arithmetic (H6)
 
-Both joins against the target set are semi-joins on (K, relid), so the big
-catalog relations are cut before they are joined with each other, and the id
-list never visits the driver.  The only collected group is the columns of one
+The target set (K, relid) becomes the target tables with their names first;
+attributes are cut by their ids and statistics by their names before they are
+joined with each other, and no list visits the driver.  The only collected group is the columns of one
 table (D6), which PostgreSQL bounds at 1,600 attributes.
 """
 
@@ -36,16 +36,23 @@ def _targets(df: DataFrame, targets: DataFrame | None, id_col: str) -> DataFrame
     return target_semi(df, targets, on=K + ["relid"], left_on=K + [id_col])
 
 
-def _attr_class_ns(attrs: DataFrame, classes: DataFrame, nsp: DataFrame,
-                   targets: DataFrame | None, relkinds=None) -> DataFrame:
+def _target_tables(classes: DataFrame, nsp: DataFrame, targets: DataFrame | None, relkinds=None) -> DataFrame:
+    """Target classes with their names: a small frame that cuts every larger catalog relation."""
     cls = classes
     if relkinds:
         cls = cls.filter(F.col("relkind").isin(*relkinds))
-    cls = _targets(cls, targets, "oid")
-    att = _targets(attrs, targets, "attrelid")
-    j = att.join(cls.withColumnRenamed("oid", "attrelid"), K + ["attrelid"])
+    cls = _targets(cls, targets, "oid").withColumnRenamed("oid", "attrelid")
     ns = nsp.select(*K, F.col("oid").alias("relnamespace"), "nspname")
-    return j.join(ns, K + ["relnamespace"])
+    return cls.join(ns, K + ["relnamespace"])
+
+
+def _target_stats(stats: DataFrame, tables: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Statistics of the target tables only: the fleet's other rows are dropped before any shuffle of theirs
+    where the target names can be broadcast."""
+    named = _stats_on_names(stats)
+    if targets is None:
+        return named
+    return named.join(tables.select(*K, "nspname", "relname").distinct(), K + ["nspname", "relname"], "left_semi")
 
 
 def _stats_on_names(stats: DataFrame) -> DataFrame:
@@ -61,8 +68,9 @@ def factor_stats_join(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stat
     The four-key condition sits in the ON clause, so unanalysed columns stay
     with NULL statistics.
     """
-    base = _attr_class_ns(attrs.filter(~F.col("attisdropped")), classes, nsp, targets, BLOAT_RELKINDS)
-    j = base.join(_stats_on_names(stats), K + ["nspname", "relname", "attname"], "left")
+    tables = _target_tables(classes, nsp, targets, BLOAT_RELKINDS)
+    base = attrs.filter(~F.col("attisdropped")).join(tables, K + ["attrelid"])
+    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"], "left")
     return j.select(*K, F.col("attrelid").alias("relid"), "attname", "attnum", "atttypname",
                     "reltuples", "relpages", "reloptions", "null_frac", "avg_width", "stat_found")
 
@@ -108,8 +116,9 @@ def bloat_factors(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stats: D
 def column_width_join(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stats: DataFrame,
                       targets: DataFrame | None = None) -> DataFrame:
     """Columns of target tables with an analysed width (inner join on names)."""
-    base = _attr_class_ns(attrs, classes, nsp, targets)
-    j = base.join(_stats_on_names(stats), K + ["nspname", "relname", "attname"])
+    tables = _target_tables(classes, nsp, targets)
+    base = attrs.join(tables, K + ["attrelid"])
+    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"])
     return j.select(*K, F.col("attrelid").alias("relid"), "attnum", "attname", "attalign", "avg_width")
 
 
@@ -181,8 +190,9 @@ def table_bloat(attrs, classes, nsp, stats, settings, targets) -> DataFrame:
     their padding would be discarded by the LEFT join from the factors (C11).
     """
     c = F.col
-    base = _attr_class_ns(attrs, classes, nsp, targets, BLOAT_RELKINDS)
-    j = base.join(_stats_on_names(stats), K + ["nspname", "relname", "attname"], "left")
+    tables = _target_tables(classes, nsp, targets, BLOAT_RELKINDS)
+    base = attrs.join(tables, K + ["attrelid"])
+    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"], "left")
     live = ~c("attisdropped")
     matched = c("stat_found").isNotNull()
     nf = F.coalesce(c("null_frac"), F.lit(0.0))

@@ -72,3 +72,9 @@ def test_pages_are_ranges_of_the_order(spark):
     pages = {r.page: r.ids for r in with_pages(df, ["id"], 10, ["k"]).groupBy("page").agg(
         F.sort_array(F.collect_list("id")).alias("ids")).collect()}
     assert pages == {0: list(range(10)), 1: list(range(10, 20)), 2: list(range(20, 25))}
+
+
+def test_statistics_are_cut_to_the_target_tables_before_the_join(spark):
+    plan = _plan(spark, "bloat_ratio")
+    stats = plan[plan.index("attname"):]
+    assert "LeftSemi" in stats and plan.count("Scan parquet") <= 12
