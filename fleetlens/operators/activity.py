@@ -13,8 +13,13 @@ from fleetlens.operators.topn import target_semi, top_n_per_key
 
 PG_LONG_RUNNING_COLUMNS = ["pid", "query_id", "backend_start", "query_start", "datid", "datname", "state",
                            "state_change", "wait_event", "wait_event_type", "backend_type", "xact_start"]
+# The columns of the long-running sample.
 MYSQL_LONG_RUNNING_COLUMNS = ["THREAD_ID", "EVENT_ID", "EVENT_NAME", "TIMER_START", "TIMER_END", "TIMER_WAIT",
-                              "LOCK_TIME", "DIGEST", "DIGEST_TEXT", "ROWS_SENT", "ROWS_EXAMINED"]
+                              "LOCK_TIME", "DIGEST", "DIGEST_TEXT", "ROWS_AFFECTED", "ROWS_SENT", "ROWS_EXAMINED",
+                              "CREATED_TMP_DISK_TABLES", "CREATED_TMP_TABLES", "SELECT_FULL_JOIN",
+                              "SELECT_FULL_RANGE_JOIN", "SELECT_RANGE", "SELECT_RANGE_CHECK", "SELECT_SCAN",
+                              "SORT_MERGE_PASSES", "SORT_RANGE", "SORT_ROWS", "SORT_SCAN", "NO_INDEX_USED",
+                              "NO_GOOD_INDEX_USED"]
 VACUUM_COLUMNS = ["usename", "datid", "datname", "pid", "wait_event_type", "wait_event", "state", "query"]
 
 

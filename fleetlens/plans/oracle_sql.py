@@ -168,8 +168,7 @@ SELECT {KC}, {_LR_PG.format(ge14=_at_least(14))} FROM (
 ORACLES["long_running_pg"] = _long_running_pg(Q.N_LONG_RUNNING)
 ORACLES["bounded_sample"] = _long_running_pg(Q.N_SAMPLE)
 ORACLES["long_running_mysql"] = W(f"""
-SELECT {KC}, THREAD_ID, EVENT_ID, EVENT_NAME, TIMER_START, TIMER_END, TIMER_WAIT, LOCK_TIME, DIGEST,
-  DIGEST_TEXT, ROWS_SENT, ROWS_EXAMINED FROM (
+SELECT * EXCLUDE (rn) FROM (
   SELECT *, {_rank("TIMER_WAIT DESC, THREAD_ID ASC")} AS rn FROM mysql_current_statements
   WHERE DIGEST IS NOT NULL AND TIMER_WAIT > {Q.LR_MINUTES_MYSQL} * 60000000000000) WHERE rn <= {Q.N_LONG_RUNNING}""",
                                   "mysql_current_statements")

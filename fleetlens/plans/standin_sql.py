@@ -310,7 +310,12 @@ SELECT {_k("concat('db', o_custkey % 10)")}, o_orderkey AS THREAD_ID, o_orderkey
   CAST(floor(o_totalprice) AS BIGINT) * 1000000000 AS TIMER_WAIT, o_orderkey % 100 * 1000 AS LOCK_TIME,
   nullif(o_orderpriority, '4-NOT SPECIFIED') AS DIGEST,
   concat('SELECT * FROM t WHERE p = ', o_orderpriority) AS DIGEST_TEXT,
-  o_orderkey % 10 AS ROWS_SENT, o_custkey % 100 AS ROWS_EXAMINED
+  o_orderkey % 10 AS ROWS_SENT, o_custkey % 100 AS ROWS_EXAMINED,
+  o_orderkey % 2 AS ROWS_AFFECTED, o_orderkey % 3 AS CREATED_TMP_DISK_TABLES, o_orderkey % 4 AS CREATED_TMP_TABLES,
+  o_orderkey % 5 AS SELECT_FULL_JOIN, o_orderkey % 6 AS SELECT_FULL_RANGE_JOIN, o_orderkey % 7 AS SELECT_RANGE,
+  o_orderkey % 8 AS SELECT_RANGE_CHECK, o_orderkey % 9 AS SELECT_SCAN, o_orderkey % 10 AS SORT_MERGE_PASSES,
+  o_orderkey % 11 AS SORT_RANGE, o_orderkey % 12 AS SORT_ROWS, o_orderkey % 13 AS SORT_SCAN,
+  o_orderkey % 14 AS NO_INDEX_USED, o_orderkey % 15 AS NO_GOOD_INDEX_USED
 FROM orders""", ())
 
 S["vacuum_activity_src"] = (f"""

@@ -651,6 +651,13 @@ def own_sessions(spark: SparkSession, d: str) -> DataFrame:
                     F.col("o_orderkey").alias("pid"))
 
 
+# The remaining counters of events_statements_current.
+STATEMENT_COUNTERS = ["ROWS_AFFECTED", "CREATED_TMP_DISK_TABLES", "CREATED_TMP_TABLES", "SELECT_FULL_JOIN",
+                      "SELECT_FULL_RANGE_JOIN", "SELECT_RANGE", "SELECT_RANGE_CHECK", "SELECT_SCAN",
+                      "SORT_MERGE_PASSES", "SORT_RANGE", "SORT_ROWS", "SORT_SCAN", "NO_INDEX_USED",
+                      "NO_GOOD_INDEX_USED"]
+
+
 def mysql_current_statements(spark: SparkSession, d: str) -> DataFrame:
     """V6: performance_schema.events_statements_current, timers in ps."""
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
@@ -669,6 +676,7 @@ def mysql_current_statements(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("SELECT * FROM t WHERE p = "), c("o_orderpriority")).alias("DIGEST_TEXT"),
         (c("o_orderkey") % 10).alias("ROWS_SENT"),
         (c("o_custkey") % 100).alias("ROWS_EXAMINED"),
+        *[(c("o_orderkey") % (i + 2)).alias(name) for i, name in enumerate(STATEMENT_COUNTERS)],
     )
 
 
