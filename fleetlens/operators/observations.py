@@ -266,20 +266,24 @@ def landing_columns(obs: DataFrame, ts: str = "observation_time") -> DataFrame:
                       object_prefix(F.col("organization_id"), F.col("db_key"), t, F.col(ts)).alias("object_key"))
 
 
-LANDING_PARTITIONS = ["type_dir", "dt", "hr"]
+LANDING_PARTITIONS = ["type_dir", "dt"]      # the hour stays a column, see landing_layout
 # Document types that the object store holds compressed.
 COMPRESSED_TYPES = ("QUERY", "LONG_RUNNING_QUERY", "SCHEMA")
 
 
-def landing_layout(obs: DataFrame) -> DataFrame:
-    """A8 rows clustered by organisation and database inside type/day/hour folders.
+def landing_layout(obs: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
+    """A8 rows clustered by hour, organisation and database inside type/day folders.
 
-    Folders do not multiply with the fleet; a document keeps its object name
-    in ``object_key``.  Rows are dealt by folder and database, so a folder
-    that holds most of the rows is written by many tasks.
+    Folders multiply neither with the fleet nor with the hours; a document keeps its object name
+    in ``object_key``.  A folder is written by as many tasks as it needs files
+    of ``rows_per_file`` rows (counted first, one row per folder).
     """
-    return (landing_columns(obs).repartition(*LANDING_PARTITIONS, "organization_id", "db_key")
-            .sortWithinPartitions(*LANDING_PARTITIONS, "organization_id", "db_key", "observation_time"))
+    rows = landing_columns(obs)
+    sizes = rows.groupBy(*LANDING_PARTITIONS).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    salt = F.pmod(F.xxhash64("organization_id", "db_key", "hr"), F.col("_files"))
+    return (rows.join(sizes, LANDING_PARTITIONS).withColumn("_salt", salt).repartition(*LANDING_PARTITIONS, "_salt")
+            .sortWithinPartitions(*LANDING_PARTITIONS, "hr", "organization_id", "db_key", "observation_time")
+            .drop("_files", "_salt"))
 
 
 def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "append") -> None:
