@@ -130,13 +130,17 @@ def ordered_string_agg(df: DataFrame, keys, order: str, value: str, alias: str,
 
 
 def index_column_names(idx: DataFrame, att: DataFrame, cls: DataFrame, nsp: DataFrame) -> DataFrame:
-    """Per index the key column names in key order ('WITH ORDINALITY')."""
+    """Per index its keys in key order ('WITH ORDINALITY'): column names, and the text of expression keys
+    (attnum 0, in the order of ``indexprs``)."""
     c = F.col
     tables = _class_ns(cls, nsp).filter(user_schema(c("nspname"))).select(*K, c("oid").alias("indrelid"))
     keys = idx.join(tables, K + ["indrelid"]).select(*K, "indrelid", "indexrelid",
+                                                     "indkey", "indexprs",
                                                      F.posexplode("indkey").alias("pos", "attnum"))
+    nth = F.size(F.filter(F.slice("indkey", F.lit(1), c("pos") + 1), lambda k: k == 0))
+    keys = keys.withColumn("expr", F.when(c("attnum") == 0, F.get(c("indexprs"), nth - 1))).drop("indkey", "indexprs")
     names = att.select(*K, c("attrelid").alias("indrelid"), "attnum", "attname")
-    j = keys.join(names, K + ["indrelid", "attnum"], "left")
+    j = keys.join(names, K + ["indrelid", "attnum"], "left").withColumn("attname", F.coalesce("expr", "attname"))
     out = ordered_string_agg(j, K + ["indrelid", "indexrelid"], "pos", "attname", "column_names")
     return out.select(*K, c("indrelid").alias("table_id"), c("indexrelid").alias("index_id"), "column_names")
 

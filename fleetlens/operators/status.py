@@ -97,8 +97,11 @@ def user_set_parameters(params: DataFrame) -> DataFrame:
     return params.filter((F.col("source") == "user") & F.col("name").isNotNull()).select(*K, "name").distinct()
 
 
-def replication_status(spine: DataFrame, status: DataFrame, cols) -> DataFrame:
-    """First row of the replica status as JSON text, '' without one."""
-    first = status.groupBy(*K).agg(F.min_by(F.struct(*cols), F.col(cols[0])).alias("_row"))
-    j = spine.select(*K).join(first, K, "left")
-    return j.select(*K, F.coalesce(F.to_json("_row"), F.lit("")).alias("replica_status"))
+def replication_status(spine: DataFrame, replica: DataFrame, replica_cols, primary: DataFrame,
+                       primary_cols) -> DataFrame:
+    """First row of the replica status and of the primary status as JSON text, '' without one."""
+    out = spine.select(*K)
+    for df, cols, alias in ((replica, replica_cols, "replica_status"), (primary, primary_cols, "master_status")):
+        first = df.groupBy(*K).agg(F.to_json(F.min_by(F.struct(*cols), F.struct(*cols))).alias("_row"))
+        out = out.join(first, K, "left").withColumn(alias, F.coalesce("_row", F.lit(""))).drop("_row")
+    return out

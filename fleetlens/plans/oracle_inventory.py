@@ -72,8 +72,9 @@ _IXC = ("ixc", f"""
 SELECT {KC}, indrelid AS table_id, indexrelid AS index_id,
   coalesce(array_to_string(list(attname ORDER BY pos), ','), '') AS column_names
 FROM (
-  SELECT {P("k")}, k.indrelid, k.indexrelid, k.pos, a.attname FROM (
-    SELECT {P("i")}, i.indrelid, i.indexrelid, generate_subscripts(i.indkey, 1) - 1 AS pos,
+  SELECT {P("k")}, k.indrelid, k.indexrelid, k.pos,
+    CASE WHEN k.attnum = 0 THEN k.indexprs[1] ELSE a.attname END AS attname FROM (
+    SELECT {P("i")}, i.indrelid, i.indexrelid, i.indexprs, generate_subscripts(i.indkey, 1) - 1 AS pos,
       unnest(i.indkey) AS attnum
     FROM catalog_index i
     JOIN catalog_class c ON {KEQ("i", "c")} AND c.oid = i.indrelid

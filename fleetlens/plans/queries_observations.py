@@ -181,7 +181,7 @@ def q_logical_db_union(spark, d):
 
 @query("replication_status")
 def q_replication_status(spark, d):
-    """Replica status JSON per MySQL snapshot, '' where none is reported."""
+    """Replica and primary status JSON per MySQL snapshot, '' where none is reported."""
     st = V.mysql_status(spark, d)
     spine = st.select(*K).distinct()
     from fleetlens.sources.tables import read_table
@@ -190,4 +190,8 @@ def q_replication_status(spark, d):
         *V.key(F.col("user_id").cast("string")),
         F.concat(F.lit("replica-"), F.col("user_id").cast("string")).alias("Source_Host"),
         "Seconds_Behind_Source")
-    return SS.replication_status(spine, rep, ["Source_Host", "Seconds_Behind_Source"])
+    logs = read_table(spark, d, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("Position")).filter(
+        F.col("Position") % 2 == 0).select(*V.key(F.col("user_id").cast("string")),
+                                           F.concat(F.lit("binlog."), F.col("user_id").cast("string")).alias("File"),
+                                           "Position")
+    return SS.replication_status(spine, rep, ["Source_Host", "Seconds_Behind_Source"], logs, ["File", "Position"])

@@ -405,7 +405,8 @@ S["catalog_index"] = (f"""
 SELECT {_K0}, p_partkey + 1000000 AS indexrelid, p_partkey % 25 AS indrelid,
   p_size % 10 = 0 AS indisprimary, p_size % 2 = 0 AS indisunique, p_size % 7 = 0 AS indisclustered,
   p_partkey % 50 <> 7 AS indisvalid, p_size % 9 = 0 AS indisreplident,
-  [CAST(p_size % 3 + 1 AS INTEGER), CAST(p_size % 2 + 4 AS INTEGER)] AS indkey,
+  [CAST(p_size % 3 + 1 AS INTEGER), CASE WHEN p_partkey % 11 = 4 THEN 0 ELSE CAST(p_size % 2 + 4 AS INTEGER) END] AS indkey,
+  CASE WHEN p_partkey % 11 = 4 THEN [concat('lower(c', p_size, ')')] END AS indexprs,
   concat('CREATE INDEX idx_', p_partkey, ' ON t', p_partkey % 25) AS indexdef
 FROM part""", ())
 

@@ -857,7 +857,10 @@ def catalog_index(spark: SparkSession, d: str) -> DataFrame:
         (c("p_size") % 7 == 0).alias("indisclustered"),
         (c("p_partkey") % 50 != 7).alias("indisvalid"),
         (c("p_size") % 9 == 0).alias("indisreplident"),
-        F.array((c("p_size") % 3 + 1).cast("int"), (c("p_size") % 2 + 4).cast("int")).alias("indkey"),
+        F.array((c("p_size") % 3 + 1).cast("int"),
+                F.when(c("p_partkey") % 11 == 4, F.lit(0)).otherwise((c("p_size") % 2 + 4).cast("int"))).alias("indkey"),
+        F.when(c("p_partkey") % 11 == 4, F.array(F.concat(F.lit("lower(c"), c("p_size").cast("string"), F.lit(")"))))
+        .alias("indexprs"),
         F.concat(F.lit("CREATE INDEX idx_"), c("p_partkey").cast("string"), F.lit(" ON t"),
                  (c("p_partkey") % 25).cast("string")).alias("indexdef"),
     )
