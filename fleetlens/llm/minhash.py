@@ -9,6 +9,9 @@ Near pairs: signatures are cut into bands, equal bands joined in Spark, and
 the Jaccard similarity of each candidate pair verified on its shingle sets.
 Equal texts are one entry there.
 
+Near classes (the pipeline's stage): the same bands; buckets of any size are
+split until small, a bucket yields a spanning forest of its verified links.
+
 Edits: documents are dealt by id range and sorted, so each task streams over
 neighbours; a task's last document meets the first of the next task in a
 second, small step.
@@ -22,14 +25,18 @@ single document is its own neighbour; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import map_rows, materialise
+from fleetlens.llm.components import components
 
 SHINGLE, PERMUTATIONS, BANDS = 5, 64, 16
+#: Bands that split a large bucket of ``near_classes``.
+DEPTH = 4
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 2 ** 64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2 ** 64, PERMUTATIONS, dtype=np.uint64)
@@ -160,3 +167,104 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     common = F.size(F.array_intersect("_x", "_y"))
     return both.select("a", "b", (common / (F.size("_x") + F.size("_y") - common)).alias("similarity")).filter(
         F.col("similarity") >= threshold)
+
+
+def _band_entries(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text_hash, bands, shingles) per row; key: digest of the words, shingles: their sorted 32-bit keys."""
+    def run(rows):
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        sh, width = Shingler(), PERMUTATIONS // BANDS
+        for doc_id, text_hash, text in rows:
+            text = text or ""
+            sig = sh.signature(text)
+            bands = [xxh64_intdigest(sig[i:i + width].tobytes(), i) - (1 << 63) for i in range(0, PERMUTATIONS, width)]
+            yield (xxh3_128_digest(b" ".join(text.encode().lower().split())), doc_id, text_hash, bands,
+                   np.unique(sh.keys(text)).astype("<u4").tobytes())
+
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run,
+                    "key binary, doc_id long, text_hash long, bands array<long>, shingles binary", 200)
+
+
+def _buckets(own: DataFrame, limit: int) -> DataFrame:
+    """(mask, value, key): entries that agree in the bands of ``mask``, at most ``limit`` + 1 a bucket, at least two.
+
+    A larger bucket is split by each further band, so a pair in it still meets
+    where it shares one.  What is larger after ``DEPTH`` bands (16 equal
+    positions) is dealt by hash, its smallest key in every part as a hub.
+    """
+    bits = F.lit(1).cast("long")
+    bands = own.groupBy("key").agg(F.first("bands").alias("bands"))
+    level = own.select("key", F.posexplode("bands").alias("band", "value")).select(
+        F.expr("shiftleft(1L, band)").alias("mask"), "value", "key").distinct()
+    found, at = [], ["mask", "value"]
+    for depth in range(1, DEPTH + 1):
+        sizes = level.groupBy(*at).agg(F.count(bits).alias("n"), F.min("key").alias("hub")).filter("n > 1")
+        level = materialise(level.join(sizes, at), "bands")
+        found.append(level.filter(F.col("n") <= limit).select(*at, "key"))
+        hot = level.filter(F.col("n") > limit)
+        if hot.isEmpty():
+            break
+        if depth < DEPTH:
+            level = (hot.join(bands, "key").select(*at, "key", F.posexplode("bands").alias("band", "more"))
+                     .filter("mask & shiftleft(1L, band) = 0")
+                     .select(F.expr("mask | shiftleft(1L, band)").alias("mask"), F.expr("value ^ more").alias("value"),
+                             "key").distinct())
+        else:
+            parts = F.ceil(F.col("n") / limit)
+            dealt = hot.filter("key <> hub").select(*at, "key", F.pmod(F.xxhash64("key"), parts).alias("part"))
+            hubs = hot.filter("key = hub").select(*at, "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+                                                  .alias("part"))
+            found.append(dealt.union(hubs).select("mask", F.xxhash64("value", "part").alias("value"), "key"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def verified_links(own: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """(a, b): links at or above the threshold; a spanning forest of those within each bucket."""
+    members = _buckets(own, limit)
+    sets = (own.join(members.select("key").distinct(), "key", "left_semi")
+            .groupBy("key").agg(F.first("shingles").alias("shingles")))
+    dealt = (members.join(sets, "key").select("mask", "value", "key", "shingles")
+             .repartition("mask", "value").sortWithinPartitions("mask", "value"))
+
+    def run(rows):
+        for _, group in itertools.groupby(rows, key=lambda r: r[:2]):
+            rest = [(key, np.frombuffer(s, dtype="<u4")) for _, _, key, s in group]
+            while len(rest) > 1:
+                reached = [rest.pop()]
+                while reached and rest:
+                    (key, x), far = reached.pop(), []
+                    for other in rest:
+                        if jaccard(x, other[1], threshold) >= threshold:
+                            reached.append(other)
+                            yield min(key, other[0]), max(key, other[0])
+                        else:
+                            far.append(other)
+                    rest = far
+
+    return map_rows(dealt, run, "a binary, b binary").distinct()
+
+
+def jaccard(x: np.ndarray, y: np.ndarray, threshold: float = 0.0) -> float:
+    """Similarity of two sorted sets; 0 if their sizes alone put it below the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return 0.0
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, limit: int = 512) -> DataFrame:
+    """(doc_id, text_hash, class) per row: classes of texts connected by links at or above the threshold.
+
+    Texts of the same words (white space and ASCII case apart) are one entry;
+    null, empty and blank texts are one class.  Null ids take part.
+    """
+    own = materialise(_band_entries(docs), "entries")
+    classes = components(materialise(verified_links(own, threshold, limit), "near"))
+    return own.join(classes, F.col("key") == F.col("node"), "left").select(
+        "doc_id", "text_hash", F.coalesce("label", "key").alias("class"))

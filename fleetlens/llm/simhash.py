@@ -203,11 +203,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(names, "fp").select("doc_id", "text_hash", "fp", "class_fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: of each class the row of the smallest id (null ids last) stays."""
+def keep_one_each(docs: DataFrame, classed: DataFrame | None = None, name: str = "class_fp") -> DataFrame:
+    """``docs`` without near duplicates: of each class the row of the smallest id (null ids last) stays.
+
+    ``classed`` (doc_id, text_hash, and the class in column ``name``): by default those of ``near_duplicates``.
+    """
     columns = docs.columns
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
-    stay = near_duplicates(docs).groupBy("class_fp").agg(F.min(key).alias("k")).select("k.*")
+    stay = (near_duplicates(docs) if classed is None else classed).groupBy(name).agg(F.min(key).alias("k")).select("k.*")
     rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").isNull().alias("none"),
                        F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text_hash"))
     names = ["none", "id", "text_hash"]
