@@ -8,7 +8,10 @@ The language of lowest cross-entropy per character wins.
 
 A document is rejected if that cross-entropy is higher than the language's
 own documents explain: a quarter of the sample is kept from the counts, and
-gives each language's mean and a limit for the deviation, scaled by length.
+gives each language's median and a limit for the deviation, scaled by length:
+``WIDTHS`` times the deviation that a tenth exceeds, so a few mixed or
+mislabelled documents do not move it.  Languages with few such rows lean on
+the deviations of all languages.
 ``score`` is the winner's share in a softmax of the negative cross-entropies,
 whose temperature is fitted on the same quarter.
 
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import map_rows
 
 ORDER, DOCS_PER_LANGUAGE, TABLE_SIZE = 5, 800, 300_000
+#: Quantile of the deviations, its multiple that is the limit, and the rows that the pooled quantile counts as.
+SPREAD, WIDTHS, FEW = 0.9, 12.0, 20
 START, STOP = "\x02", "\x03"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 2 ** 63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,19 +193,32 @@ def _scale(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.minimum(np.maximum(n, 1), 400))
 
 
+def _weighted_median(x: np.ndarray, weight: np.ndarray) -> float:
+    order = np.argsort(x)
+    total = np.cumsum(weight[order])
+    return float(x[order][np.searchsorted(total, total[-1] / 2)])
+
+
 def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
-    """Mean, limit of the scaled deviation, and softmax sharpness from documents that were not counted."""
+    """Mean (a weighted median), limit of the scaled deviation, and softmax sharpness from documents that were not counted."""
     bits, n = Scorer(model).entropies(texts)
     true = np.array([model.langs.index(x) for x in langs], dtype=np.int64)
     use = n > 0
     bits, n, true = bits[use], n[use], true[use]
     model.mean, model.limit = np.full(len(model.langs), np.inf), np.full(len(model.langs), np.inf)
-    for k in range(len(model.langs)):
-        own, size = bits[true == k, k], n[true == k]
-        if len(own) >= 20:
-            model.mean[k] = np.average(own, weights=size)
-            # Two and a half times the widest deviation among the language's own documents.
-            model.limit[k] = 2.5 * max(0.0, ((own - model.mean[k]) * _scale(size)).max()) + 1e-6
+    if len(true):
+        rows = np.bincount(true, minlength=len(model.langs))
+        for k in np.flatnonzero(rows):
+            model.mean[k] = _weighted_median(bits[true == k, k], n[true == k])
+        # Without a row of its own a language is taken to be as hard as the hardest of the others.
+        model.mean[rows == 0] = model.mean[rows > 0].max()
+        above = (bits[np.arange(len(true)), true] - model.mean[true]) * _scale(n)
+        pooled = np.quantile(above, SPREAD)
+        for k, m in enumerate(rows):
+            own = np.quantile(above[true == k], SPREAD) if m else 0.0
+            width = max(0.0, (m * own + FEW * pooled) / (m + FEW))
+            # The fewer rows, the less sure the mean.
+            model.limit[k] = WIDTHS * width * (1 + 1 / np.sqrt(max(m, 1))) + 1e-6
     if len(true):
         def gain(s):
             z = -s * bits
