@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from fleetlens.keys import K
 from fleetlens.operators import rollups as R
 from fleetlens.operators import topn as T

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from fleetlens.plans.registry import all_oracles, all_queries
 from oracle_check import compare, duck
 

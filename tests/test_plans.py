@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from fleetlens.plans.registry import all_queries
 
 QUERIES = all_queries()

@@ -1,6 +1,6 @@
 """Landed snapshot tables: round trip and partition pruning on the snapshot key."""
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from fleetlens.sources import snapshots as SN
 from fleetlens.sources import standins as V
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from fleetlens.operators import activity as A
 from fleetlens.operators import observations as O
 from fleetlens.operators import rollups as R
