@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, langid, minhash, mixing, pii, simhash
+from fleetlens.llm import bpe, langid, mixing, pii, simhash
 from fleetlens.llm.common import crc_mod, materialise, table
 
 
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by 5-word Jaccard similarity of 0.8 or more."""
-    return simhash.keep_one_each(docs, minhash.near_classes(docs), "class")
+    """Keeps one document of each group linked by fingerprints at 2 or fewer differing bits."""
+    return simhash.keep_one_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
