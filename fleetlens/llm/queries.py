@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import ann, bpe, langid, minhash, mixing, ngram_lm, pii, quality, simhash, token_counts
+from fleetlens.llm import ann, bpe, langid, minhash, mixing, ngram_lm, pii, quality, repair, simhash, token_counts
 from fleetlens.llm.common import crc_mod, table
 
 
@@ -63,8 +63,12 @@ def op10_projected_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_backoff_lm, op3_pareto_mix, op4_simhash, op5_kneser_ney_langid, op6_minhash, op7_token_counts, op8_semi_markov_pii, op9_byte_bpe,
-                                   op10_projected_kd_tree)}
+                                   op10_projected_kd_tree, op12_conversation_repair)}
 
 # The other operators learn, hash or tokenise in ways that SQL has no form for; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {"op3_pareto_mix": r"""

@@ -17,6 +17,9 @@ COLUMNS = {
     8: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     9: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     10: ["query_id", "rank", "vec_id", "score"],
+    11: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    13: ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -27,6 +30,8 @@ def odd(spark, edge_docs, sf_tables):
                           "doc_id long, quality int, score double").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(20, [1.0, 0.0], 1), (40, None, 2), (3, [0.5, 0.5], None), (None, [1.0, 1.0], 0)],
                           "vec_id long, embedding array<float>, rank int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (None, None, None, None), (2, 1, "tool", "")],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -36,12 +41,12 @@ def test_query(spark, odd, name):
     out = QUERIES[name](spark, SF)
     assert out.columns[:len(COLUMNS[n])] == COLUMNS[n]
     rows = out.collect()
-    if n not in (7, 10):
+    if n not in (7, 10, 12, 13):
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     if n == 7:
         assert sum(r.n_docs for r in rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     strange = QUERIES[name](spark, odd).collect()
-    assert n in (7, 10) or len(strange) == spark.read.parquet(f"{odd}/documents.parquet").count()
+    assert n in (7, 10, 12, 13) or len(strange) == spark.read.parquet(f"{odd}/documents.parquet").count()
 
 
 @pytest.mark.parametrize("name", ORACLES)
