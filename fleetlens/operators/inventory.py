@@ -35,7 +35,14 @@ def live_columns(att: DataFrame) -> DataFrame:
     return att.filter((F.col("attnum") > 0) & ~F.col("attisdropped"))
 
 
-def _class_ns(cls: DataFrame, nsp: DataFrame) -> DataFrame:
+def relations(cls: DataFrame, nsp: DataFrame) -> DataFrame:
+    """Relations with the name of their schema.  Written once, it stands for ``cls`` in every inventory (``nsp`` None)."""
+    return _class_ns(cls, nsp)
+
+
+def _class_ns(cls: DataFrame, nsp: DataFrame | None) -> DataFrame:
+    if nsp is None:
+        return cls
     ns = nsp.select(*K, F.col("oid").alias("relnamespace"), "nspname")
     return cls.join(ns, K + ["relnamespace"], "left")
 
@@ -45,7 +52,7 @@ def multi_matches(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).count().filter(F.col("count") > 1)
 
 
-def column_inventory(att: DataFrame, cls: DataFrame, nsp: DataFrame, attrdef: DataFrame, types: DataFrame,
+def column_inventory(att: DataFrame, cls: DataFrame, nsp: DataFrame | None, attrdef: DataFrame, types: DataFrame,
                      coll: DataFrame, with_generated: bool = True) -> DataFrame:
     """C1 + C2: user columns of user relations with type, default and collation.
 
@@ -80,7 +87,7 @@ def column_inventory(att: DataFrame, cls: DataFrame, nsp: DataFrame, attrdef: Da
     return a.select(*K, *cols)
 
 
-def index_inventory(idx: DataFrame, cls: DataFrame, nsp: DataFrame, am: DataFrame, con: DataFrame) -> DataFrame:
+def index_inventory(idx: DataFrame, cls: DataFrame, nsp: DataFrame | None, am: DataFrame, con: DataFrame) -> DataFrame:
     """Indexes of user tables with access method and owning constraint."""
     c = F.col
     tables = _class_ns(cls, nsp).filter(user_schema(c("nspname"))).select(*K, c("oid").alias("indrelid"))
@@ -105,7 +112,7 @@ def index_inventory(idx: DataFrame, cls: DataFrame, nsp: DataFrame, am: DataFram
         c("indisreplident").alias("index_replica_identity"), "table_space", "index_type")
 
 
-def fk_inventory(con: DataFrame, cls: DataFrame, nsp: DataFrame, server_major: int = 14) -> DataFrame:
+def fk_inventory(con: DataFrame, cls: DataFrame, nsp: DataFrame | None, server_major: int = 14) -> DataFrame:
     """C4: foreign keys of user tables; from v11 only top-level constraints."""
     c = F.col
     fk = con.filter(c("contype") == "f")
@@ -129,7 +136,7 @@ def ordered_string_agg(df: DataFrame, keys, order: str, value: str, alias: str,
     return g.select(*keys, F.array_join(F.transform("_l", lambda e: e["v"]), sep).alias(alias))
 
 
-def index_column_names(idx: DataFrame, att: DataFrame, cls: DataFrame, nsp: DataFrame) -> DataFrame:
+def index_column_names(idx: DataFrame, att: DataFrame, cls: DataFrame, nsp: DataFrame | None) -> DataFrame:
     """Per index its keys in key order ('WITH ORDINALITY'): column names, and the text of expression keys
     (attnum 0, in the order of ``indexprs``)."""
     c = F.col
@@ -145,7 +152,7 @@ def index_column_names(idx: DataFrame, att: DataFrame, cls: DataFrame, nsp: Data
     return out.select(*K, c("indrelid").alias("table_id"), c("indexrelid").alias("index_id"), "column_names")
 
 
-def table_inventory(cls: DataFrame, nsp: DataFrame) -> DataFrame:
+def table_inventory(cls: DataFrame, nsp: DataFrame | None) -> DataFrame:
     """L1 (PostgreSQL): user relations of the inventory kinds."""
     c = F.col
     r = _class_ns(cls.filter(c("relkind").isin(*INVENTORY_RELKINDS)), nsp).filter(user_schema(c("nspname")))

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.expr import OBSERVATION_TYPES, engine_version_key, iso_timestamp, object_prefix
 from fleetlens.keys import K
+from fleetlens.operators.numbering import numbered
 from fleetlens.operators.rollups import metric_period_avg
+from fleetlens.sources.envelopes import Item, order_column, pack
 
 ENVELOPE_SCHEMA = "columns array<string>, rows array<array<string>>"
 DEFAULT_PAGE_ROWS = 10000
@@ -37,39 +39,25 @@ def envelope_explode(docs: DataFrame, item: str | None, schema: str | T.StructTy
 
 
 # A2 ---------------------------------------------------------------------------
-def order_column(name: str) -> Column:
-    """A column of an order list; ``!name`` puts true before false."""
-    return ~F.col(name[1:]) if name.startswith("!") else F.col(name)
-
-
 def with_pages(df: DataFrame, order: Sequence[str], page_rows: int = DEFAULT_PAGE_ROWS,
                keys: Sequence[str] = K) -> DataFrame:
     """Add ``page``: rows of a group in ``order``, ``page_rows`` to a page.
 
     Pages are ranges of the order, so one after the other they are the whole
-    list.  The numbering streams over the sorted rows of one snapshot of one
-    database (it holds no group) and needs no second pass for a count.
+    list.  The numbering deals a group over many tasks (``numbering.numbered``).
     """
-    w = Window.partitionBy(*keys).orderBy(*[order_column(o).asc_nulls_first() for o in order])
-    return df.withColumn("page", F.floor((F.row_number().over(w) - 1) / F.lit(page_rows)).cast("bigint"))
+    rows = numbered(df, keys, [order_column(o).asc_nulls_first() for o in order], "_position")
+    return rows.withColumn("page", F.floor((F.col("_position") - 1) / F.lit(page_rows)).cast("bigint")).drop("_position")
 
 
 def envelope_pack(df: DataFrame, item: str, cols: Sequence[str], order: Sequence[str],
                   page_rows: int = DEFAULT_PAGE_ROWS) -> DataFrame:
-    """Rows -> ``{columns, rows}`` JSON per (K, item, page), rows sorted by ``order``.
+    """Rows -> ``{columns, rows}`` JSON per (K, item, page), values as text, rows sorted by ``order``.
 
     A snapshot with more than ``page_rows`` rows is split into pages of that
     many, ranges of the order, so no collected group holds more.
     """
-    c = F.col
-    row = F.array(*[c(x).cast("string") for x in cols])
-    paged = with_pages(df, order, page_rows).select(
-        *K, "page", F.struct(*[order_column(o).alias(f"_o{i}") for i, o in enumerate(order)], row.alias("_row")).alias("_e"))
-    g = paged.groupBy(*K, "page").agg(F.array_sort(F.collect_list("_e")).alias("_l"),
-                                      F.count(F.lit(1)).alias("n_rows"))
-    doc = F.struct(F.array(*[F.lit(x) for x in cols]).alias("columns"),
-                   F.transform("_l", lambda e: e["_row"]).alias("rows"))
-    return g.select(*K, F.lit(item).alias("item"), "page", "n_rows", F.to_json(doc).alias("payload"))
+    return pack([Item(item, df, order, cols)], K, page_rows, typed=False)
 
 
 def records_json(df: DataFrame, cols: Sequence, order: Sequence[str], alias: str,

@@ -158,9 +158,9 @@ SELECT {", ".join("s." + c for c in KC.split(", "))},
   CASE WHEN m.db_key IS NULL THEN '' ELSE CAST(to_json({{'File': m.file, 'Position': m.n}}) AS VARCHAR) END AS master_status
 FROM (SELECT DISTINCT {KC} FROM mysql_status) s
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('replica-', user_id) AS host, count(*)::BIGINT AS n
-           FROM events WHERE user_id % 4 = 0 GROUP BY user_id) r ON s.db_key = r.db_key
+           FROM events GROUP BY user_id HAVING count_if(event_type = 'signup') > 0) r ON s.db_key = r.db_key
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('binlog.', user_id) AS file, count(*)::BIGINT AS n
-           FROM events GROUP BY user_id HAVING count(*) % 2 = 0) m ON s.db_key = m.db_key""", "mysql_status")
+           FROM events GROUP BY user_id HAVING count_if(event_type = 'purchase') > 0) m ON s.db_key = m.db_key""", "mysql_status")
 
 # ------------------------------------------------------------------ streaming --
 ORACLES["snapshot_counters_stream"] = ORACLES["row_count_distribution"]

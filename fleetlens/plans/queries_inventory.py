@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from fleetlens.keys import K
 from fleetlens.operators import inventory as INV
-from fleetlens.operators.observations import envelope_pack
 from fleetlens.plans.queries import query
 from fleetlens.sources import standins as V
+from fleetlens.sources.envelopes import Item, pack
+from fleetlens.sources.shared import write_once
 
 SCHEMA_PAGE_ROWS = 20
 
@@ -139,16 +138,27 @@ PG_SCHEMA_ITEMS = {
 }
 
 
+def pg_inventories(spark, d):
+    """The six PostgreSQL inventories over relations, columns and indexes that are computed once."""
+    rel = write_once(INV.relations(V.catalog_class(spark, d), V.catalog_namespace(spark, d)), "relations")
+    att = write_once(V.catalog_attribute(spark, d), "attributes")
+    idx = write_once(V.catalog_index(spark, d), "indexes")
+    con = write_once(V.catalog_constraint(spark, d), "constraints")
+    return {
+        "columns": INV.column_inventory(att, rel, None, V.catalog_attrdef(spark, d), V.catalog_type(spark, d),
+                                        V.catalog_collation(spark, d)),
+        "indexes": INV.index_inventory(idx, rel, None, V.catalog_am(spark, d), con),
+        "foreign_keys": INV.fk_inventory(con, rel, None), "tables": INV.table_inventory(rel, None),
+        "views": INV.view_inventory(V.catalog_views(spark, d)), "index_columns": INV.index_column_names(idx, att, rel, None),
+    }
+
+
 @query("schema_observation")
 def q_schema_observation(spark, d):
-    """The six inventories as paged {columns, rows} documents per snapshot."""
-    frames = {
-        "columns": _columns(spark, d), "indexes": _indexes(spark, d), "foreign_keys": _fks(spark, d),
-        "tables": _tables(spark, d), "views": INV.view_inventory(V.catalog_views(spark, d)),
-        "index_columns": _index_columns(spark, d),
-    }
-    packed = [envelope_pack(frames[k], k, cols, order, SCHEMA_PAGE_ROWS) for k, (cols, order) in PG_SCHEMA_ITEMS.items()]
-    return reduce(lambda a, b: a.unionByName(b), packed)
+    """The six inventories as paged {columns, rows} documents per snapshot, numbered as one list."""
+    frames = pg_inventories(spark, d)
+    return pack([Item(k, frames[k], order, cols) for k, (cols, order) in PG_SCHEMA_ITEMS.items()], K, SCHEMA_PAGE_ROWS,
+                typed=False)
 
 
 @query("inventory_order")

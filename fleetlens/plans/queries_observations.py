@@ -140,7 +140,7 @@ def q_hourly_latest(spark, d):
 
 
 # ------------------------------------------------------------------ merges --
-def _external_metrics(spark, d):
+def external_metrics(spark, d):
     """A second metric source keyed like the status counters (db_key = user id)."""
     from fleetlens.sources.tables import read_table
     e = read_table(spark, d, "events", "user_id", "event_type")
@@ -155,7 +155,7 @@ def _external_metrics(spark, d):
 @query("metric_source_merge")
 def q_metric_source_merge(spark, d):
     base = SS.status_counters(V.mysql_status(spark, d))
-    return O.metric_source_merge(base, {"cloudwatch": _external_metrics(spark, d)})
+    return O.metric_source_merge(base, {"cloudwatch": external_metrics(spark, d)})
 
 
 @query("observation_assemble")
@@ -184,14 +184,9 @@ def q_replication_status(spark, d):
     """Replica and primary status JSON per MySQL snapshot, '' where none is reported."""
     st = V.mysql_status(spark, d)
     spine = st.select(*K).distinct()
-    from fleetlens.sources.tables import read_table
-    e = read_table(spark, d, "events", "user_id", "value").filter(F.col("user_id") % 4 == 0)
-    rep = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("Seconds_Behind_Source")).select(
-        *V.key(F.col("user_id").cast("string")),
-        F.concat(F.lit("replica-"), F.col("user_id").cast("string")).alias("Source_Host"),
-        "Seconds_Behind_Source")
-    logs = read_table(spark, d, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("Position")).filter(
-        F.col("Position") % 2 == 0).select(*V.key(F.col("user_id").cast("string")),
-                                           F.concat(F.lit("binlog."), F.col("user_id").cast("string")).alias("File"),
-                                           "Position")
+    servers = V.replication_servers(spark, d)
+    rep = servers.filter("n_signup > 0").select(*K, F.concat(F.lit("replica-"), "db_key").alias("Source_Host"),
+                                                F.col("n").alias("Seconds_Behind_Source"))
+    logs = servers.filter("n_purchase > 0").select(*K, F.concat(F.lit("binlog."), "db_key").alias("File"),
+                                                   F.col("n").alias("Position"))
     return SS.replication_status(spine, rep, ["Source_Host", "Seconds_Behind_Source"], logs, ["File", "Position"])

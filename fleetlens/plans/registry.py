@@ -7,7 +7,7 @@ def all_queries() -> dict:
     from fleetlens.plans import queries
 
     for mod in ("fleetlens.plans.queries_inventory", "fleetlens.plans.queries_observations",
-                "fleetlens.plans.queries_streaming"):
+                "fleetlens.plans.queries_streaming", "fleetlens.plans.queries_documents"):
         try:
             __import__(mod)
         except ModuleNotFoundError as ex:
@@ -19,7 +19,8 @@ def all_queries() -> dict:
 def all_oracles() -> dict:
     from fleetlens.plans import oracle_sql
 
-    for mod in ("fleetlens.plans.oracle_inventory", "fleetlens.plans.oracle_observations"):
+    for mod in ("fleetlens.plans.oracle_inventory", "fleetlens.plans.oracle_observations",
+                "fleetlens.plans.oracle_documents"):
         try:
             __import__(mod)
         except ModuleNotFoundError as ex:

@@ -7,6 +7,8 @@ Counts are cast to BIGINT (DuckDB returns HUGEINT for count_if and integer sums)
 
 from __future__ import annotations
 
+from fleetlens.sources.standins import DIGEST_COUNTERS
+
 OBS = "TIMESTAMP '2024-01-31 00:00:00'"
 K_LIT = "'org0' AS organization_id"
 
@@ -115,7 +117,10 @@ FROM index_facts""", ("index_facts",))
 S["pg_index"] = (f"""
 SELECT {_V1K}, l_partkey * 100000 + l_suppkey AS indexrelid, l_partkey AS indrelid,
   1 AS indnatts, 1 AS indnkeyatts, l_suppkey % 7 = 0 AS indisunique, l_suppkey % 11 = 0 AS indisprimary,
-  true AS indisvalid, CAST(l_suppkey % 5 + 1 AS VARCHAR) AS indkey
+  l_suppkey % 13 = 0 AS indisexclusion, true AS indimmediate, l_suppkey % 17 = 0 AS indisclustered, true AS indisvalid,
+  false AS indcheckxmin, true AS indisready, true AS indislive, l_suppkey % 19 = 0 AS indisreplident,
+  CAST(l_suppkey % 5 + 1 AS VARCHAR) AS indkey, '0' AS indcollation, '1978' AS indclass, '0' AS indoption,
+  CAST(NULL AS VARCHAR) AS indexprs, CASE WHEN l_suppkey % 3 = 0 THEN concat('(n > ', n, ')') END AS indpred
 FROM index_facts""", ("index_facts",))
 
 _MYSQL_IX = f"""{_k("p_brand")}, {_MYSQL_SCHEMA.format(x="l_partkey", t="p_type")} AS DATABASE_NAME,
@@ -224,13 +229,17 @@ SELECT {_k("concat('db', user_id % 10)")},
   centi_ms / 100 AS blk_read_time
 FROM statement_facts""", ("statement_facts",))
 
+_DIGEST_COUNTERS = [", ".join(f"calls % {i + 2} AS {n}" for i, n in enumerate(DIGEST_COUNTERS) if (i > 3) == late)
+                    for late in (False, True)]
+
 S["mysql_digests"] = (f"""
 SELECT {_k("concat('db', user_id % 10)")},
   CASE WHEN user_id % 10 <> 0 THEN concat('schema', user_id % 10) END AS SCHEMA_NAME,
   CASE WHEN event_type <> 'error' THEN concat('d', event_type, user_id) END AS DIGEST,
   concat('SELECT ? FROM ', event_type) AS DIGEST_TEXT, calls AS COUNT_STAR,
-  centi_ms * 10000000 AS SUM_TIMER_WAIT, (centi_ms * 10000000 // calls // 1000) * 1000 AS AVG_TIMER_WAIT,
-  calls * 2 AS SUM_ROWS_SENT, first_seen AS FIRST_SEEN, last_seen AS LAST_SEEN
+  centi_ms * 10000000 AS SUM_TIMER_WAIT, calls * 1000 AS MIN_TIMER_WAIT,
+  (centi_ms * 10000000 // calls // 1000) * 1000 AS AVG_TIMER_WAIT, centi_ms * 10000000 + 1 AS MAX_TIMER_WAIT,
+  {_DIGEST_COUNTERS[0]}, calls * 2 AS SUM_ROWS_SENT, {_DIGEST_COUNTERS[1]}, first_seen AS FIRST_SEEN, last_seen AS LAST_SEEN
 FROM statement_facts""", ("statement_facts",))
 
 _STATUS_NAME = ("CASE event_type WHEN 'view' THEN 'Innodb_buffer_pool_read_requests' "
@@ -390,7 +399,7 @@ FROM supplier""", ())
 S["catalog_attrdef"] = (f"""
 SELECT {_K0}, {_ATTRELID} AS adrelid, {_ATTNUM} AS adnum,
   concat('nextval(''seq_', s_suppkey, '''::regclass)') AS adsrc
-FROM supplier WHERE s_suppkey % 2 = 0""", ())
+FROM supplier""", ())
 
 S["catalog_type"] = (f"""
 SELECT {_K0}, oid, ['integer', 'text', 'numeric(12,2)'][oid + 1] AS typname,
@@ -412,13 +421,14 @@ FROM part""", ())
 
 S["catalog_constraint"] = (f"""
 SELECT {_K0}, p_partkey + 5000000 AS oid, concat('con_', p_partkey) AS conname,
-  ['p', 'u', 'x', 'f'][p_size % 4 + 1] AS contype, p_partkey % 25 AS conrelid,
-  CASE WHEN p_size % 4 = 3 THEN 0 ELSE p_partkey + 1000000 END AS conindid,
+  contype, p_partkey % 25 AS conrelid,
+  CASE WHEN contype IN ('f', 'c') THEN 0 ELSE p_partkey + 1000000 END AS conindid,
   p_size % 3 = 0 AS condeferrable, p_size % 6 = 0 AS condeferred,
   CAST(CASE WHEN p_partkey % 15 = 0 THEN 1 ELSE 0 END AS BIGINT) AS conparentid,
-  concat(CASE WHEN p_size % 4 = 3 THEN 'FOREIGN KEY (c1) REFERENCES t' ELSE 'UNIQUE (c' END,
-         p_size % 25, CASE WHEN p_size % 4 = 3 THEN '(c1)' ELSE ')' END) AS condef
-FROM part WHERE p_partkey % 5 IN (2, 3)""", ())
+  concat(CASE contype WHEN 'f' THEN 'FOREIGN KEY (c1) REFERENCES t' WHEN 'c' THEN 'CHECK (c' ELSE 'UNIQUE (c' END,
+         p_size % 25, CASE WHEN contype = 'f' THEN '(c1)' ELSE ')' END) AS condef
+FROM (SELECT *, CASE WHEN p_partkey % 5 IN (2, 3) THEN ['p', 'u', 'x', 'f'][p_size % 4 + 1] ELSE 'c' END AS contype
+      FROM part)""", ())
 
 S["catalog_views"] = (f"""
 SELECT {_K0}, {_NSPNAME} AS schemaname, lower(n_name) AS viewname, 'postgres' AS viewowner,
@@ -427,7 +437,7 @@ FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 2
 UNION ALL
 SELECT {_K0}, {_NSPNAME} AS schemaname, concat('v_', p_partkey) AS viewname, 'app' AS viewowner,
   concat(' SELECT * FROM part WHERE p_type = ''', p_type, '''') AS definition
-FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE p_size % 10 = 2""", ())
+FROM part JOIN region ON p_partkey % 5 = r_regionkey""", ())
 
 S["mysql_columns"] = (f"""
 SELECT {_k("concat('db', s_nationkey % 3)")},
@@ -446,7 +456,7 @@ SELECT {_k("p_brand")}, {_FK_SCHEMA} AS CONSTRAINT_SCHEMA, concat('t', p_partkey
   concat('fk_', p_partkey) AS CONSTRAINT_NAME, {_FK_SCHEMA} AS UNIQUE_CONSTRAINT_SCHEMA,
   'PRIMARY' AS UNIQUE_CONSTRAINT_NAME, ['NO ACTION', 'CASCADE', 'RESTRICT'][p_size % 3 + 1] AS UPDATE_RULE,
   ['NO ACTION', 'CASCADE'][p_size % 2 + 1] AS DELETE_RULE, concat('t', p_size % 25) AS REFERENCED_TABLE_NAME
-FROM part WHERE p_size % 4 = 3""", ())
+FROM part""", ())
 
 S["mysql_views"] = (f"""
 SELECT {KCOLS}, TABLE_SCHEMA, TABLE_NAME, concat('select * from ', TABLE_NAME, '_base') AS VIEW_DEFINITION,
@@ -482,7 +492,12 @@ FROM part""", ())
 S["extensions"] = (f"""
 SELECT {_k("p_brand")},
   CASE WHEN p_size = 9 AND p_partkey % 2 = 0 THEN 'pg_stat_statements' ELSE 'plpgsql' END AS extname
-FROM part WHERE p_size % 8 = 1""", ())
+FROM part""", ())
+
+
+S["failed_halves"] = ("""
+SELECT 'org0' AS organization_id, p_brand AS db_key, TIMESTAMP '2024-01-31 00:00:00' AS observation_time, 'indexes' AS half
+FROM part GROUP BY p_brand HAVING count(*) % 2 = 1""", ())
 
 
 def _closure(names) -> list[str]:

@@ -272,8 +272,20 @@ def pg_index(spark: SparkSession, d: str) -> DataFrame:
         F.lit(1).alias("indnkeyatts"),
         (c("l_suppkey") % 7 == 0).alias("indisunique"),
         (c("l_suppkey") % 11 == 0).alias("indisprimary"),
+        (c("l_suppkey") % 13 == 0).alias("indisexclusion"),
+        F.lit(True).alias("indimmediate"),
+        (c("l_suppkey") % 17 == 0).alias("indisclustered"),
         F.lit(True).alias("indisvalid"),
-        F.concat(F.lit(""), (c("l_suppkey") % 5 + 1).cast("string")).alias("indkey"),
+        F.lit(False).alias("indcheckxmin"),
+        F.lit(True).alias("indisready"),
+        F.lit(True).alias("indislive"),
+        (c("l_suppkey") % 19 == 0).alias("indisreplident"),
+        (c("l_suppkey") % 5 + 1).cast("string").alias("indkey"),
+        F.lit("0").alias("indcollation"),
+        F.lit("1978").alias("indclass"),
+        F.lit("0").alias("indoption"),
+        F.lit(None).cast("string").alias("indexprs"),
+        F.when(c("l_suppkey") % 3 == 0, F.concat(F.lit("(n > "), c("n").cast("string"), F.lit(")"))).alias("indpred"),
     )
 
 
@@ -519,6 +531,14 @@ def pg_stat_statements(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# The remaining counters of events_statements_summary_by_digest.
+DIGEST_COUNTERS = ["SUM_LOCK_TIME", "SUM_ERRORS", "SUM_WARNINGS", "SUM_ROWS_AFFECTED", "SUM_ROWS_EXAMINED",
+                   "SUM_CREATED_TMP_DISK_TABLES", "SUM_CREATED_TMP_TABLES", "SUM_SELECT_FULL_JOIN",
+                   "SUM_SELECT_FULL_RANGE_JOIN", "SUM_SELECT_RANGE", "SUM_SELECT_RANGE_CHECK", "SUM_SELECT_SCAN",
+                   "SUM_SORT_MERGE_PASSES", "SUM_SORT_RANGE", "SUM_SORT_ROWS", "SUM_SORT_SCAN", "SUM_NO_INDEX_USED",
+                   "SUM_NO_GOOD_INDEX_USED"]
+
+
 def mysql_digests(spark: SparkSession, d: str) -> DataFrame:
     """V5: events_statements_summary_by_digest (timers in picoseconds)."""
     s = _statement_facts(spark, d)
@@ -531,8 +551,12 @@ def mysql_digests(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("SELECT ? FROM "), c("event_type")).alias("DIGEST_TEXT"),
         c("calls").alias("COUNT_STAR"),
         sum_ps.alias("SUM_TIMER_WAIT"),
+        (c("calls") * 1000).alias("MIN_TIMER_WAIT"),
         (F.expr("centi_ms * 10000000 div calls div 1000") * 1000).alias("AVG_TIMER_WAIT"),
+        (sum_ps + 1).alias("MAX_TIMER_WAIT"),
+        *[(c("calls") % (i + 2)).alias(name) for i, name in enumerate(DIGEST_COUNTERS[:4])],
         (c("calls") * 2).alias("SUM_ROWS_SENT"),
+        *[(c("calls") % (i + 2)).alias(name) for i, name in enumerate(DIGEST_COUNTERS) if i > 3],
         c("first_seen").alias("FIRST_SEEN"),
         c("last_seen").alias("LAST_SEEN"),
     )
@@ -816,7 +840,7 @@ def catalog_attribute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_attrdef(spark: SparkSession, d: str) -> DataFrame:
-    s = read_table(spark, d, "supplier", "s_suppkey").filter(F.col("s_suppkey") % 2 == 0)
+    s = read_table(spark, d, "supplier", "s_suppkey")  # one a column: what counts is the column's atthasdef
     c = F.col
     num = _attnum_abs()
     return s.select(
@@ -867,29 +891,31 @@ def catalog_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_constraint(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "part", "p_partkey", "p_size").filter((F.col("p_partkey") % 5).isin(2, 3))
+    """pg_constraint: one per part; keys, exclusions and foreign keys, and checks, which no inventory lists."""
+    p = read_table(spark, d, "part", "p_partkey", "p_size")
     c = F.col
-    ct = _pick(c("p_size") % 4, _CONTYPE)
+    ct = F.when((c("p_partkey") % 5).isin(2, 3), _pick(c("p_size") % 4, _CONTYPE)).otherwise("c")
     return p.select(
         *key(F.lit("db0")),
         (c("p_partkey") + 5000000).alias("oid"),
         F.concat(F.lit("con_"), c("p_partkey").cast("string")).alias("conname"),
         ct.alias("contype"),
         (c("p_partkey") % 25).alias("conrelid"),
-        F.when(ct == "f", F.lit(0)).otherwise(c("p_partkey") + 1000000).alias("conindid"),
+        F.when(ct.isin("f", "c"), F.lit(0)).otherwise(c("p_partkey") + 1000000).alias("conindid"),
         (c("p_size") % 3 == 0).alias("condeferrable"),
         (c("p_size") % 6 == 0).alias("condeferred"),
         F.when(c("p_partkey") % 15 == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("conparentid"),
-        F.concat(F.when(ct == "f", F.lit("FOREIGN KEY (c1) REFERENCES t")).otherwise(F.lit("UNIQUE (c")),
+        F.concat(F.when(ct == "f", F.lit("FOREIGN KEY (c1) REFERENCES t")).when(ct == "c", F.lit("CHECK (c"))
+                 .otherwise(F.lit("UNIQUE (c")),
                  (c("p_size") % 25).cast("string"),
                  F.when(ct == "f", F.lit("(c1)")).otherwise(F.lit(")"))).alias("condef"),
     )
 
 
 def catalog_views(spark: SparkSession, d: str) -> DataFrame:
-    """pg_views: the class rows of kind 'v' (from nation) plus one view per part
-    with p_size % 10 = 2, in namespace p_partkey % 5."""
-    n = read_table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey").filter(F.col("n_nationkey") % 5 == 2)
+    """pg_views: the class rows of kind 'v' (from nation) plus one view per part, in namespace p_partkey % 5."""
+    n = read_table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
+    n = n.withColumn("relkind", _pick(F.col("n_nationkey") % 5, _RELKIND)).filter("relkind = 'v'")
     r = read_table(spark, d, "region", "r_regionkey", "r_name")
     c = F.col
     nsp = (F.when(c("r_regionkey") == 0, F.lit("pg_catalog"))
@@ -901,7 +927,7 @@ def catalog_views(spark: SparkSession, d: str) -> DataFrame:
                     F.lit("postgres").alias("viewowner"),
                     F.concat(F.lit(" SELECT * FROM region WHERE r_regionkey = "), c("n_regionkey").cast("string"))
                     .alias("definition"))
-    p = read_table(spark, d, "part", "p_partkey", "p_size", "p_type").filter(c("p_size") % 10 == 2)
+    p = read_table(spark, d, "part", "p_partkey", "p_type")
     pj = p.join(F.broadcast(r), (p.p_partkey % 5) == r.r_regionkey)
     parts = pj.select(*key(F.lit("db0")), nsp.alias("schemaname"),
                       F.concat(F.lit("v_"), c("p_partkey").cast("string")).alias("viewname"),
@@ -931,7 +957,7 @@ def mysql_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mysql_referential_constraints(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "part", "p_partkey", "p_brand", "p_size").filter(F.col("p_size") % 4 == 3)
+    p = read_table(spark, d, "part", "p_partkey", "p_brand", "p_size")
     c = F.col
     sch = _case(c("p_partkey") % 20, {0: "mysql", 1: "sys"}, F.concat(F.lit("app"), (c("p_partkey") % 4).cast("string")))
     return p.select(
@@ -959,6 +985,20 @@ def mysql_views(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def replication_servers(spark: SparkSession, d: str) -> DataFrame:
+    """One row per server (a user of events): a replica where it has sign-ups, a primary where it has purchases."""
+    e = read_table(spark, d, "events", "user_id", "event_type")
+    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
+                                 *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in ("signup", "purchase")])
+    return g.select(*key(F.col("user_id").cast("string")), "n", "n_signup", "n_purchase")
+
+
+def failed_halves(spark: SparkSession, d: str) -> DataFrame:
+    """Halves of a table document that a server could not collect: the indexes of brands with an odd number of parts."""
+    p = read_table(spark, d, "part", "p_brand").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return p.filter("n % 2 = 1").select(*key(F.col("p_brand")), F.lit("indexes").alias("half")).drop("logical_database_name")
+
+
 # ---------------------------------------------------------------- V11-V14 -----
 
 def agent_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -1018,7 +1058,7 @@ def extensions(spark: SparkSession, d: str) -> DataFrame:
     """pg_extension rows per database."""
     p = read_table(spark, d, "part", "p_partkey", "p_brand", "p_size")
     c = F.col
-    return p.filter(c("p_size") % 8 == 1).select(
+    return p.select(
         *key(c("p_brand")),
         F.when((c("p_size") == 9) & (c("p_partkey") % 2 == 0), F.lit("pg_stat_statements"))
          .otherwise(F.lit("plpgsql")).alias("extname"),
