@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,9 @@ from fleetlens.functions.expr import OBSERVATION_TYPES, engine_version_key, iso_
 from fleetlens.keys import K
 from fleetlens.operators.numbering import numbered
 from fleetlens.operators.rollups import metric_period_avg
+from fleetlens.sources.clustered import clustered
 from fleetlens.sources.envelopes import Item, order_column, pack
+from fleetlens.sources.shared import write_once
 
 ENVELOPE_SCHEMA = "columns array<string>, rows array<array<string>>"
 DEFAULT_PAGE_ROWS = 10000
@@ -144,8 +147,8 @@ def latest_metric(samples: DataFrame, wanted: DataFrame | None, now: str, window
 
 # I2 (batch) ---------------------------------------------------------------------
 def _hour_ntz(ts: Column) -> Column:
-    """Hour truncation of a wall-clock timestamp (independent of the session time zone)."""
-    return F.window(ts, "1 hour").start
+    """Hour of a wall-clock timestamp (independent of the session time zone); null without one."""
+    return ts - F.make_dt_interval(mins=F.minute(ts), secs=F.date_part(F.lit("SECOND"), ts))
 
 
 def _micros_between(start: Column, end: Column) -> Column:
@@ -244,12 +247,14 @@ def pack_errors(errors_long: DataFrame, page_rows: int = DEFAULT_PAGE_ROWS) -> D
 
 
 # A8 - A10 -----------------------------------------------------------------------
+def landing_type(t: Column) -> Column:
+    return F.when(F.lower(t).isin(*OBSERVATION_TYPES), F.upper(t)).otherwise(F.lit("UNKNOWN"))
+
+
 def landing_columns(obs: DataFrame, ts: str = "observation_time") -> DataFrame:
     """A8 layout: partition columns of org/db/TYPE/yyyyMMdd/HH (UTC)."""
     t = F.col("obs_type")
-    typ = F.when(F.lower(t).isin(*OBSERVATION_TYPES), F.upper(t)) \
-        .otherwise(F.lit("UNKNOWN"))
-    return obs.select("*", typ.alias("type_dir"), F.date_format(ts, "yyyyMMdd").alias("dt"),
+    return obs.select("*", landing_type(t).alias("type_dir"), F.date_format(ts, "yyyyMMdd").alias("dt"),
                       F.date_format(ts, "HH").alias("hr"),
                       object_prefix(F.col("organization_id"), F.col("db_key"), t, F.col(ts)).alias("object_key"))
 
@@ -259,32 +264,27 @@ LANDING_PARTITIONS = ["type_dir", "dt"]      # the hour stays a column, see land
 COMPRESSED_TYPES = ("QUERY", "LONG_RUNNING_QUERY", "SCHEMA")
 
 
-def landing_layout(obs: DataFrame, rows_per_file: int = 1_000_000) -> DataFrame:
-    """A8 rows clustered by hour, organisation and database inside type/day folders.
+def landing_layout(obs: DataFrame) -> DataFrame:
+    """A8 rows for type/day folders, inside a folder along the curve of hour, organisation and database.
 
     Folders multiply neither with the fleet nor with the hours; a document keeps its object name
-    in ``object_key``.  A folder is written by as many tasks as it needs files
-    of ``rows_per_file`` rows (counted first, one row per folder).
+    in ``object_key``.  Ranges end with a row hash, so a hot folder, hour or database is written by
+    many tasks; a document without a key or a time is kept, in the folder for none.
     """
-    rows = landing_columns(obs)
-    sizes = rows.groupBy(*LANDING_PARTITIONS).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
-    salt = F.pmod(F.xxhash64("organization_id", "db_key", "hr"), F.col("_files"))
-    return (rows.join(sizes, LANDING_PARTITIONS).withColumn("_salt", salt).repartition(*LANDING_PARTITIONS, "_salt")
-            .sortWithinPartitions(*LANDING_PARTITIONS, "hr", "organization_id", "db_key", "observation_time")
-            .drop("_files", "_salt"))
+    return clustered(landing_columns(obs), {"hour": F.col("hr"), "org": F.col("organization_id"), "db": F.col("db_key")},
+                     before=tuple(LANDING_PARTITIONS))
 
 
-def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "append") -> None:
+def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "append", rows_per_file: int = 1_000_000) -> None:
     """A8 + A9: append every document as JSON; query, long-running and schema documents compressed, others plain.
 
     All documents are kept (the reference overwrote all but the last one of an
     hour, quirk Q4; ``hourly_latest`` reproduces that on read).
     """
-    rows = landing_layout(obs)
-    packed = F.col("type_dir").isin(*COMPRESSED_TYPES)
-    for part, codec, how in ((rows.filter(packed), compression, mode), (rows.filter(~packed), "none", "append")):
-        (part.write.mode(how).option("compression", codec).option("timestampNTZFormat", TS_FORMAT)
-         .partitionBy(*LANDING_PARTITIONS).json(path))
+    packed = F.coalesce(landing_type(F.col("obs_type")).isin(*COMPRESSED_TYPES), F.lit(False))
+    for part, codec, how in ((obs.filter(packed), compression, mode), (obs.filter(~packed), "none", "append")):
+        (landing_layout(part).write.mode(how).option("compression", codec).option("timestampNTZFormat", TS_FORMAT)
+         .option("maxRecordsPerFile", rows_per_file).partitionBy(*LANDING_PARTITIONS).json(path))
 
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -318,6 +318,50 @@ def hourly_latest(obs: DataFrame) -> DataFrame:
     return g.select("organization_id", "db_key", "obs_type", "hour", "_l.observation_time", "_l.id", "_l.payload")
 
 
+UPSERT_BUCKETS = 64
+
+
+def upsert_hourly_latest(obs: DataFrame, path: str, buckets: int = UPSERT_BUCKETS) -> None:
+    """A10 kept up to date: merges ``obs`` into the table at ``path``, rewriting only the folders it touches.
+
+    Folders are hours and key buckets.  The touched ones are read, merged and
+    replaced by a dynamic partition overwrite; all other files stay as they
+    are.  Merging keeps the latest document, so a landing that is repeated
+    after a failure changes nothing.
+    """
+    spark, parts = obs.sparkSession, ["hour_dir", "bucket"]
+    bucket = F.pmod(F.xxhash64("organization_id", "db_key", "obs_type"), F.lit(buckets)).cast("int")
+    new = hourly_latest(obs).withColumns({"hour_dir": F.date_format("hour", "yyyyMMddHH"), "bucket": bucket})
+    new = write_once(new, "upsert")
+    merged = new
+    try:
+        old = read_hourly_latest(spark, path, folders=True)
+    except AnalysisException:       # the first landing
+        old = None
+    if old is not None:
+        touched = new.select(*parts).distinct().withColumnsRenamed({p: f"_{p}" for p in parts})
+        same = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in parts]
+        last = F.struct("observation_time", "id")
+        both = old.join(F.broadcast(touched) if touched.count() <= BROADCAST_FOLDERS else touched, same, "left_semi").unionByName(new)
+        merged = write_once(both.groupBy("organization_id", "db_key", "obs_type", "hour", *parts).agg(
+            F.max_by(F.struct("observation_time", "id", "payload"), last).alias("_l")).select(
+            "organization_id", "db_key", "obs_type", "hour", "_l.*", *parts), "upsert")
+    (merged.repartition(*parts, F.pmod(F.xxhash64("organization_id", "db_key"), F.lit(8))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path))
+
+
+#: Touched folders up to this number prune the old table's folders by a broadcast.
+BROADCAST_FOLDERS = 100_000
+
+
+def read_hourly_latest(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """The table of ``upsert_hourly_latest``."""
+    schema = ("organization_id string, db_key string, obs_type string, hour timestamp_ntz, observation_time timestamp_ntz, "
+              "id bigint, payload string, hour_dir string, bucket int")
+    df = spark.read.schema(schema).parquet(path)        # an error where there is none yet
+    return df if folders else df.drop("hour_dir", "bucket")
+
+
 # C13 / C14 / G1 -------------------------------------------------------------------
 def metric_source_merge(base: DataFrame, external: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
     """Global metric map merged with external sources; on equal names the external value wins.
