@@ -11,8 +11,8 @@ above the threshold is then known.  If they are as many as asked for, the
 language is settled (ties are all in); otherwise the threshold falls to the
 pair twice as far down, at last to zero, where everything is expanded.
 
-Counting: tasks count runs of their documents and Spark adds the counts up; the
-sets that a wave looks for go to the tasks as hash bitmaps of fixed size, which
+Counting: tasks number the words of a run of documents, count phrases as sorted
+arrays of numbers, and Spark adds the counts up; the sets that a wave looks for go to the tasks as hash bitmaps of fixed size, which
 may let more pass but never less.
 
 Defined cases: null and empty texts have no words; a null language is ``und``;
@@ -23,124 +23,169 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import map_rows, materialise
+from fleetlens.llm.common import materialise
 
 MIN, TOP, DOMINANT = 10, 2000, 50
-#: Size of a hash bitmap in bits, and entries that a task counts before it hands them on.
-BITS, ENTRIES = 1 << 24, 400_000
-_PIECES = re.compile(rb"[.,;:!?\n-\r]+")
+#: Size of a hash bitmap in bits; tokens and different words that a task gathers before it counts them.
+BITS, TOKENS, WORDS = 1 << 24, 3_000_000, 1 << 19
 SHAPE = "lang string, phrase string, f long"
+#: Ends of pieces become a byte that UTF-8 never has; A-Z become a-z.
+_END = 0xFF
+_TABLE = bytes(_END if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Multipliers of the word hashes of a pair; sums stay below 2^62.
+_FIRST, _SECOND = 1_000_003, 179_426_549
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Lists of words, A-Z lower-cased; no phrase reaches over a piece's end."""
-    for piece in _PIECES.split(text.lower()):
-        if words := piece.split():
-            yield words
+def tokens(text: bytes) -> list[bytes]:
+    """Words, A-Z lower-cased, with the end byte where a piece ends: no phrase reaches over it."""
+    return text.translate(_TABLE).replace(b"\xff", b" \xff ").split()
 
 
-def _in(maps: list[np.ndarray], lang: bytes, phrase: bytes) -> tuple[bool, ...]:
-    """Whether each bitmap (all of one size) has the phrase's slot."""
-    at = zlib.crc32(phrase, zlib.crc32(lang + b" ")) % (8 * len(maps[0]))
-    return tuple(bool(m[at >> 3] >> (at & 7) & 1) for m in maps)
+def slot(lang: Column, *words: Column) -> Column:
+    """Place of a word or pair in a bitmap of ``BITS``, computed alike in Spark and in ``_slots``."""
+    h = [F.crc32(F.concat_ws(" ", lang, w).cast("binary")) for w in words]
+    return F.pmod(h[0] if len(h) == 1 else F.shiftright(h[0] * _FIRST + h[1] * _SECOND, 12), F.lit(BITS))
 
 
-def slot(lang: Column, phrase: Column) -> Column:
-    return F.crc32(F.concat_ws(" ", lang, phrase).cast("binary")) % BITS
+def _slots(hashes: np.ndarray, *at: np.ndarray, bits: int) -> np.ndarray:
+    h = [hashes[i] for i in at]
+    return (h[0] if len(h) == 1 else (h[0] * _FIRST + h[1] * _SECOND) >> 12) % bits
 
 
-def bitmap(phrases: DataFrame) -> bytes:
-    """The slots of (lang, phrase) rows as bits: a fixed size, whatever the rows."""
-    words = (phrases.select(slot(F.col("lang"), F.col("phrase")).alias("s"))
-             .groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b")))
+def _bit(bitmap_: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap_[slots >> 3] >> (slots & 7) & 1).astype(bool)
+
+
+def bitmap(phrases: DataFrame, words: int) -> bytes:
+    """The slots of (lang, phrase) rows of one or two ``words`` as bits: a fixed size, whatever the rows."""
+    part = F.split("phrase", " ")
+    slots = slot(F.col("lang"), *[part[i] for i in range(words)])
+    found = (phrases.select(slots.alias("s")).groupBy(F.shiftright("s", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 AS int))")).alias("b")))
     out = np.zeros(BITS // 64, dtype=np.int64)
-    for part in words.toLocalIterator():  # at most BITS / 64 rows
-        out[part.w] = part.b
+    for word in found.toLocalIterator():  # at most BITS / 64 rows
+        out[word.w] = word.b
     return out.tobytes()
 
 
-def _counted(docs: DataFrame, phrases_of) -> DataFrame:
-    """(lang, phrase, f) summed over the documents; ``phrases_of(lang, pieces)`` yields iterables of phrases."""
-    def run(rows):
-        counts: dict[str, Counter] = {}
+class _Words(dict):
+    """Numbers words as they come; 0 is the end byte."""
+
+    def __init__(self):
+        super().__init__({b"\xff": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    start = zlib.crc32(lang + b" ")
+    return np.fromiter((zlib.crc32(w, start) for w in words), dtype=np.int64, count=len(words))
+
+
+def _distinct(parts: tuple[np.ndarray, ...], base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of ``parts`` (numbers below ``base``) and how often each occurs."""
+    if base ** len(parts) >= 1 << 62:       # one text of very many different words
+        rows, counts = np.unique(np.stack(parts, axis=1), axis=0, return_counts=True)
+        return list(rows.T), counts
+    code = parts[0]
+    for more in parts[1:]:
+        code = code * base + more
+    code, counts = np.unique(code, return_counts=True)
+    out = []
+    for _ in parts:
+        out.append(code % base)
+        code = code // base
+    return out[::-1], counts
+
+
+def _counted(docs: DataFrame, codes_of: Callable) -> DataFrame:
+    """(lang, phrase, f) summed over the documents.
+
+    ``codes_of(lang, words, ids)`` gives the phrases in a run of word numbers:
+    one array of numbers per word of a phrase.
+    A task gathers ``TOKENS`` tokens or ``WORDS`` words and counts them with sorted arrays.
+    """
+    def flat(lang: str, words: _Words, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, base = list(words), len(words)
+        parts, counts = _distinct(codes_of(lang.encode(), names, np.concatenate(ids)), base)
+        if codes_of is _single:
+            names[0] = b""      # the empty phrase: all words
+            parts, counts = [np.append(parts[0], 0)], np.append(counts, counts.sum())
+        table = pa.array(names, type=pa.binary())
+        for start in range(0, len(counts), 1 << 16):
+            n = counts[start:start + (1 << 16)]
+            own = [table.take(pa.array(p[start:start + (1 << 16)])) for p in parts]
+            phrase = own[0] if len(own) == 1 else pc.binary_join_element_wise(*own, b" ")
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrase.cast(pa.string()), pa.array(n)],
+                                             names=["lang", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}       # lang -> words, arrays of their numbers
         size = 0
-        for lang, text in rows:
-            own = counts.setdefault(lang, Counter())
-            size -= len(own)
-            name = lang.encode()
-            for phrases in phrases_of(name, pieces(text or b"")):
-                own.update(phrases)
-            size += len(own)
-            if size > ENTRIES:
-                yield from flat(counts)
-                counts, size = {}, 0
-        yield from flat(counts)
-
-    def flat(counts):
-        for lang, own in counts.items():
-            for phrase, f in own.items():
-                yield lang, phrase.decode(), f
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                for lang, text in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
+                    words, ids = held.setdefault(lang, (_Words(), []))
+                    found = tokens(text or b"")
+                    ids.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
+                    ids.append(np.zeros(1, dtype=np.int64))
+                    size += len(found) + 1
+                    if size > TOKENS or len(words) > WORDS:
+                        for name, (w, i) in held.items():
+                            yield from flat(name, w, i)
+                        held, size = {}, 0
+        for name, (w, i) in held.items():
+            yield from flat(name, w, i)
 
     slim = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return map_rows(slim, run, SHAPE, 8000).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return slim.mapInArrow(run, SHAPE).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _single(lang: bytes, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (ids[ids > 0],)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, phrase, f) of all words; the empty phrase counts all word occurrences of a language."""
-    def words(lang, found):
-        for own in found:
-            yield own
-            yield [b""] * len(own)
-
-    return _counted(docs, words)
+    return _counted(docs, _single)
 
 
 def pair_counts(docs: DataFrame, frequent: bytes) -> DataFrame:
     """(lang, phrase, f) of the pairs of adjacent words that are both in the bitmap ``frequent``."""
-    def pairs(lang, found):
+    def pairs(lang, words, ids):
         bits = np.frombuffer(frequent, dtype=np.uint8)
-        known: dict[bytes, bool] = {}
-
-        def ok(word):
-            if len(known) > ENTRIES:
-                known.clear()
-            known[word] = yes = _in([bits], lang, word)[0]
-            return yes
-
-        for own in found:
-            good = [known[w] if w in known else ok(w) for w in own]
-            yield [a + b" " + b for a, b, x, y in zip(own, own[1:], good, good[1:]) if x and y]
+        good = _bit(bits, _slots(_hashes(lang, words), np.arange(len(words)), bits=8 * len(bits)))
+        good[0] = False
+        ok = good[ids]
+        both = ok[:-1] & ok[1:]
+        return ids[:-1][both], ids[1:][both]
 
     return _counted(docs, pairs)
 
 
 def triple_counts(docs: DataFrame, frequent: bytes, begin: bytes, end: bytes) -> DataFrame:
     """(lang, phrase, f) of triples of two ``frequent`` pairs of which the first is in ``begin`` or the second in ``end``."""
-    def triples(lang, found):
-        maps = [np.frombuffer(m, dtype=np.uint8) for m in (frequent, begin, end)]
-        known: dict[bytes, tuple] = {}
-
-        def look(pair):
-            if len(known) > ENTRIES:
-                known.clear()
-            known[pair] = own = _in(maps, lang, pair)
-            return own
-
-        for own in found:
-            if len(own) > 2:
-                pairs = [a + b" " + b for a, b in zip(own, own[1:])]
-                seen = [known[p] if p in known else look(p) for p in pairs]
-                yield [p + b" " + w for p, w, x, y in zip(pairs, own[2:], seen, seen[1:])
-                       if x[0] and y[0] and (x[1] or y[2])]
+    def triples(lang, words, ids):
+        any_, first, last = (np.frombuffer(m, dtype=np.uint8) for m in (frequent, begin, end))
+        at = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)) if len(ids) > 2 else np.zeros(0, dtype=np.int64)
+        hashes = _hashes(lang, words)
+        s = _slots(hashes, ids[at], ids[at + 1], bits=8 * len(any_))
+        fits = _bit(any_, s)
+        at, s = at[fits], s[fits]
+        t = _slots(hashes, ids[at + 1], ids[at + 2], bits=8 * len(any_))
+        at = at[_bit(any_, t) & (_bit(first, s) | _bit(last, t))]
+        return ids[at], ids[at + 1], ids[at + 2]
 
     return _counted(docs, triples)
 
@@ -208,9 +253,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN, dominant: in
     """
     all_words = materialise(word_counts(docs).filter((F.col("f") >= least) | (F.col("phrase") == "")), "words")
     words = all_words.filter("phrase <> ''")
-    pairs = materialise(pair_counts(docs, bitmap(words)).filter(F.col("f") >= least), "pairs")
+    pairs = materialise(pair_counts(docs, bitmap(words, 1)).filter(F.col("f") >= least), "pairs")
     pairs = materialise(scored_pairs(pairs, words), "scored")
-    frequent = bitmap(pairs)
+    frequent = bitmap(pairs, 2)
     names, rank = ["lang", "phrase", "a", "l", "r", "score"], top
     results = pairs.select(names).filter("false")
     done = results.select("lang")
@@ -222,9 +267,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN, dominant: in
             break
         due = open_pairs.join(limits, "lang")
         wanted = due.filter("score >= t")
-        begin = bitmap(due.filter("score >= t OR bound >= t"))
+        begin = bitmap(due.filter("score >= t OR bound >= t"), 2)
         some = docs.join(limits.select(F.col("lang").alias("_l")), F.coalesce("lang", F.lit("und")) == F.col("_l"), "left_semi")
-        triples = materialise(triple_counts(some, frequent, begin, bitmap(wanted)).filter(F.col("f") >= least), "triples")
+        triples = materialise(triple_counts(some, frequent, begin, bitmap(wanted, 2)).filter(F.col("f") >= least), "triples")
         # A triple that holds a pair's words counts against it, at its beginning or its end.
         word = F.split("phrase", " ")
         holds = triples.select("lang", "f", F.explode(F.array(F.concat_ws(" ", word[0], word[1]),

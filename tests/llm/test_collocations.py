@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fleetlens.llm import collocations
@@ -94,3 +95,13 @@ def test_scores_past_64_bits(spark):
 def test_small_task_tables_change_nothing(phrases, monkeypatch):
     monkeypatch.setattr(collocations, "BITS", 64)  # nearly every slot is taken
     check(phrases, 20, 10)
+
+
+def test_distinct_rows_of_large_numbers():
+    rng = np.random.default_rng(1)
+    parts = tuple(rng.integers(0, 3, 200) for _ in range(3))
+    small, n = collocations._distinct(parts, 3)
+    shifted = tuple(p + (1 << 21) for p in parts)
+    large, m = collocations._distinct(shifted, (1 << 21) + 3)
+    assert n.tolist() == m.tolist() and n.sum() == 200
+    assert [(x + (1 << 21)).tolist() for x in small] == [x.tolist() for x in large]
