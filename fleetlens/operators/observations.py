@@ -292,9 +292,13 @@ LANDING_SCHEMA = ("organization_id string, db_key string, type_dir string, dt st
                   "obs_type string, observation_time timestamp_ntz, payload string, id bigint, object_key string")
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Read the landing zone back; the schema keeps dt/hr as text (no inference)."""
-    return spark.read.schema(LANDING_SCHEMA).option("timestampNTZFormat", TS_FORMAT).json(path)
+def read_landing(spark: SparkSession, *paths: str) -> DataFrame:
+    """Read landing zones back; the schema keeps dt/hr as text (no inference)."""
+    out = None
+    for path in paths:      # each has type/day folders of its own
+        one = spark.read.schema(LANDING_SCHEMA).option("timestampNTZFormat", TS_FORMAT).json(path)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def serialize(obs: DataFrame, version: Column | None = None) -> DataFrame:

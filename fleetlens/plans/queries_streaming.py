@@ -46,5 +46,5 @@ def q_long_running_stream(spark, d):
 
 @query("landing_stream")
 def q_landing_stream(spark, d):
-    return S.landing_stream(spark, V.observation_log(spark, d)).select(
+    return S.landing_stream(spark, V.observation_log(spark, d).repartition(BATCHES), max_files=1).select(
         "organization_id", "db_key", "type_dir", "dt", "hr", "obs_type", "observation_time", "payload", "id")

@@ -12,8 +12,8 @@ and each job is a streaming query over a file source with a checkpoint:
 * I5 ``snapshot_counters_stream`` per-snapshot roll-ups
 
 Files come in any order, so no watermark decides which rows count: each
-micro-batch writes partial aggregates under its batch id (written again as a
-whole if the batch is repeated), and readers merge them by key.  Late rows
+micro-batch appends partial aggregates to a merge log (``mergelog``: few
+folders, replays count once), and readers merge them by key.  Late rows
 change the result whenever they come, and no state is kept between batches.
 
 ``base`` is the job's folder (``input``, ``ckpt``, ``out``).  A caller who
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.keys import K
 from fleetlens.session import checkpoint_dir
+from fleetlens.streaming.mergelog import MergeLog
 
 # The reference's job intervals (seconds).
 DB_LEVEL_INTERVAL_S = 60
@@ -98,18 +99,22 @@ def versioned_sink(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def partials(spark: SparkSession, rows: DataFrame, name: str, op: Callable[[DataFrame], DataFrame], base: str | None,
-             trigger: dict | None, max_files: int | None) -> DataFrame:
-    """Lands ``rows``, streams them through ``op`` batch by batch and returns what all batches wrote."""
-    base = base or work_dir(spark, name)
-    src = materialize(rows, f"{base}/input")
-    s = file_stream(spark, src, rows.schema, max_files)
-
+def merging_sink(log: MergeLog, op: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that appends what ``op`` makes of a batch to ``log``."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        versioned_sink(f"{base}/out")(op(batch), batch_id)
+        log.append(op(batch), batch_id)
+    return sink
+
 
-    run(s, sink, f"{base}/ckpt", "append", trigger)
-    return spark.read.parquet(f"{base}/out").drop("_batch_id", "batch")
+def partials(spark: SparkSession, rows: DataFrame, name: str, op: Callable[[DataFrame], DataFrame],
+             merge: Callable[[DataFrame], DataFrame], base: str | None, trigger: dict | None,
+             max_files: int | None) -> DataFrame:
+    """Lands ``rows``, streams them through ``op`` batch by batch and returns the merged partial results."""
+    base = base or work_dir(spark, name)
+    src = materialize(rows, f"{base}/input")
+    log = MergeLog(spark, f"{base}/out", merge)
+    run(file_stream(spark, src, rows.schema, max_files), merging_sink(log, op), f"{base}/ckpt", "append", trigger)
+    return merge(log.rows() if log.state()[2] else op(rows.limit(0)))
 
 
 # I5 ----------------------------------------------------------------------------
@@ -121,8 +126,9 @@ def snapshot_counters_stream(spark: SparkSession, snapshots: DataFrame, aggs: li
     ``merge`` names how each aggregate's partial values combine (sum, min or
     max).  Snapshots of the spine without rows come with NULLs, counts with 0.
     """
-    part = partials(spark, snapshots, name, lambda b: b.groupBy(*K).agg(*aggs), base, trigger, max_files)
-    out = part.groupBy(*K).agg(*[getattr(F, how)(c).alias(c) for c, how in merge.items()])
+    out = partials(spark, snapshots, name, lambda b: b.groupBy(*K).agg(*aggs),
+                   lambda p: p.groupBy(*K).agg(*[getattr(F, how)(c).alias(c) for c, how in merge.items()]),
+                   base, trigger, max_files)
     if spine is None:
         return out
     zero = F.lit(0).cast("bigint")
@@ -142,8 +148,11 @@ def latest_metric_stream(spark: SparkSession, samples: DataFrame, now: str, wind
         return samples_in_window(batch, wanted, now, window_s).groupBy(
             "db_key", "metric", start.alias("period_start")).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
 
-    per = partials(spark, samples, "latest_metric", sums, base, trigger, max_files).groupBy(
-        "db_key", "metric", "period_start").agg((F.sum("s") / F.sum("n")).alias("avg_value"))
+    def merge(p: DataFrame) -> DataFrame:
+        return p.groupBy("db_key", "metric", "period_start").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+    per = partials(spark, samples, "latest_metric", sums, merge, base, trigger, max_files).withColumn(
+        "avg_value", F.col("s") / F.col("n"))
     return per.groupBy("db_key", "metric").agg(F.max_by("avg_value", "period_start").alias("value"),
                                                F.max("period_start").alias("period_start"))
 
@@ -160,8 +169,8 @@ def heartbeat_error_stream(spark: SparkSession, errors: DataFrame, activity: Dat
     def counts(batch: DataFrame) -> DataFrame:
         return heartbeat_errors(batch, activity, interval_s).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_errors"))
 
-    per = partials(spark, errors, "heartbeat", counts, base, trigger, max_files).groupBy(*keys).agg(
-        F.sum("n_errors").alias("n_errors"))
+    per = partials(spark, errors, "heartbeat", counts,
+                   lambda p: p.groupBy(*keys).agg(F.sum("n_errors").alias("n_errors")), base, trigger, max_files)
     j = heartbeat_beats(activity, interval_s).join(per, keys, "left")
     n = F.coalesce(F.col("n_errors"), F.lit(0).cast("bigint"))
     return j.select("organization_id", "db_key", "agent_starttime", "heartbeat_time",
@@ -176,7 +185,7 @@ def long_running_stream(spark: SparkSession, activity: DataFrame, op: Callable[[
 
     ``trigger={"processingTime": "120 seconds"}`` reproduces the polling interval.
     """
-    return op(partials(spark, activity, "long_running", op, base, trigger, max_files))
+    return partials(spark, activity, "long_running", op, op, base, trigger, max_files)
 
 
 # I4 ----------------------------------------------------------------------------
@@ -184,8 +193,8 @@ def landing_stream(spark: SparkSession, obs: DataFrame, base: str | None = None,
                    max_files: int | None = None) -> DataFrame:
     """Documents appended to the landing zone as they arrive (A8 layout).
 
-    Each micro-batch has a folder of its own in the zone, written anew as a
-    whole if the batch is repeated.
+    The zone is a merge log whose runs are landing folders: a repeated batch
+    counts once, and small batches are landed together later.
     """
     from fleetlens.operators.observations import land, read_landing
 
@@ -193,8 +202,8 @@ def landing_stream(spark: SparkSession, obs: DataFrame, base: str | None = None,
     src = materialize(obs, f"{base}/input")
     s = file_stream(spark, src, obs.schema, max_files)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        land(batch, f"{base}/zone/batch={batch_id}", mode="overwrite")
-
-    run(s, sink, f"{base}/ckpt", "append", trigger)
-    return read_landing(spark, f"{base}/zone").drop("batch")
+    columns = obs.columns
+    log = MergeLog(spark, f"{base}/zone", lambda rows: rows.select(*columns),
+                   write=lambda df, path: land(df, path, mode="overwrite"), read=lambda paths: read_landing(spark, *paths))
+    run(s, merging_sink(log, lambda b: b), f"{base}/ckpt", "append", trigger)
+    return log.rows()
