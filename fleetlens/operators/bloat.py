@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import fillfactor, max_alignment
 from fleetlens.keys import K
+from fleetlens.operators.skew import lookup_join
 from fleetlens.operators.topn import target_semi
 
 # Fixed values.
@@ -43,7 +44,7 @@ def _target_tables(classes: DataFrame, nsp: DataFrame, targets: DataFrame | None
         cls = cls.filter(F.col("relkind").isin(*relkinds))
     cls = _targets(cls, targets, "oid").withColumnRenamed("oid", "attrelid")
     ns = nsp.select(*K, F.col("oid").alias("relnamespace"), "nspname")
-    return cls.join(ns, K + ["relnamespace"])
+    return lookup_join(cls, ns, K + ["relnamespace"], "inner")
 
 
 def _target_stats(stats: DataFrame, tables: DataFrame, targets: DataFrame | None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Schema inventories: C1-C4, C10, D4, L1-L4 (L5 packs them, see observations).
 
 Catalog relations carry K; oids are only unique inside one database, so every
-join key starts with K.  Namespaces and access methods are tiny per database
-but grow with the fleet, so no broadcast is forced (AQE decides at run time).
+join key starts with K.  Namespaces, types, collations and access methods are
+few per database but grow with the fleet, so no broadcast is forced: the joins
+on them go through ``skew.lookup_join``, which deals heavy keys over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.expr import sentinel_to_null
 from fleetlens.keys import K
+from fleetlens.operators.skew import lookup_join
 from fleetlens.operators.topn import MYSQL_SYSTEM_SCHEMAS
 
 # Fixed values.
@@ -44,7 +46,7 @@ def _class_ns(cls: DataFrame, nsp: DataFrame | None) -> DataFrame:
     if nsp is None:
         return cls
     ns = nsp.select(*K, F.col("oid").alias("relnamespace"), "nspname")
-    return cls.join(ns, K + ["relnamespace"], "left")
+    return lookup_join(cls, ns, K + ["relnamespace"])
 
 
 def multi_matches(df: DataFrame, keys) -> DataFrame:
@@ -67,9 +69,9 @@ def column_inventory(att: DataFrame, cls: DataFrame, nsp: DataFrame | None, attr
     d = attrdef.select(*K, c("adrelid").alias("attrelid"), c("adnum").alias("attnum"), "adsrc")
     a = a.join(d, K + ["attrelid", "attnum"], "left")
     t = types.select(*K, c("oid").alias("atttypid"), "typname", "typcollation")
-    a = a.join(t, K + ["atttypid"], "left")
+    a = lookup_join(a, t, K + ["atttypid"])
     co = coll.select(*K, c("oid").alias("attcollation"), "collname")
-    a = a.join(co, K + ["attcollation"], "left")
+    a = lookup_join(a, co, K + ["attcollation"])
     cols = [
         c("attrelid").alias("table_id"),
         c("attname").alias("name"),
@@ -96,7 +98,7 @@ def index_inventory(idx: DataFrame, cls: DataFrame, nsp: DataFrame | None, am: D
                     c("reltablespace").alias("table_space"))
     i = i.join(c2, K + ["indexrelid"])
     a = am.select(*K, c("oid").alias("relam"), c("amname").alias("index_type"))
-    i = i.join(a, K + ["relam"], "left")
+    i = lookup_join(i, a, K + ["relam"])
     k = con.filter(c("contype").isin(*INDEX_CONSTRAINT_TYPES)).select(
         *K, c("conrelid").alias("indrelid"), c("conindid").alias("indexrelid"), "condef", "contype",
         "condeferrable", "condeferred")
