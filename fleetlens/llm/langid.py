@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +48,11 @@ _MULTIPLIERS = np.random.default_rng(5).integers(0, 2 ** 63, ORDER, dtype=np.uin
 
 
 def runs(token: str) -> list[str]:
-    """The letter runs of a token, lower case."""
-    return _LETTERS.findall(token.lower())
+    """The letter runs of a token, lower case; digits, numerals and signs such as superscripts are no letters."""
+    found = _LETTERS.findall(token.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(own) for word in found for letters, own in groupby(word, str.isalpha) if letters]
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
@@ -157,7 +161,8 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.logs, self.symbols = np.zeros((0, len(self.model.langs))), np.zeros(0, dtype=np.int64)
+        # Rows of the known tokens; both arrays grow by doubling.
+        self.logs, self.symbols = np.zeros((1 << 14, len(self.model.langs))), np.zeros(1 << 14, dtype=np.int64)
 
     def _learn(self, tokens: list[str]) -> None:
         parts = [runs(t) for t in tokens]
@@ -168,9 +173,13 @@ class Scorer:
             own_logs, own_symbols = self.model.words(flat)
             np.add.at(logs, owner, own_logs)
             np.add.at(symbols, owner, own_symbols)
+        have = len(self.known)
+        while have + len(tokens) > len(self.symbols):
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+            self.symbols = np.concatenate([self.symbols, np.zeros_like(self.symbols)])
+        self.logs[have:have + len(tokens)], self.symbols[have:have + len(tokens)] = logs, symbols
         for t in tokens:
             self.known[t] = len(self.known)
-        self.logs, self.symbols = np.vstack([self.logs, logs]), np.concatenate([self.symbols, symbols])
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bits per symbol and language, symbols) of each text."""
@@ -275,13 +284,17 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model |
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score, cross_entropy and rejected for every row of ``docs``."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    fields = [f for f in kept.schema.fields[:-1]]
+def identify(docs: DataFrame, model: Model | None, keep: list[Column], whole: bool = False) -> DataFrame:
+    """The columns ``keep`` with lang_pred, score, cross_entropy and rejected for every row of ``docs``.
+
+    ``whole``: the first of ``keep`` is a struct that holds the text, which then
+    goes to the tasks once.
+    """
+    kept = docs.select(*keep) if whole else docs.select(*keep, F.col("text").alias("_text"))
+    fields = kept.schema.fields[:len(keep)]
     from pyspark.sql.types import StructType
 
-    schema = StructType(fields).add("lang_pred", "string").add("score", "double").add(
+    schema = StructType(list(fields)).add("lang_pred", "string").add("score", "double").add(
         "cross_entropy", "double").add("rejected", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
@@ -293,7 +306,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataFr
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                column = part.column(0).field("text") if whole else part.column(part.num_columns - 1)
+                texts = [t or "" for t in column.to_pylist()]
                 lang, score, low, bad = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)
                 if scorer:
                     bits, n = scorer.entropies(texts)
@@ -302,7 +316,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataFr
                         lang[r], score[r], low[r], bad[r] = own.langs[best[r]], float(share[r]), float(
                             bits[r, best[r]]), bool(out[r])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                    [*part.columns[:len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                      pa.array(low, pa.float64()), pa.array(bad, pa.bool_())], names=schema.names)
 
     return kept.mapInArrow(run, schema)

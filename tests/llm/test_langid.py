@@ -95,3 +95,21 @@ def test_edge_cases(request, which):
 def test_nothing_learned(small_docs):
     rows = small_docs.limit(5)
     assert {r.lang_pred for r in langid.identify(rows, None, [F.col("doc_id")]).collect()} == {"und"}
+
+
+def test_numerals_and_superscripts_are_no_letters(spark):
+    assert [langid.runs(t) for t in ("x²y", "½", "①Ⅷ", "a1b_c", "Straße")] == [["x", "y"], [], ["ⅷ"] if "ⅷ".isalpha() else [], ["a", "b", "c"], ["straße"]]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(
+        [("the old mill", "en"), ("das alte haus", "de")] * 20 + [("² ½ ①", None), ("7²", None)])], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model, [docs.doc_id]).collect()}
+    assert got[40] == got[41] == "und" and got[0] != "und"
+
+
+def test_whole_rows_carry_their_text(spark, edge_docs):
+    from pyspark.sql import functions as F
+    model = langid.fit(edge_docs)
+    one = langid.identify(edge_docs, model, [F.col("doc_id")]).collect()
+    whole = langid.identify(edge_docs, model, [F.struct(*edge_docs.columns).alias("_row")], whole=True)
+    assert sorted(map(str, ((r._row.doc_id, r.lang_pred, r.rejected) for r in whole.collect()))) == sorted(
+        map(str, ((r.doc_id, r.lang_pred, r.rejected) for r in one)))
