@@ -17,7 +17,7 @@ from fleetlens.llm.common import crc_mod, materialise, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects (no letter, or like none of the languages)."""
     model = langid.fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 0))
-    known = langid.identify(docs, model, [F.struct(*docs.columns).alias("_row")])
+    known = langid.identify(docs, model, [F.struct(*docs.columns).alias("_row")], whole=True)
     return known.filter(~F.col("rejected")).select("_row.*")
 
 
