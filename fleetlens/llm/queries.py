@@ -82,34 +82,38 @@ QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_backoff_lm, op3_pareto
 # The other operators learn, hash or tokenise in ways that SQL has no form for; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {"op3_pareto_mix": r"""
 WITH s AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(text, '')) AS th
   FROM documents),
 src AS (
   SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source)),
 ratios AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / w AS ratio FROM src),
 levels AS (
-  SELECT ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  SELECT source, ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM ratios WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-final AS (SELECT arg_min(level, ratio) AS reached FROM levels WHERE ratio > level),
+final AS (SELECT (SELECT level FROM levels WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1) AS reached),
 goals AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
   FROM (SELECT r.*, coalesce(least(cap, w * final.reached), cap) AS target FROM ratios r CROSS JOIN final)),
 docs AS (
   SELECT s.*, source_size, target, whole, target - whole * source_size AS rest,
     CASE WHEN source_size > 0 THEN target / source_size - whole ELSE 0 END AS p,
-    (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
+    (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), th)), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 ranked AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS odds FROM docs),
 same AS (
-  SELECT source, odds, doc_id, size, rest, CAST(sum(size) AS BIGINT) AS words FROM ranked WHERE p > 0 AND size > 0 GROUP BY ALL),
+  SELECT source, odds, doc_id, size, th, rest, count(*) AS m, CAST(sum(size) AS BIGINT) AS words
+  FROM ranked WHERE p > 0 AND size > 0 GROUP BY ALL),
 extra AS (
-  SELECT source, doc_id, size, coalesce(sum(words) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2 <= rest AS more FROM same)
+  SELECT source, doc_id, size, th, greatest(0, least(m, floor((rest - size / 2 - coalesce(sum(words) OVER (
+    PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size, th
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / size) + 1)) AS take FROM same)
 SELECT d.doc_id, d.size, d.source_size, d.target,
-  CAST(d.size * (d.whole + CASE WHEN e.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM docs d LEFT JOIN extra e
-  ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.size = e.size""", "op11_line_runs": r"""
+  CAST(d.size * (d.whole + CASE WHEN e.take >= row_number() OVER (PARTITION BY d.source, d.doc_id, d.size, d.th) THEN 1 ELSE 0 END)
+    AS BIGINT) AS taken
+FROM docs d LEFT JOIN extra e ON d.source IS NOT DISTINCT FROM e.source AND d.doc_id IS NOT DISTINCT FROM e.doc_id
+  AND d.size = e.size AND d.th = e.th""", "op11_line_runs": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 k AS (

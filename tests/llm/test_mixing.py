@@ -21,20 +21,17 @@ def brute(rows):
         capped |= over
     out = []
     for s in names:
-        own = [(r.doc_id, n) for r, n in zip(rows, size) if r.source == s]
+        own = [(r.doc_id, n, hashlib.md5((r.text or "").encode()).hexdigest()) for r, n in zip(rows, size) if r.source == s]
         whole = int(target[s] // total[s]) if total[s] else 0
-        rest, cum, stop = target[s] - whole * total[s], 0, False
-        groups = {}
-        for d, n in own:
-            u = (int(hashlib.md5(f"mix:{'' if d is None else d}".encode()).hexdigest()[:12], 16) + .5) / 2 ** 48
-            groups.setdefault((u, d is not None, d or 0, n), []).append(d)
-        for (u, _, _, n), ds in sorted(groups.items()):
-            words = n * len(ds)
-            if n and whole < 3:
-                stop = stop or cum + words / 2 > rest
-            extra = bool(n) and not stop and rest > 0
-            cum += words if n else 0
-            out += [(d, n, total[s], target[s], (whole + extra) * n) for d in ds]
+        rest, cum = target[s] - whole * total[s], 0
+        groups = []
+        for d, n, text in own:
+            u = (int(hashlib.md5(f"mix:{text if d is None else d}".encode()).hexdigest()[:12], 16) + .5) / 2 ** 48
+            groups.append((u, d is not None, d or 0, n, text, d))
+        for _, _, _, n, _, d in sorted(groups, key=lambda g: g[:5]):
+            extra = bool(n) and whole < 3 and rest > 0 and cum + n / 2 <= rest
+            cum += n
+            out.append((d, n, total[s], target[s], (whole + extra) * n))
     return out
 
 
@@ -72,3 +69,15 @@ def test_mix_repeats_whole_documents(small_docs):
     got = {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
     assert max(want.values()) <= 3
+
+
+def test_ties_fill_the_target(spark):
+    """Rows without an id, with one id, or equal in everything are taken one by one, not all or none."""
+    rows = [(None, f"{'w ' * (1 + i % 12)}", "a") for i in range(300)] + [(7, "x y z", "b")] * 200 + [(None, "same text", "c")] * 150
+    rows += [(i, "some words of a large source " * 4, "d") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(docs)
+    sizes = mixing.document_sizes(docs)
+    taken = mixing.take_mix(sizes, mixing.plan_mix(sizes))
+    for r in taken.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= r["max(size)"]
