@@ -4,20 +4,23 @@ Nearness is the largest inner product.  With one more coordinate,
 ``sqrt(M^2 - |x|^2)`` (M: the largest norm), and queries scaled to norm M, it
 is the smallest Euclidean distance d.  ``DIMENSIONS`` Gaussian (2-stable)
 projections map d to a projected distance r with ``r^2 / d^2`` chi-square
-distributed.  Rows are visited by rising projected distance and their exact
-products taken; a query stops when the chi-square distribution at
-``r^2 / d_k^2`` reaches ``STOP`` (d_k: distance of the k-th best so far): a
-neighbour as near as that would lie beyond r with probability below
-``1 - STOP``.
+distributed.  Rows are visited by rising projected distance, one leaf of the
+tree after the other, and their exact products taken; a query stops when the
+chi-square distribution at ``r^2 / d_k^2`` reaches ``STOP`` (d_k: distance of
+the k-th best so far): a neighbour as near as that would lie beyond r with
+probability below ``1 - STOP``.
 
 The kd-tree's upper part deals rows to cells and is fitted on a bounded sample
 (``SAMPLE_ROWS`` rows); every row is indexed.  Cells over ``CHUNK_ROWS`` rows
 are cut into chunks by id hash, each with its own lower tree, so no task holds
-more.  Queries go to their own cell first, and then, with the distance found
-there, to the cells that the test does not exclude.  Queries travel in blocks.
+more.  Queries are sent to the rows: first to the nearest cells that hold
+``HOME_ROWS`` rows, and then, with the distance found there, to the cells that
+the test does not exclude.  A chunk's queries stream past its tree; only beyond
+``BLOCK_QUERIES`` of them are its rows read by a further task.
 
 Of equal vectors only the ``k + 1`` smallest ids can be in an answer, so only
-these are indexed; equal queries are searched once.
+these are indexed, with the number of their equal rows; equal queries are
+searched once.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length is not the table's most
@@ -31,14 +34,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import materialise
 
-DIMENSIONS, STOP, SAMPLE_ROWS, CHUNK_ROWS, LEAF_ROWS, BLOCK_QUERIES, SEED = 8, 0.98, 20_000, 4096, 256, 4096, 10
+DIMENSIONS, STOP, SEED = 24, 0.92, 10
+SAMPLE_ROWS, CHUNK_ROWS, LEAF_ROWS, HOME_ROWS, BLOCK_QUERIES = 20_000, 8192, 256, 16_384, 16_384
 
 
 def chi_square(x: np.ndarray | float) -> np.ndarray | float:
@@ -51,6 +54,15 @@ def chi_square(x: np.ndarray | float) -> np.ndarray | float:
     return 1 - total
 
 
+def stop_ratio() -> float:
+    """The ratio r^2 / d^2 at which the test holds."""
+    low, high = 0.0, 50.0 * DIMENSIONS
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid) < STOP else (low, mid)
+    return high
+
+
 class Projection:
     """Maps rows and queries to the projected space."""
 
@@ -110,8 +122,10 @@ class Splits:
         return node - (1 << self.depth)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -120,45 +134,103 @@ def _box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return np.einsum("ij,ij->i", gap, gap)
 
 
+class Chunk:
+    """Up to ``CHUNK_ROWS`` rows with their lower kd-tree."""
+
+    def __init__(self, projection: Projection, ids: np.ndarray, copies: np.ndarray, x: np.ndarray):
+        p = projection.rows(x)
+        leaves = kd_order(p, LEAF_ROWS)
+        order = np.concatenate(leaves)
+        self.projection, self.ids, self.copies, self.x, self.p = projection, ids[order], copies[order], x[order], p[order]
+        self.ends = np.cumsum([len(a) for a in leaves])
+        self.starts = self.ends - [len(a) for a in leaves]
+        self.low = np.array([self.p[a:b].min(axis=0) for a, b in zip(self.starts, self.ends)])
+        self.high = np.array([self.p[a:b].max(axis=0) for a, b in zip(self.starts, self.ends)])
+        self.ratio = stop_ratio()
+        self.verified = 0
+
+    def search(self, q: np.ndarray, worst: float, k: int) -> list[tuple[float, int, int]]:
+        """(product, id, copies) of the ``k`` best rows found; ``worst``: a product that k rows elsewhere reach."""
+        pq = self.projection.queries(q[None])[0]
+        scale, size = self.projection.norm / math.sqrt(float(q @ q)), 2 * self.projection.norm ** 2
+        kth, score, seen = worst, np.zeros(0), []
+
+        def reach() -> float:
+            """Squared projected distance at which the test stops the search."""
+            return self.ratio * max(size - 2 * scale * kth, 1e-12) if kth > -math.inf else math.inf
+
+        limit = reach()
+        near = _box_distance(pq, self.low, self.high)
+        order = np.argsort(near, kind="stable")
+        bounds = np.append(near[order][1:], math.inf)
+        wait_at, wait_d = np.zeros(0, dtype=np.int64), np.zeros(0)      # met, but a nearer row may be in the next leaf
+        for leaf, bound in zip(order, bounds):
+            if near[leaf] > limit and not len(wait_at):
+                break
+            if near[leaf] <= limit:
+                a, b = self.starts[leaf], self.ends[leaf]
+                gap = self.p[a:b] - pq
+                wait_at = np.concatenate([wait_at, np.arange(a, b)])
+                wait_d = np.concatenate([wait_d, np.einsum("ij,ij->i", gap, gap)])
+            keep = wait_d <= limit
+            wait_at, wait_d = wait_at[keep], wait_d[keep]
+            ready = np.flatnonzero(wait_d <= bound)
+            ready = ready[np.argsort(wait_d[ready], kind="stable")]
+            for i in range(0, len(ready), 64):
+                step = ready[i:i + 64]
+                if wait_d[step[0]] > limit:
+                    break
+                at = wait_at[step]
+                seen.append(at)
+                score = np.concatenate([score, self.x[at] @ q])
+                if len(score) >= k:
+                    kth = max(kth, np.partition(score, len(score) - k)[len(score) - k])
+                    limit = reach()
+            left = wait_d > bound
+            wait_at, wait_d = wait_at[left], wait_d[left]
+        if not seen:
+            return []
+        at = np.concatenate(seen)
+        self.verified += len(at)
+        if len(at) > k:  # exact sums decide among those within rounding of the k-th
+            edge = np.partition(score, len(at) - k)[len(at) - k]
+            at = at[score >= edge - 1e-9 * (1 + abs(edge))]
+        exact = sorted((-math.fsum((self.x[j] * q).tolist()), int(self.ids[j]), int(self.copies[j])) for j in at)
+        return [(-v, i, n) for v, i, n in exact[:k]]
+
+
 def _search(projection: Projection, k: int):
-    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asked):
-            ids, x = rows["vec_id"].to_numpy(np.int64), _matrix(rows["embedding"])
-            p = projection.rows(x)
-            leaves = kd_order(p, LEAF_ROWS)
-            order = np.concatenate(leaves)
-            ids, x, p = ids[order], x[order], p[order]
-            ends = np.cumsum([len(a) for a in leaves])
-            starts = ends - [len(a) for a in leaves]
-            low = np.array([p[a:b].min(axis=0) for a, b in zip(starts, ends)])
-            high = np.array([p[a:b].max(axis=0) for a, b in zip(starts, ends)])
-            q = _matrix(asked["embedding"])
-            pq, scale = projection.queries(q), projection.norm / np.sqrt(np.einsum("ij,ij->i", q, q))
-            size = 2 * projection.norm ** 2
-            for i, (qid, worst) in enumerate(zip(asked["qid"], asked["worst"].to_numpy(np.float64))):
-                near = _box_distance(pq[i], low, high)
-                score, seen, kth = np.zeros(0), [], worst  # kth: product of the k-th best so far
-                for leaf in np.argsort(near, kind="stable"):
-                    if kth > -math.inf:
-                        d = max(size - 2 * scale[i] * kth, 1e-12)
-                        if chi_square(near[leaf] / d) >= STOP:
-                            break
-                    a, b = starts[leaf], ends[leaf]
-                    score = np.concatenate([score, x[a:b] @ q[i]])
-                    seen.append(np.arange(a, b))
-                    if len(score) >= k:
-                        kth = max(kth, np.partition(score, len(score) - k)[len(score) - k])
-                if not seen:
+    """Rows, then queries, of one (cell, chunk, block) after the other -> (qid, vec_id, score, copies).
+
+    The last column is a row's copies or the product that a query has reached.
+    """
+    def run(batches):
+        key, held, chunk = None, [], None
+        for batch in batches:
+            kinds = batch.column(3).to_numpy(zero_copy_only=False)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or kinds[i] != kinds[i - 1]], len(keys)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                if keys[a] != key:
+                    key, held, chunk = keys[a], [], None
+                own, x, last = (batch.column(4).slice(a, b - a).to_numpy(), _matrix(batch.column(5).slice(a, b - a)),
+                                batch.column(6).slice(a, b - a).to_numpy(zero_copy_only=False))
+                if not kinds[a]:
+                    held.append((own, last, x))
+                    continue
+                if chunk is None and held:
+                    chunk = Chunk(projection, *map(np.concatenate, zip(*held)))
+                    held = []
+                if chunk is None:
                     continue
-                at = np.concatenate(seen)
-                if len(at) > k:  # exact sums decide among those within rounding of the k-th
-                    edge = np.partition(score, len(at) - k)[len(at) - k]
-                    at = at[score >= edge - 1e-9 * (1 + abs(edge))]
-                exact = [(-math.fsum((x[j] * q[i]).tolist()), int(ids[j])) for j in at]
-                out += [(int(qid), v, -s) for s, v in sorted(exact)[:k]]
-        return pd.DataFrame(out, columns=["qid", "vec_id", "score"]).astype(
-            {"qid": np.int64, "vec_id": np.int64, "score": np.float64})
+                out = [(int(qid), i, v, n) for qid, q, worst in zip(own, x, last) for v, i, n in chunk.search(q, worst, k)]
+                if out:
+                    qid, vec_id, score, copies = zip(*out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(qid, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(score, pa.float64()),
+                         pa.array(copies, pa.int64())], names=["qid", "vec_id", "score", "copies"])
 
     return run
 
@@ -179,7 +251,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     spark, wanted = vectors.sparkSession, k + 1
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = (valid_vectors(vectors).dropDuplicates(["vec_id", "embedding"])
+    index = (valid_vectors(vectors).groupBy("vec_id", "embedding").agg(F.count("*").alias("copies"))
              .withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= wanted).drop("_n"))
     index = materialise(index, "vectors")
     norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
@@ -190,25 +262,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], schema)
     projection = Projection(about.dim, about.norm * (1 + 1e-12))
     unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = [r.embedding for r in index.filter(unit < SAMPLE_ROWS / about.n).limit(SAMPLE_ROWS + SAMPLE_ROWS // 2)
-              .collect()]
+    sample = np.array([r.embedding for r in index.filter(unit < SAMPLE_ROWS / about.n).select("embedding")
+                       .limit(SAMPLE_ROWS + SAMPLE_ROWS // 2).collect()], dtype=np.float64)
     cells = min(SAMPLE_ROWS // 16, max(1, about.n // CHUNK_ROWS))
-    splits = Splits(projection.rows(_matrix(sample)) if sample else np.zeros((0, DIMENSIONS)), cells if sample else 1)
+    splits = Splits(projection.rows(sample) if len(sample) else np.zeros((0, DIMENSIONS)), cells if len(sample) else 1)
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                p = projection.rows(_matrix(batch.column(1).to_pylist()))
+                p = projection.rows(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(splits.cell(p).astype(np.int32)), pa.array(list(p))],
-                    names=["vec_id", "embedding", "cell", "p"])
+                    [*batch.columns, pa.array(splits.cell(p).astype(np.int32)), pa.array(list(p))],
+                    names=["vec_id", "embedding", "copies", "cell", "p"])
 
     element = index.schema["embedding"].dataType.simpleString()
-    placed = materialise(index.mapInArrow(place, f"vec_id long, embedding {element}, cell int, p array<double>"), "cells")
+    placed = materialise(index.select("vec_id", "embedding", "copies").mapInArrow(
+        place, f"vec_id long, embedding {element}, copies long, cell int, p array<double>"), "cells")
     boxes = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.array(*[F.min(F.col("p")[i]) for i in range(DIMENSIONS)]).alias("low"),
         F.array(*[F.max(F.col("p")[i]) for i in range(DIMENSIONS)]).alias("high")).orderBy("cell").collect()  # per cell
-    names = np.array([b.cell for b in boxes], dtype=np.int32)
+    names, held = np.array([b.cell for b in boxes], dtype=np.int32), np.array([b.n for b in boxes])
     low, high = np.array([b.low for b in boxes]), np.array([b.high for b in boxes])
     chunks = {int(b.cell): -(-b.n // CHUNK_ROWS) for b in boxes}
     chunk_map = F.create_map(*[F.lit(x) for c in chunks.items() for x in c])
@@ -216,27 +289,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     asked = materialise(valid_vectors(queries).filter(F.size("embedding") == about.dim).distinct(), "queries")
     once = asked.groupBy("embedding").agg(F.min("vec_id").alias("qid"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    ratio, result = stop_ratio(), "qid long, vec_id long, score double, copies long"
 
     def visits(first: bool):
-        """Cells that a query still has to see: its nearest one, or those that the test does not exclude."""
+        """Cells that a query still has to see: the nearest ones, or those that the test does not exclude."""
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q = _matrix(batch.column(1).to_pylist())
+                q = _matrix(batch.column(1))
                 pq, scale = projection.queries(q), projection.norm / np.sqrt(np.einsum("ij,ij->i", q, q))
                 worst = np.array(batch.column(2).to_pylist(), dtype=np.float64)
                 who, cell = [], []
                 for i in range(len(q)):
                     near = _box_distance(pq[i], low, high)
-                    home = near.argmin()
+                    order = np.argsort(near, kind="stable")
+                    home = 1 + int(np.searchsorted(np.cumsum(held[order]), HOME_ROWS))
                     if first:
-                        need = np.array([home])
+                        need = order[:home]
                     else:
                         d = max(2 * projection.norm ** 2 - 2 * scale[i] * worst[i], 1e-12)
-                        need = np.flatnonzero(chi_square(near / d) < STOP)
-                        need = need[need != home]
+                        need = order[home:]
+                        need = need[near[need] <= ratio * d]
                     who += [i] * len(need)
                     cell += names[need].tolist()
                 part = batch.take(pa.array(who, pa.int64()))
@@ -245,14 +319,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return run
 
     def found(asked_now: DataFrame, first: bool) -> DataFrame:
-        pairs = (asked_now.mapInArrow(visits(first), f"qid long, embedding {element}, worst double, cell int")
-                 .withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunk_map[F.col("cell")] - 1).cast("int"))))
-                 .withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")))
-        spread = rows.select("cell", "chunk", "vec_id", "embedding").withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = materialise(asked_now.mapInArrow(visits(first), f"qid long, embedding {element}, worst double, cell int"),
+                            "visits")
+        many = {r.cell: -(-r["count"] // BLOCK_QUERIES) for r in pairs.groupBy("cell").count().collect()}  # per cell
+        if not many:
+            return spark.createDataFrame([], result)
+        blocks = F.coalesce(F.create_map(*[F.lit(x) for c in many.items() for x in c])[F.col("cell")], F.lit(0)).cast("int")
+        block = F.pmod(F.xxhash64("qid"), blocks).cast("int")
+        last = (chunk_map[F.col("cell")] - 1).cast("int")
+        asks = pairs.select("cell", F.explode(F.sequence(F.lit(0), last)).alias("chunk"), block.alias("block"),
+                            F.lit(1).alias("kind"), F.col("qid").alias("id"), "embedding", "worst")
+        own = rows.filter(blocks > 0).select("cell", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
+                                             F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "embedding",
+                                             F.col("copies").cast("double").alias("worst"))
         key = ["cell", "chunk", "block"]
-        return spread.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(
-            _search(projection, wanted), "qid long, vec_id long, score double")
+        return (own.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "kind")
+                .mapInArrow(_search(projection, wanted), result))
 
     start = once.select("qid", "embedding", F.lit(float("-inf")).alias("worst"))
     home = materialise(found(start, True), "home")
@@ -263,7 +345,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         "qid", "embedding", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
     both = home.union(found(again, False)).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= wanted)
     members = asked.join(once, "embedding").select(F.col("vec_id").alias("query_id"), "qid").distinct()
-    ranked = members.join(both, "qid").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
+    # Equal rows count each; more than k of them cannot be in an answer.
+    ranked = members.join(both, "qid").filter("vec_id <> query_id").select(
+        "query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))).alias("_t"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return ranked.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

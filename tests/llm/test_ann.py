@@ -64,8 +64,41 @@ def test_edge_cases(spark):
     assert ann.nearest(df, df.limit(0), 20).count() == 0
 
 
+def test_equal_rows_count_each(spark):
+    rows = [(1, [1.0, 0.0])] * 3 + [(2, [0.9, 0.1])] * 2 + [(2, [0.1, 0.9]), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ranked(ann.nearest(df, df.filter("vec_id in (3, 4)"), 4))
+    assert got == brute(rows, [(3, [1.0, 0.0]), (4, [0.0, 1.0])], 4)
+
+
+def test_few_rows_are_verified(monkeypatch):
+    """Clustered vectors: the stop leaves most rows out and loses few neighbours."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((50, 64))
+    x = centres[rng.integers(0, 50, 8000)] + 0.4 * rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    chunk = ann.Chunk(ann.Projection(64, 1.0), np.arange(8000), np.ones(8000), x)
+    found = 0
+    for i in range(0, 8000, 200):
+        got = {v for _, v, _ in chunk.search(x[i], -math.inf, 21)}
+        found += len(got & set(np.argsort(-(x @ x[i]))[:21].tolist()))
+    assert found / (40 * 21) >= 0.9 and chunk.verified / (40 * 8000) < 0.1
+
+
+@pytest.mark.parametrize("blocks", [3, 100])
+def test_queries_in_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", blocks)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 100)
+    monkeypatch.setattr(ann, "HOME_ROWS", 150)
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = ranked(ann.nearest(df, df.filter("vec_id % 20 = 0"), 5))
+    assert recall(got, brute(rows, [r for r in rows if r[0] % 20 == 0], 5)) >= 0.9
+
+
 def test_chi_square():
+    assert abs(ann.chi_square(ann.stop_ratio()) - ann.STOP) < 1e-9
     x = np.random.default_rng(2).standard_normal((200000, ann.DIMENSIONS))
     r = (x ** 2).sum(axis=1)
-    for at in (2.0, 8.0, 15.0):
+    for at in (12.0, 24.0, 40.0):
         assert abs(ann.chi_square(at) - (r <= at).mean()) < 0.01
