@@ -22,6 +22,7 @@ from fleetlens.functions.expr import fillfactor, max_alignment
 from fleetlens.keys import K
 from fleetlens.operators.skew import lookup_join
 from fleetlens.operators.topn import target_semi
+from fleetlens.sources.shared import write_once
 
 # Fixed values.
 PAGE_HEADER_SIZE = 24
@@ -192,6 +193,9 @@ def table_bloat(attrs, classes, nsp, stats, settings, targets) -> DataFrame:
     """
     c = F.col
     tables = _target_tables(classes, nsp, targets, BLOAT_RELKINDS)
+    if targets is not None:
+        # Cuts attributes and statistics: computed once, and broadcast to both where its written size allows.
+        tables = write_once(tables, "bloat_targets")
     base = attrs.join(tables, K + ["attrelid"])
     j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"], "left")
     live = ~c("attisdropped")

@@ -323,3 +323,8 @@ ORACLES["db_document_mysql"] = W(
             + " || '}' AS value FROM m1 GROUP BY ALL"),
            ("loc", f"SELECT {KC}, NULL AS value FROM mysql_status LIMIT 0"),
            ("rs", f"SELECT {KC}, NULL AS value FROM mysql_status LIMIT 0")])
+
+ORACLES["column_set_union"] = W(f"""
+SELECT {KC}, relid, relname, n_live_tup, CASE WHEN {_L} IN ('db0', 'db1') THEN n_dead_tup END AS n_dead_tup,
+  CASE WHEN {_L} = 'db0' THEN n_mod_since_analyze END AS n_mod_since_analyze
+FROM pg_stat_user_tables""", "pg_stat_user_tables")

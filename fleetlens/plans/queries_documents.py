@@ -248,3 +248,17 @@ def q_db_document_mysql(spark, d):
     spine = _spine([status, V.mysql_digests(spark, d), V.knob_rows(spark, d)], K, F.lit(MYSQL_VERSION))
     knobs = V.knob_rows(spark, d)
     return D.db_documents(spine, SS.knob_snapshot(knobs), glob, parameters=SS.user_set_parameters(knobs))
+
+
+# ------------------------------------------------------------- column sets -----
+@query("column_set_union")
+def q_column_set_union(spark, d):
+    """G1 without a column list: logical databases of three server versions land documents with their own columns;
+    the union of the column sets is found in the documents, null where a version lacks a column (Q10)."""
+    ts = V.pg_stat_user_tables(spark, d).select(*K, "relid", "relname", "n_live_tup", "n_dead_tup", "n_mod_since_analyze")
+    ldb = F.col("logical_database_name")
+    items = [E.Item("pg_stat_user_tables", ts.filter(ldb == "db0"), ["relid"]),
+             E.Item("pg_stat_user_tables", ts.filter(ldb == "db1").drop("n_mod_since_analyze"), ["relid"]),
+             E.Item("pg_stat_user_tables", ts.filter(~ldb.isin("db0", "db1")).drop("n_mod_since_analyze", "n_dead_tup"), ["relid"])]
+    docs = E.pack(items, K, ENVELOPE_PAGE_ROWS)
+    return E.item_frames(docs)["pg_stat_user_tables"].drop("item", "page", "n_rows", "row_pos")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,28 +35,30 @@ def interleave(ranks: list[Column], bits: int = BITS) -> Column:
     return out
 
 
-def _steps(points: DataFrame, name: str) -> DataFrame:
-    """(_v, step): step 0 .. 2^BITS - 1 of every different value of a column, in their order."""
-    values = points.select(F.col(name).alias("_v")).distinct().withColumn("_one", F.lit(1))
-    place = numbered(values, ["_one"], [F.col("_v").asc_nulls_first()])
-    total = place.agg(F.max("position").alias("_n"))
-    step = F.floor((F.col("position") - 1) * (1 << BITS) / F.col("_n")).cast("bigint")
-    return place.crossJoin(F.broadcast(total)).select("_v", step.alias(f"_s{name}"))     # one row
-
-
 def curve(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
-    """Written table (_d0, _d1, ..., _z): the place on the curve of every different combination of ``dims``."""
+    """Written table (_d0, _d1, ..., _z): the place on the curve of every different combination of ``dims``.
+
+    A value's step is 0 .. 2^BITS - 1 by its place among the different values of its column.
+    """
     names = [f"_d{i}" for i in range(len(dims))]
     points = write_once(rows.select(*[c.alias(n) for n, c in zip(names, dims.values())]).distinct(), "points")
+    values = reduce(lambda a, b: a.unionByName(b), [
+        points.select(F.lit(n).alias("_dim"), F.col(n).cast("string").alias("_v")).distinct() for n in names])
+    place = write_once(numbered(values, ["_dim"], [F.col("_v").asc_nulls_first()]), "places")
+    total = place.groupBy(F.col("_dim").alias("_of")).agg(F.max("position").alias("_n"))       # a row per dimension
+    step = F.floor((F.col("position") - 1) * (1 << BITS) / F.col("_n")).cast("bigint")
+    steps = place.join(F.broadcast(total), F.col("_dim") == F.col("_of")).select("_dim", "_v", step.alias("_step"))
     out = points
     for n in names:
-        out = out.join(_steps(points, n), F.col(n).eqNullSafe(F.col("_v"))).drop("_v")
+        own = steps.filter(F.col("_dim") == n).select("_v", F.col("_step").alias(f"_s{n}"))
+        out = out.join(own, F.col(n).cast("string").eqNullSafe(F.col("_v"))).drop("_v")
     return write_once(out.select(*names, interleave([F.col(f"_s{n}") for n in names]).alias("_z")), "curve")
 
 
-def clustered(rows: DataFrame, dims: Mapping[str, Column], before: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` dealt and sorted by (``before``, curve of ``dims``, row hash)."""
-    columns, z = rows.columns, curve(rows, dims)
+def clustered(rows: DataFrame, dims: Mapping[str, Column], before: tuple[str, ...] = (), z: DataFrame | None = None) -> DataFrame:
+    """``rows`` dealt and sorted by (``before``, curve of ``dims``, row hash); ``z``: the curve, if it is there already."""
+    columns = rows.columns
+    z = curve(rows, dims) if z is None else z
     row_hash = F.xxhash64(*[F.col(c) for c in columns])
     same = [c.eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(dims.values())]
     placed = rows.join(z, same).withColumn("_h", row_hash)
