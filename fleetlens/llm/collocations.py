@@ -36,7 +36,7 @@ from fleetlens.llm.common import materialise
 
 MIN, TOP, DOMINANT = 10, 2000, 50
 #: Size of a hash bitmap in bits; tokens and different words that a task gathers before it counts them.
-BITS, TOKENS, WORDS = 1 << 24, 3_000_000, 1 << 19
+BITS, TOKENS, WORDS = 1 << 24, 1_500_000, 1 << 18
 SHAPE = "lang string, phrase string, f long"
 #: Ends of pieces become a byte that UTF-8 never has; A-Z become a-z.
 _END = 0xFF
