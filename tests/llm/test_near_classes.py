@@ -2,8 +2,7 @@ import itertools
 
 import pytest
 
-import corpus_pipeline
-from fleetlens.llm import minhash
+from fleetlens.llm import minhash, simhash
 from test_simhash import classes
 
 
@@ -24,11 +23,11 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-def test_stage_keeps_one_of_each_class(spark, sf):
+def test_one_of_each_class_is_kept(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     low = brute(rows)
-    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    got = [r.doc_id for r in simhash.keep_one_each(docs, minhash.near_classes(docs), "class").collect()]
     assert sorted(got) == sorted(rows[i].doc_id for i in set(low.values()))
 
 
