@@ -146,56 +146,59 @@ class Chunk:
         self.starts = self.ends - [len(a) for a in leaves]
         self.low = np.array([self.p[a:b].min(axis=0) for a, b in zip(self.starts, self.ends)])
         self.high = np.array([self.p[a:b].max(axis=0) for a, b in zip(self.starts, self.ends)])
+        self.leaf = np.repeat(np.arange(len(leaves)), [len(a) for a in leaves])
+        self.squares = np.einsum("ij,ij->i", self.p, self.p)
         self.ratio = stop_ratio()
         self.verified = 0
 
-    def search(self, q: np.ndarray, worst: float, k: int) -> list[tuple[float, int, int]]:
-        """(product, id, copies) of the ``k`` best rows found; ``worst``: a product that k rows elsewhere reach."""
-        pq = self.projection.queries(q[None])[0]
+    def search(self, queries: np.ndarray, worst: np.ndarray, k: int) -> list[list[tuple[float, int, int]]]:
+        """(product, id, copies) of the ``k`` best rows found per query; ``worst``: products that k rows elsewhere reach."""
+        out = []
+        for start in range(0, len(queries), 64):
+            q = queries[start:start + 64]
+            pq = self.projection.queries(q)
+            # Squared projected distances of a few queries to all rows of the chunk.
+            d = self.squares - 2 * pq @ self.p.T + np.einsum("ij,ij->i", pq, pq)[:, None]
+            out += [self._one(x, px, dx, w, k) for x, px, dx, w in zip(q, pq, d, worst[start:start + 64])]
+        return out
+
+    def _one(self, q: np.ndarray, pq: np.ndarray, d: np.ndarray, kth: float, k: int) -> list[tuple[float, int, int]]:
         scale, size = self.projection.norm / math.sqrt(float(q @ q)), 2 * self.projection.norm ** 2
-        kth, score, seen = worst, np.zeros(0), []
 
         def reach() -> float:
             """Squared projected distance at which the test stops the search."""
             return self.ratio * max(size - 2 * scale * kth, 1e-12) if kth > -math.inf else math.inf
 
-        limit = reach()
         near = _box_distance(pq, self.low, self.high)
-        order = np.argsort(near, kind="stable")
-        bounds = np.append(near[order][1:], math.inf)
-        wait_at, wait_d = np.zeros(0, dtype=np.int64), np.zeros(0)      # met, but a nearer row may be in the next leaf
-        for leaf, bound in zip(order, bounds):
-            if near[leaf] > limit and not len(wait_at):
-                break
-            if near[leaf] <= limit:
-                a, b = self.starts[leaf], self.ends[leaf]
-                gap = self.p[a:b] - pq
-                wait_at = np.concatenate([wait_at, np.arange(a, b)])
-                wait_d = np.concatenate([wait_d, np.einsum("ij,ij->i", gap, gap)])
-            keep = wait_d <= limit
-            wait_at, wait_d = wait_at[keep], wait_d[keep]
-            ready = np.flatnonzero(wait_d <= bound)
-            ready = ready[np.argsort(wait_d[ready], kind="stable")]
-            for i in range(0, len(ready), 64):
-                step = ready[i:i + 64]
-                if wait_d[step[0]] > limit:
-                    break
-                at = wait_at[step]
-                seen.append(at)
-                score = np.concatenate([score, self.x[at] @ q])
-                if len(score) >= k:
-                    kth = max(kth, np.partition(score, len(score) - k)[len(score) - k])
-                    limit = reach()
-            left = wait_d > bound
-            wait_at, wait_d = wait_at[left], wait_d[left]
+        seen, score = [], np.zeros(0)
+        if kth == -math.inf and len(d) > k:
+            # The nearest leaf gives a first distance; its rows come up again in order.
+            leaf = int(near.argmin())
+            first = self.x[self.starts[leaf]:self.ends[leaf]] @ q
+            if len(first) >= k:
+                kth = float(np.partition(first, len(first) - k)[len(first) - k])
+        limit = reach()
+        open_ = (near <= limit)[self.leaf] & (d <= limit)      # leaves whose box is beyond the stop are not entered
+        order = np.flatnonzero(open_)
+        order = order[np.argsort(d[order], kind="stable")]
+        at, step = 0, 128
+        while at < len(order) and d[order[at]] <= limit:
+            rows = order[at:at + step]
+            rows = rows[d[rows] <= limit]
+            seen.append(rows)
+            score = np.concatenate([score, self.x[rows] @ q])
+            if len(score) >= k:
+                kth = max(kth, float(np.partition(score, len(score) - k)[len(score) - k]))
+                limit = reach()
+            at, step = at + step, min(2 * step, 2048)
         if not seen:
             return []
-        at = np.concatenate(seen)
-        self.verified += len(at)
-        if len(at) > k:  # exact sums decide among those within rounding of the k-th
-            edge = np.partition(score, len(at) - k)[len(at) - k]
-            at = at[score >= edge - 1e-9 * (1 + abs(edge))]
-        exact = sorted((-math.fsum((self.x[j] * q).tolist()), int(self.ids[j]), int(self.copies[j])) for j in at)
+        found = np.concatenate(seen)
+        self.verified += len(found)
+        if len(found) > k:  # exact sums decide among those within rounding of the k-th
+            edge = np.partition(score, len(found) - k)[len(found) - k]
+            found = found[score >= edge - 1e-9 * (1 + abs(edge))]
+        exact = sorted((-math.fsum((self.x[j] * q).tolist()), int(self.ids[j]), int(self.copies[j])) for j in found)
         return [(-v, i, n) for v, i, n in exact[:k]]
 
 
@@ -225,7 +228,7 @@ def _search(projection: Projection, k: int):
                     held = []
                 if chunk is None:
                     continue
-                out = [(int(qid), i, v, n) for qid, q, worst in zip(own, x, last) for v, i, n in chunk.search(q, worst, k)]
+                out = [(int(qid), i, v, n) for qid, found in zip(own, chunk.search(x, last, k)) for v, i, n in found]
                 if out:
                     qid, vec_id, score, copies = zip(*out)
                     yield pa.RecordBatch.from_arrays(

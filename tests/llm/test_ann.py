@@ -80,7 +80,7 @@ def test_few_rows_are_verified(monkeypatch):
     chunk = ann.Chunk(ann.Projection(64, 1.0), np.arange(8000), np.ones(8000), x)
     found = 0
     for i in range(0, 8000, 200):
-        got = {v for _, v, _ in chunk.search(x[i], -math.inf, 21)}
+        got = {v for _, v, _ in chunk.search(x[i:i + 1], np.array([-math.inf]), 21)[0]}
         found += len(got & set(np.argsort(-(x @ x[i]))[:21].tolist()))
     assert found / (40 * 21) >= 0.9 and chunk.verified / (40 * 8000) < 0.1
 
