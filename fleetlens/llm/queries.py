@@ -122,33 +122,4 @@ k AS (
 frequent AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN frequent f ON k.key = f.key GROUP BY r""", "op13_phrase_collocations": r"""
-WITH p AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
-  FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
-grams AS (
-  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
-  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w
-  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM w),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
-n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
-held AS (
-  SELECT lang, phrase, max(a) AS longest
-  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
-cuts AS (
-  SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM c),
-scored AS (
-  SELECT u.lang, u.phrase, u.a, u.cut, x.f AS l, y.f AS r,
-    CAST((u.a::HUGEINT * u.a * 1000000) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM cuts u JOIN f x ON u.lang = x.lang AND x.phrase = array_to_string(u.w[1:u.cut], ' ')
-  JOIN f y ON u.lang = y.lang AND y.phrase = array_to_string(u.w[u.cut + 1:], ' ')),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-alive AS (
-  SELECT b.* FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.phrase
-  WHERE h.longest IS NULL OR 100 * h.longest < 50 * b.a)
-SELECT alive.lang, row_number() OVER (PARTITION BY alive.lang ORDER BY score DESC, a DESC, phrase) AS rank,
-  phrase, a, l, r, n, score
-FROM alive JOIN n ON alive.lang = n.lang QUALIFY rank <= 2000"""}
+FROM k LEFT JOIN frequent f ON k.key = f.key GROUP BY r"""}
