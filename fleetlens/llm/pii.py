@@ -2,18 +2,23 @@
 
 Base spans come from four patterns (below).  The field adds spans that the
 patterns miss, such as phone numbers without a plus or spelled-out addresses.
-It looks at regions: stretches of digit groups, and words around an at sign.
-A region's atoms are its runs of letters and digits; a segment is up to
-``MAX_ATOMS`` atoms with a kind, scored by features of the whole span (digits,
-group lengths, marks, check digit, neighbours); dynamic programming over the
-atoms chooses boundaries and kinds together.  An added span never overlaps a
-base span and base spans stay.
+It looks at regions: stretches of digit groups (seven digits, or four groups),
+and words around an at sign.  A region's atoms are its runs of letters and
+digits; a segment is up to ``MAX_ATOMS`` atoms with a kind (a card written digit
+by digit has 19) and, without letters, up to ``MAX_DIGITS`` digits.  It is scored
+by features of the whole span (digits, group lengths, marks, check digit,
+neighbours); dynamic programming from left to right chooses boundaries and
+kinds together.  It keeps the scores of the next ``MAX_ATOMS`` atoms and two
+bytes an atom to trace back, so a region may be as long as a text.  An added
+span never overlaps a base span and base spans stay.
 
 Training: gradient ascent on the field's log likelihood over a bounded sample
-of regions (``SAMPLE_DOCS`` documents, lowest by a hash of the id).  Labels are
-the base spans, and rewritten copies of them (another notation, same label),
-against the digits and words that the patterns leave alone.  Fixed seeds make
-reruns equal.
+of regions: ``SAMPLE_DOCS`` documents, lowest by a hash of the id, with
+``SAMPLE_REGIONS`` regions each, drawn from the whole text, in pieces of at most
+``PIECE_ATOMS`` atoms (cut where no label is cut) and ``PIECE_CHARS`` characters.
+Labels are the base spans, and rewritten copies of them (another notation, same
+label), against the digits and words that the patterns leave alone.  Fixed seeds
+make reruns equal.
 
 Defined cases: null texts count as empty; a null id is kept; texts of one very
 long run are one atom; repeated rows are searched each; offsets are code
@@ -24,10 +29,15 @@ Counts per kind are those of the base spans; ``spans`` holds all.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
-from collections import defaultdict
+import zlib
+from array import array
+from bisect import bisect_left, bisect_right
+from collections import defaultdict, deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +52,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MAX_ATOMS, SAMPLE_DOCS, EPOCHS, SEED_COPIES = 12, 1500, 6, 60
+MAX_ATOMS, MAX_DIGITS, MAX_CHARS = 19, 19, 120
+SAMPLE_DOCS, SAMPLE_REGIONS, PIECE_ATOMS, PIECE_CHARS, EPOCHS, SEED_COPIES = 1500, 40, 60, 4096, 6, 60
 _REGION = re.compile(r"[+(]?[0-9](?:[ ().+\[\]-]{0,3}[0-9])+")
 _AT = re.compile(r"@|\(at\)|\[at\]| at ", re.I)
 _BEFORE_AT = re.compile(r"[\w.%+-]{1,64}\s?$")
@@ -88,7 +99,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def regions(text: str) -> list[tuple[int, int]]:
     """Stretches that may hold personal data; sorted, not overlapping."""
-    found = [m.span() for m in _REGION.finditer(text) if m.end() - m.start() >= 7 and len(_digits(m.group())) >= 7]
+    found = [m.span() for m in _REGION.finditer(text)
+             if len(_digits(m.group())) >= 7 or len(re.findall(r"[0-9]+", m.group())) >= 4]
     for m in _AT.finditer(text):
         left = _BEFORE_AT.search(text[max(0, m.start() - 66):m.start()])
         right = _AFTER_AT.match(text, m.end())
@@ -113,7 +125,7 @@ def features(text: str, s: int, e: int) -> list[str]:
            f"shape={'-'.join(str(min(len(g), 9)) for g in groups[:7])}"]
     before, after = text[s - 1:s], text[e:e + 1]
     out.append(f"edge={_class(before)}{_class(after)}")
-    if len(span) <= 40 and 13 <= n <= 19:
+    if 13 <= n <= 19:
         out.append(f"check={luhn(''.join(groups))}")
     if len(groups) == 4:
         out.append(f"octets={_octets(groups)}")
@@ -133,53 +145,94 @@ def _class(c: str) -> str:
     return "." if not c or c.isspace() else "a" if c.isalpha() else "0" if c.isdigit() else "p"
 
 
-def _atoms(text: str, s: int, e: int) -> list[tuple[int, int]]:
+def _atoms(text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
     """Letter and digit runs; an opening plus or bracket belongs to the next run."""
-    out = []
     for m in _ATOM.finditer(text, s, e):
         a = m.start()
         if a > s and text[a - 1] in "+(":
             a -= 1
             if a > s and text[a - 1] == "+":
                 a -= 1
-        out.append((a, m.end()))
-    return out
+        yield a, m.end()
+
+
+def _ends(text: str, ahead: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(atoms, end) of the candidate segments that begin with the first of the atoms ``ahead``."""
+    start, digits, letters = ahead[0][0], 0, False
+    for n, (a, b) in enumerate(ahead[:MAX_ATOMS], 1):
+        atom = text[a:b]
+        digits += len(_digits(atom))
+        letters = letters or any(c.isalpha() for c in atom)
+        if n > 1 and (b - start > MAX_CHARS or digits > MAX_DIGITS and not letters):
+            return
+        yield n, b
+
+
+def segment(text: str, s: int, e: int, weights: dict) -> list[tuple[str, int, int]]:
+    """The highest-scoring segmentation of text[s:e]: spans with a kind.
+
+    ``score`` holds the best sums up to the current atom and the ones that its
+    segments can reach; of equal sums the one that marks less, then the longer
+    last span, stays.
+    """
+    source, ahead = _atoms(text, s, e), deque()
+    starts, ends, length, kinds = array("q"), array("q"), array("b", [0]), array("b", [0])
+    score = deque([0.0])
+    while True:
+        while len(ahead) < MAX_ATOMS and (atom := next(source, None)):
+            ahead.append(atom)
+            starts.append(atom[0])
+            ends.append(atom[1])
+            score.append(-math.inf)
+            length.append(0)
+            kinds.append(0)
+        if not ahead:
+            break
+        at = len(starts) - len(ahead)  # atoms before the current one
+        if score[0] >= score[1]:
+            score[1], length[at + 1] = score[0], 0
+        for n, end in _ends(text, list(ahead)):
+            feats = features(text, ahead[0][0], end)
+            for k, kind in enumerate(KINDS):
+                x = score[0] + weigh(weights, kind, feats)
+                if x > score[n]:
+                    score[n], length[at + n], kinds[at + n] = x, n, k
+        ahead.popleft()
+        score.popleft()
+    out, j = [], len(starts)
+    while j > 0:
+        if length[j]:
+            out.append((KINDS[kinds[j]], starts[j - length[j]], ends[j - 1]))
+        j -= length[j] or 1
+    return out[::-1]
 
 
 class Lattice:
-    """Atoms of a region and the features of its candidate segments."""
+    """Atoms of a short region and the features of its candidate segments (for training)."""
 
     def __init__(self, text: str, s: int, e: int):
-        self.atoms = _atoms(text, s, e)
-        self.segments = {}
-        for i in range(len(self.atoms)):
-            for j in range(i, min(i + MAX_ATOMS, len(self.atoms))):
-                a, b = self.atoms[i][0], self.atoms[j][1]
-                if b - a > 120 and j > i:
-                    break
-                self.segments[i, j + 1] = features(text, a, b)
+        self.region = text, s, e
+        self.atoms = list(_atoms(text, s, e))
+        self.segments = {(i, i + n): features(text, self.atoms[i][0], end) for i in range(len(self.atoms))
+                         for n, end in _ends(text, self.atoms[i:i + MAX_ATOMS])}
 
     def best(self, weights: dict[str, float]) -> list[tuple[str, int, int]]:
-        """The highest-scoring segmentation: spans with a kind."""
-        n = len(self.atoms)
-        score, back = [0.0] + [-math.inf] * n, [None] * (n + 1)
-        for j in range(1, n + 1):
-            score[j], back[j] = score[j - 1], None
-            for i in range(max(0, j - MAX_ATOMS), j):
-                feats = self.segments.get((i, j))
-                for kind in KINDS if feats else ():
-                    x = score[i] + weigh(weights, kind, feats)
-                    if x > score[j]:
-                        score[j], back[j] = x, (i, kind)
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind = back[j]
-                out.append((kind, self.atoms[i][0], self.atoms[j - 1][1]))
-                j = i
-        return out[::-1]
+        return segment(*self.region, weights)
+
+
+def pieces(text: str, s: int, e: int, gold: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """A region in pieces of at most ``PIECE_ATOMS`` atoms that cut no gold span; too long ones are left out."""
+    atoms, i = list(_atoms(text, s, e)), 0
+    marks = sorted((a, b) for _, a, b in gold)
+    while i < len(atoms):
+        cut = min(i + PIECE_ATOMS, len(atoms))
+        while cut < len(atoms) and cut > i + 1 and (k := bisect_left(marks, (atoms[cut][0],))) and max(
+                b for _, b in marks[max(0, k - len(KINDS)):k]) > atoms[cut][0]:
+            cut -= 1
+        a, b = s if i == 0 else atoms[i][0], e if cut == len(atoms) else atoms[cut - 1][1]
+        if b - a <= PIECE_CHARS:
+            yield a, b
+        i = cut
 
 
 def weigh(weights: dict[str, float], kind: str, feats: list[str]) -> float:
@@ -201,7 +254,7 @@ def train(examples: list[tuple[str, int, int, list[tuple[str, int, int]]]], epoc
         lattice = Lattice(text, s, e)
         first, last = {a: i for i, (a, _) in enumerate(lattice.atoms)}, {b: i for i, (_, b) in enumerate(lattice.atoms)}
         marks = [(first[a], last[b] + 1, kind) for kind, a, b in gold if a in first and b in last]
-        if 0 < len(lattice.atoms) <= 60 and all((i, j) in lattice.segments for i, j, _ in marks):
+        if lattice.atoms and all((i, j) in lattice.segments for i, j, _ in marks):
             cases.append((lattice, set(marks)))
     rnd = random.Random(8)
     for _ in range(epochs):
@@ -240,7 +293,8 @@ def _rewritten(kind: str, span: str, rnd: random.Random) -> str:
     if kind == "ip":
         return "[.]".join(span.split("."))
     if kind == "card":
-        return rnd.choice([".", " - "]).join(d[i:i + 4] for i in range(0, len(d), 4))
+        size, mark = rnd.choice([(1, ". "), (1, " - "), (4, "."), (4, " - ")])
+        return mark.join(d[i:i + size] for i in range(0, len(d), size))
     d = d[-10:]
     return rnd.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"])
 
@@ -252,7 +306,9 @@ def _other(rnd: random.Random) -> str:
         f"{r(1900, 2099)}-{r(1, 12):02d}-{r(1, 28):02d}", f"{r(1, 28):02d}.{r(1, 12):02d}.{r(1900, 2099)}",
         f"{r(1, 999)} {r(100, 999)} {r(100, 999)}", f"{r(10 ** 6, 10 ** 12)}", f"{r(10 ** 15, 10 ** 16 - 1)}",
         f"{r(1, 9)}.{r(0, 20)}.{r(0, 9)}.{r(0, 9)}.{r(0, 9)}", f"{r(300, 999)}.{r(1, 999)}.{r(300, 999)}.{r(1, 99)}",
-        f"{r(1900, 2099)}-{r(1900, 2099)}", f"{r(1000, 9999)} {r(1000, 9999)}", f"ISBN {r(100, 999)}-{r(1, 9)}-{r(10000, 99999)}"])
+        f"{r(1900, 2099)}-{r(1900, 2099)}", f"{r(1000, 9999)} {r(1000, 9999)}",
+        " ".join(str(r(0, 99)) for _ in range(r(4, 9))), "-".join(str(r(0, 9)) for _ in range(r(4, 24))),
+        ".".join(str(r(0, 9)) for _ in range(r(5, 24))), f"ISBN {r(100, 999)}-{r(1, 9)}-{r(10000, 99999)}"])
 
 
 def examples(texts: list[str]) -> list[tuple[str, int, int, list[tuple[str, int, int]]]]:
@@ -260,15 +316,16 @@ def examples(texts: list[str]) -> list[tuple[str, int, int, list[tuple[str, int,
     rnd, out = random.Random(9), []
 
     def add(text, gold):
-        for s, e in regions(text):
-            out.append((text, s, e, [g for g in gold if s <= g[1] and g[2] <= e]))
+        for region in regions(text):
+            for s, e in pieces(text, *region, gold):
+                out.append((text, s, e, [g for g in gold if s <= g[1] and g[2] <= e]))
 
     def around(text, s, e):
         """Words beside text[s:e], up to the next digit or at sign."""
         return re.split("[0-9@]", text[max(0, s - 20):s])[-1], re.split("[0-9@]", text[e:e + 20])[0]
 
     for text in texts:
-        for s, e in regions(text)[:40]:
+        for s, e in regions(text):
             left, right = around(text, s, e)
             own = left + text[s:e] + right
             add(own, base_spans(own))
@@ -297,8 +354,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
 
     def near(rows):  # only the neighbourhoods of regions travel
         for (text,) in rows:
-            for s, e in regions(text)[:40]:
-                yield (text[max(0, s - 40):e + 40],)
+            found, gold = regions(text), base_spans(text)
+            for region in random.Random(zlib.crc32(text.encode())).sample(found, min(SAMPLE_REGIONS, len(found))):
+                own = [g for g in gold if region[0] <= g[1] and g[2] <= region[1]]
+                for s, e in itertools.islice(pieces(text, *region, own), SAMPLE_REGIONS):
+                    yield (text[max(0, s - 40):e + 40],)
 
     windows = sorted(r.text for r in map_rows(sample, near, "text string").collect())
     return train(examples(windows + [_SEED_TEXT] * SEED_COPIES))
@@ -307,13 +367,20 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
 def all_spans(text: str, weights: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind as listed, then start."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    added = []
+    taken: list[tuple[int, int]] = []  # the base spans' union
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(e, taken[-1][1])
+        else:
+            taken.append((s, e))
+    starts, added = [s for s, _ in taken], []
     for s, e in regions(text):
-        if any(a <= s and e <= b for a, b in taken):
+        at = bisect_right(starts, s)
+        if at and e <= taken[at - 1][1]:
             continue
-        for kind, a, b in Lattice(text, s, e).best(weights):
-            if not any(x < b and a < y for x, y in taken):
+        for kind, a, b in segment(text, s, e, weights):
+            at = bisect_left(starts, b)
+            if not at or taken[at - 1][1] <= a:
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -71,6 +72,53 @@ def test_added_spans(weights):
         assert not pii.all_spans(text, weights)[1], text
 
 
+def test_short_and_long_notations(weights):
+    for text, want in [("the host 10[.]0[.]0[.]1 fell", ("ip", 9, 23)),
+                       ("card 4. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1. 1 was used", ("card", 5, 51)),
+                       ("card 5 - 5 - 0 - 0 - 0 - 0 - 5 - 5 - 5 - 5 - 5 - 5 - 5 - 5 - 5 - 9 was", ("card", 5, 66))]:
+        base, every = pii.all_spans(text, weights)
+        assert every == [want] and want not in base, (text, every)
+    for text in ["we saw 1 2 3 4 5 of them", "scores 3-1-0-2 at last", "chapter 1.2.3.4.5.6 says so"]:
+        base, every = pii.all_spans(text, weights)
+        assert every == base, (text, every)
+
+
+def test_window_like_the_whole_lattice():
+    """The streamed programme against a table over all atoms, in a region of many."""
+    rnd = random.Random(3)
+    text = " ".join(str(rnd.randint(0, 10 ** rnd.randint(1, 6))) for _ in range(150))
+    lattice = pii.Lattice(text, 0, len(text))
+    n = len(lattice.atoms)
+    for _ in range(5):
+        w = {(k, f): rnd.uniform(-2, 1) for k in pii.KINDS for fs in lattice.segments.values() for f in fs + [""]}
+        best = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            best[i] = max([best[i + 1]] + [pii.weigh(w, k, lattice.segments[i, j]) + best[j]
+                                           for j in range(i + 1, n + 1) if (i, j) in lattice.segments for k in pii.KINDS])
+        first = {a: i for i, (a, _) in enumerate(lattice.atoms)}
+        last = {b: i + 1 for i, (_, b) in enumerate(lattice.atoms)}
+        spans = lattice.best(w)
+        assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
+        assert math.isclose(sum(pii.weigh(w, k, lattice.segments[first[a], last[b]]) for k, a, b in spans), best[0])
+
+
+def test_long_regions_take_bounded_memory(weights):
+    rnd = random.Random(4)
+    text = " ".join(str(rnd.randint(0, 999)) for _ in range(100_000)) + " (212) 555-0199"
+    tracemalloc.start()
+    pii.segment(text, 0, 60_000, weights)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_pieces_cover_regions_and_cut_no_label():
+    text = " ".join(["4111 1111 1111 1111"] * 100)
+    gold = pii.base_spans(text) + [("card", i, i + 19) for i in range(0, len(text), 20)]
+    cut = list(pii.pieces(text, 0, len(text), gold))
+    assert len(cut) > 1 and cut[0][0] == 0 and cut[-1][1] == len(text)
+    assert all(any(a <= s and e <= b for a, b in cut) for _, s, e in gold if e - s == 19)
+
+
 @pytest.mark.parametrize("which", ["edge_docs", "small_docs", "empty_docs"])
 def test_find(request, weights, which):
     docs = request.getfixturevalue(which)
