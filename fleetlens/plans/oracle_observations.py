@@ -166,6 +166,7 @@ LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS db_key, concat('binlog.', user_id)
 ORACLES["snapshot_counters_stream"] = ORACLES["row_count_distribution"]
 ORACLES["latest_metric_stream"] = ORACLES["latest_metric"]
 ORACLES["heartbeat_stream"] = ORACLES["agent_heartbeat"]
+ORACLES["heartbeat_stateful_stream"] = ORACLES["agent_heartbeat"]
 ORACLES["long_running_stream"] = __import__("fleetlens.plans.oracle_sql", fromlist=["x"]).ORACLES["long_running_pg"]
 ORACLES["landing_stream"] = W(f"""
 SELECT organization_id, db_key, {_TYPE_DIR} AS type_dir, strftime(observation_time, '%Y%m%d') AS dt,
