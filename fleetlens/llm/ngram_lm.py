@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import materialise
 
 #: Bytes of text after which a block ends, and of text per hash range of the counts.
-BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 8 << 20, 8 << 20, 64
+BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES = 5 << 20, 8 << 20, 64
 #: Occurrences that make a pair of words a state; tokens of a document that are walked at a time.
 MIN_PAIR, STEPS = 2, 1 << 16
 #: Greatest share of a pair's estimate.
