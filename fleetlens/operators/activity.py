@@ -11,9 +11,9 @@ from fleetlens.functions.text import scrub_vacuum_query
 from fleetlens.keys import K
 from fleetlens.operators.topn import target_semi, top_n_per_key
 
+# The columns of the long-running samples and of the vacuum sessions.
 PG_LONG_RUNNING_COLUMNS = ["pid", "query_id", "backend_start", "query_start", "datid", "datname", "state",
                            "state_change", "wait_event", "wait_event_type", "backend_type", "xact_start"]
-# The columns of the long-running sample.
 MYSQL_LONG_RUNNING_COLUMNS = ["THREAD_ID", "EVENT_ID", "EVENT_NAME", "TIMER_START", "TIMER_END", "TIMER_WAIT",
                               "LOCK_TIME", "DIGEST", "DIGEST_TEXT", "ROWS_AFFECTED", "ROWS_SENT", "ROWS_EXAMINED",
                               "CREATED_TMP_DISK_TABLES", "CREATED_TMP_TABLES", "SELECT_FULL_JOIN",

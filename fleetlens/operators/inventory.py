@@ -173,6 +173,7 @@ def mysql_user_rows(df: DataFrame, schema_col: str, cols) -> DataFrame:
     return df.filter(~F.lower(F.col(schema_col)).isin(*MYSQL_SYSTEM_SCHEMAS)).select(*K, *cols)
 
 
+# The columns of the inventories.
 MYSQL_COLUMN_COLS = ["TABLE_SCHEMA", "TABLE_NAME", "COLUMN_NAME", "ORDINAL_POSITION", "COLUMN_DEFAULT",
                      "IS_NULLABLE", "DATA_TYPE", "COLLATION_NAME", "COLUMN_COMMENT"]
 MYSQL_INDEX_COLS = ["TABLE_SCHEMA", "TABLE_NAME", "INDEX_NAME", "NON_UNIQUE", "COLUMN_NAME", "COLLATION",

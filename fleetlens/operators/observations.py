@@ -77,6 +77,7 @@ def records_json(df: DataFrame, cols: Sequence, order: Sequence[str], alias: str
 
 
 # A7 / C15 -----------------------------------------------------------------------
+# Fixed value: the name format of the catalog files.
 CATALOG_FILE_PATTERN = r"cloudwatch_metrics(_cluster)?/rds_([a-z_]+)-([0-9_]+)\.json$"
 
 

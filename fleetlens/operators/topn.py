@@ -96,6 +96,7 @@ def top_indexes(index_stats: DataFrame, targets: DataFrame, n: int = 10000) -> D
 
 
 # F3 ---------------------------------------------------------------------------
+# The engine's own schemas and the columns of the table statistics.
 MYSQL_SYSTEM_SCHEMAS = ("information_schema", "performance_schema", "mysql", "sys")
 MYSQL_TABLE_COLUMNS = ["TABLE_SCHEMA", "TABLE_NAME", "TABLE_TYPE", "ENGINE", "ROW_FORMAT", "TABLE_ROWS",
                        "AVG_ROW_LENGTH", "DATA_LENGTH", "INDEX_LENGTH", "DATA_FREE"]

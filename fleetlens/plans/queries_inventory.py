@@ -122,7 +122,7 @@ def q_index_inventory_mysql(spark, d):
     return INV.mysql_user_rows(V.mysql_statistics(spark, d), "TABLE_SCHEMA", INV.MYSQL_INDEX_COLS)
 
 
-# The six PostgreSQL inventories of one schema document: item -> (columns, order).
+# The six PostgreSQL inventories of one schema document, item -> (columns, order).
 PG_SCHEMA_ITEMS = {
     "columns": (["table_id", "name", "type", "default_val", "nullable", "collation", "identity", "storage_type",
                  "generated", "stats_target", "description"], ["table_id", "attnum"]),

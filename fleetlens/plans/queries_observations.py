@@ -19,6 +19,7 @@ METRIC_NOW = "2024-01-30 23:47:13"      # not on a period's edge
 METRIC_WINDOW_S, METRIC_PERIOD_S = 86400, 3600
 HEARTBEAT_INTERVAL_S = 3600
 AGENT_VERSION, ERROR_PAGE_ROWS = "0.2.1", 50
+# The columns of the table statistics view.
 PG_TABLE_COLUMNS = ["relid", "schemaname", "relname", "seq_scan", "seq_tup_read", "idx_scan", "idx_tup_fetch",
                     "n_tup_ins", "n_tup_upd", "n_tup_del", "n_tup_hot_upd", "n_live_tup", "n_dead_tup",
                     "n_mod_since_analyze", "last_vacuum", "last_autovacuum", "last_analyze", "last_autoanalyze",
