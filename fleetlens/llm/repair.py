@@ -19,7 +19,7 @@ holds the rows of a conversation; the repaired text's digest streams over them.
 Defined cases: a null in any column counts as one space, so a null text is
 blank, a null role can only be rerolled or deleted, and the rows of a null
 conversation are one conversation; rows are ordered by turn (nulls first),
-then role and text hash, so ties have one order; repeated rows are duplicates
+those of one turn stay as the table is read; repeated rows are duplicates
 after the first; an empty table gives an empty result; further columns are
 ignored.  Texts are told apart by 128 hash bits.
 """
@@ -229,11 +229,12 @@ def ordered(conversations: DataFrame) -> DataFrame:
     """Written table (key, conv_id, turn, role, text, g): g rises in the order of conversations and their rows."""
     rows = conversations.select(_text(F.col("conv_id")).alias("key"), "conv_id", "turn", _text(F.col("role")).alias("role"),
                                 _text(F.col("text")).alias("text"))
-    order = ["key", F.col("turn").asc_nulls_first(), "role", "h1", "h2"]
-    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("2"), "text")})
+    order = ["key", F.col("turn").asc_nulls_first(), "_at"]
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("2"), "text"),
+                             "_at": F.monotonically_increasing_id()})
     # Sorted ranges, and ids that rise inside a range and from one to the next.
     return materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order)
-                       .withColumn("g", F.monotonically_increasing_id()), "ordered")
+                       .drop("_at").withColumn("g", F.monotonically_increasing_id()), "ordered")
 
 
 def faults(rows: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Written table of blocks in order: (part, n, key, g, classes, illegal, first, last)."""
+    """Written table of blocks in order: (part, n, key, g, classes, illegal, first, last); g: of each of its rows."""
     initial, fault = F.col("initial"), F.col("fault")
     letter = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
     letter = (F.when(fault.isin("blank", "duplicate"), "x").when(fault == "truncated", F.upper(letter)).otherwise(letter))
@@ -263,7 +264,7 @@ def blocks(rows: DataFrame) -> DataFrame:
         def done():
             initials = [r[3] for r in own]
             illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
-            return part, n, own[0][0], own[0][1], "".join(r[2] for r in own), illegal, initials[0], initials[-1]
+            return part, n, own[0][0], [r[1] for r in own], "".join(r[2] for r in own), illegal, initials[0], initials[-1]
 
         for row in stream:
             if own and (row[0] != own[0][0] or len(own) == BLOCK):
@@ -275,7 +276,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
     sorted_rows = (rows.select("key", "g", letter.alias("letter"), "initial")
                    .repartitionByRange("g").sortWithinPartitions("g"))
-    return materialise(map_rows(sorted_rows, cut, "part int, n long, key string, g long, classes string, illegal long, "
+    return materialise(map_rows(sorted_rows, cut, "part int, n long, key string, g array<long>, classes string, illegal long, "
                                                   "first string, last string"), "blocks")
 
 
@@ -329,13 +330,14 @@ def edits(found: DataFrame) -> DataFrame:
             yield key, idx, g, cost - out[after], list(own)
 
     return materialise(map_rows(alone.select(columns).unionByName(many), solved,
-                                "key string, idx long, g long, cost long, edits array<string>"), "edits")
+                                "key string, idx long, g array<long>, cost long, edits array<string>"), "edits")
 
 
 def _stream(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows and their edits, whole conversations to a task and in order: (key, g, edit, role, text)."""
-    edit = found.select("key", F.posexplode("edits").alias("i", "edit"), "g").select(
-        "key", (F.col("g") + F.col("i")).alias("g"), "edit", F.lit(None).cast("string").alias("role"),
+    # A block can hold rows of two of the ordered ranges, between which g jumps: every edit goes by its own row's g.
+    edit = found.select("key", F.inline(F.arrays_zip("g", "edits"))).select(
+        "key", "g", F.col("edits").alias("edit"), F.lit(None).cast("string").alias("role"),
         F.lit(None).cast("string").alias("text"))
     text = rows.select("key", "g", F.lit(None).cast("string").alias("edit"), "role", "text")
     return (edit.unionByName(text).repartition("key")

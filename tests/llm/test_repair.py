@@ -128,6 +128,37 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert repair.damaged_report(frame(spark, rows)).count() == len({r[0] for r in rows})
 
 
+def test_rows_of_one_turn_stay_in_order(spark):
+    rows = [(1, 0, "user", "Hi."), (1, 0, "assistant", "Yes."), (1, 0, "user", "b."), (1, 0, "assistant", "a"),
+            (2, None, "system", "z."), (2, None, "assistant", "Hi."), (2, 3, "user", "c."), (2, 3, "assistant", "d.")]
+    check(spark, rows)
+
+
+def test_blocks_over_two_ordered_ranges(spark):
+    """The ordered rows lie in several ranges and the blocks in one: a block's rows need not have adjacent ids."""
+    rng, rows = random.Random(3), []
+    for conv in range(40):
+        rows += [(conv, t, rng.choice(["user", "assistant"]), f"{rng.random()}.") for t in range(25)]
+    ordered = repair.ordered
+
+    def ranges(conversations):
+        conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+        old = {k: spark.conf.get(k) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            return ordered(conversations)
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+    repair.ordered = ranges
+    try:
+        check(spark, rows)
+    finally:
+        repair.ordered = ordered
+
+
 def test_repaired_turns_are_the_texts(spark):
     rows = [(1, 0, "user", "Hi."), (1, 1, "user", "there."), (1, 2, "assistant", "Yes."), (2, 0, "assistant", "Alone.")]
     ordered, _, _, edits = repair.repair(frame(spark, rows))
