@@ -65,3 +65,17 @@ def test_items_of_several_orders_are_one_numbering(spark):
     assert got["d", "a"] == {"columns": ["n", "s"], "rows": [[None, "z"], [1, "y"], [3, "x"]]}
     assert got["d", "b"] == {"columns": ["v", "t"], "rows": [[1.5, "p"], [2.5, "q"]]}
     assert got[None, "b"]["rows"] == [[0.5, "r"]]
+
+
+def test_flat_rows_have_the_text_of_variants_without_variants(spark):
+    from pyspark.sql import functions as F
+
+    rows = [('a"b', "{x}", 1, True), ('"k":', "k", None, None), ("}", "{", 2, False), (None, "\\", -3, True),
+            ('\\"k":', '"', 9, None), ("é\n\t\x01\u2028/</", 'k":"k', 0, True), ('{"k":1}', "[]", 5, False), ("", "", 1, True)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "id int, a string, b string, n bigint, f boolean")
+    packed = E.pack([E.Item("x", df, ["a", "b"], ["b", "n", "f", "a"])], ["id"], 100)
+    want = df.orderBy(F.col("a").asc_nulls_first(), "b").select(
+        F.to_json(F.array(*[F.col(c).cast("variant") for c in ("b", "n", "f", "a")]))).collect()
+    assert packed.first()["payload"] == '{"columns":["b","n","f","a"],"rows":[' + ",".join(r[0] for r in want) + "]}"
+    text = E._row([F.col(c) for c in ("b", "n", "f", "a")], [df.schema[c].dataType for c in ("b", "n", "f", "a")])
+    assert "variant" not in df.select(text)._jdf.queryExecution().optimizedPlan().toString()
