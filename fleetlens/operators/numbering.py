@@ -18,12 +18,17 @@ from fleetlens.sources.shared import write_once
 ROW_BITS = 33       # of monotonically_increasing_id: the place inside a partition
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
-    """Adds ``name``: 1, 2, ... per ``keys`` in ``order`` (nulls in keys are keys; a total order up to equal rows)."""
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position",
+             placed: Sequence[str | Column] = ("*",)) -> DataFrame:
+    """Adds ``name``: 1, 2, ... per ``keys`` in ``order`` (nulls in keys are keys; a total order up to equal rows).
+
+    ``placed``: what to keep of a row, the keys among it.  It is computed once, when the row is in place, and not
+    for the sample that finds the ranges.
+    """
     keys = list(keys)
     by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
     rows = write_once(df.repartitionByRange(*by).sortWithinPartitions(*by)
-                      .withColumn("_g", F.monotonically_increasing_id()), "numbered")
+                      .select(*placed, F.monotonically_increasing_id().alias("_g")), "numbered")
     part = F.shiftright("_g", ROW_BITS)
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range of a key
     runs = (rows.groupBy(*keys, part.alias("_p")).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))

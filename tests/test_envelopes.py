@@ -79,3 +79,59 @@ def test_flat_rows_have_the_text_of_variants_without_variants(spark):
     assert packed.first()["payload"] == '{"columns":["b","n","f","a"],"rows":[' + ",".join(r[0] for r in want) + "]}"
     text = E._row([F.col(c) for c in ("b", "n", "f", "a")], [df.schema[c].dataType for c in ("b", "n", "f", "a")])
     assert "variant" not in df.select(text)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _by_variants(d, item):
+    """The rows of ``d`` read by variants alone: no page counts as plain."""
+    def refuse(payload):
+        raise E._NotPlain
+
+    plain, E._plain_page = E._plain_page, refuse
+    try:
+        found = E.discover(d)
+        cells = [F.try_variant_get(F.col("_m")[f.name], "$", f.dataType.simpleString()).alias(f.name) for f in found[item].fields]
+        rows = E._opened(d.filter(F.col("item") == item), "payload").select("_c", F.posexplode("_rows").alias("row_pos", "_v"))
+        return found, rows.select("row_pos", E._by_name("_c", "_v").alias("_m")).select("row_pos", *cells)
+    finally:
+        E._plain_page = plain
+
+
+def test_plain_pages_are_read_as_variants_are(spark):
+    ok = [[1, "x", True, None], [None, "é\"\\\n", False, None], [-2 ** 63, "", None, None], [2 ** 63 - 1], [1, "y", True, None, 9]]
+    odd = ['{"columns":["n","s","b","z"],"rows":[[1.5,"a",true,2]]}', '{"columns":["n","s"],"rows":[["7","a"]]}',
+           '{"columns":["n"],"rows":[[9223372036854775808]]}', '{"columns":["n"],"rows":[[NaN]]}', "no envelope", "[]", "",
+           '{"columns":["n"],"columns":["s"],"rows":[[3]]}', '{"columns":["n"],"rows":[[4],5]}', '{"columns":["n","o"],"rows":[[4,{"a":1}]]}',
+           '{"columns":["n",3],"rows":[[8,9]]}', '{"columns":["n"],"rows":null}',
+           '{"columns":["s"],"rows":[["\\ud83d\\ude00"],["\\ud800"]]}', '{"columns":["n"],"rows":[[10]]} ', "{'columns':['n'],'rows':[[11]]}",
+           '{"columns":["q"],"rows":[]}', '{"rows":[[1]]}', '{"columns":["n"],"rows":[[1.50],[1e3],[true]]}']
+    plain = {"columns": ["n", "s", "b", "z"], "rows": ok}
+    for case in ([], odd[:1], odd[1:2], odd[2:10], odd):
+        d = docs(spark, ("a", plain), *[("a", o) for o in case]).repartition(2)
+        found, want = _by_variants(d, "a")
+        assert E.discover(d) == found, case
+        got = E.item_frame(d, "a", found["a"]).drop("item")
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), case
+    null = spark.createDataFrame([("a", None)], "item string, payload string")
+    assert E.discover(null) == {} and E.item_frame(null, "a", found["a"]).count() == 0
+
+
+def test_plain_pages_do_not_pass_cell_by_cell_through_variants(spark):
+    """Types of plain pages: a task hands on a row or two, however many pages and rows it read."""
+    pages = [("a", {"columns": ["n", "s"], "rows": [[i, "x" if i % 2 else None] for i in range(50)]})] * 20
+    thin = docs(spark, *pages).coalesce(1).mapInArrow(E._thinned, "item string, payload string").collect()
+    assert [json.loads(r.payload) for r in thin] == [{"columns": ["n", "s"], "rows": [[1, ""]]}]
+
+
+def test_row_texts_and_column_names_do_not_travel_with_the_rows(spark):
+    """Names of columns are no column of the written rows, and the text of a row is made after the ranges are found."""
+    from unittest import mock
+    from fleetlens.operators import numbering
+
+    df = spark.range(20).select(F.lit("d").alias("db"), "id", (F.col("id") * 2).alias("twice"))
+    written = []
+    with mock.patch.object(numbering, "write_once", lambda f, name: written.append(f) or f):
+        E.pack([E.Item("x", df, ["id"])], KEYS, 10)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert set(written[0].columns) == {"db", "item", "_i", "_row", "_g"}
+    assert "to_json" not in plan[plan.index("RepartitionByExpression"):].lower()
