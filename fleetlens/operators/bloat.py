@@ -32,6 +32,13 @@ BLOAT_RELKINDS = ("r", "m")
 MAX_TABLE_COLUMNS = 1600   # PostgreSQL's MaxHeapAttributeNumber bounds a D6 group
 
 
+# A sort on join or group keys compares them in this order: a table's id or name tells rows apart, and the snapshot
+# key, which is equal in long runs of rows, comes last.
+BY_ID = ["attrelid", *K]
+BY_TABLE = ["relid", *K]
+BY_NAME = ["relname", "attname", "nspname", *K]
+
+
 def _targets(df: DataFrame, targets: DataFrame | None, id_col: str) -> DataFrame:
     if targets is None:
         return df
@@ -71,8 +78,8 @@ def factor_stats_join(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stat
     with NULL statistics.
     """
     tables = _target_tables(classes, nsp, targets, BLOAT_RELKINDS)
-    base = attrs.filter(~F.col("attisdropped")).join(tables, K + ["attrelid"])
-    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"], "left")
+    base = attrs.filter(~F.col("attisdropped")).join(tables, BY_ID)
+    j = base.join(_target_stats(stats, tables, targets), BY_NAME, "left")
     return j.select(*K, F.col("attrelid").alias("relid"), "attname", "attnum", "atttypname",
                     "reltuples", "relpages", "reloptions", "null_frac", "avg_width", "stat_found")
 
@@ -91,7 +98,7 @@ def bloat_factors(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stats: D
                         max_alignment(F.col("version")).alias("ma"))
     nf = F.coalesce(F.col("null_frac"), F.lit(0.0))
     n_stats = F.count("stat_found")
-    g = j.groupBy(*K, "relid").agg(
+    g = j.groupBy(*BY_TABLE).agg(
         F.first("relpages").alias("tblpages"),
         F.first("reltuples").alias("reltuples"),
         F.first(fillfactor(F.col("reloptions"))).alias("fillfactor"),
@@ -119,8 +126,8 @@ def column_width_join(attrs: DataFrame, classes: DataFrame, nsp: DataFrame, stat
                       targets: DataFrame | None = None) -> DataFrame:
     """Columns of target tables with an analysed width (inner join on names)."""
     tables = _target_tables(classes, nsp, targets)
-    base = attrs.join(tables, K + ["attrelid"])
-    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"])
+    base = attrs.join(tables, BY_ID)
+    j = base.join(_target_stats(stats, tables, targets), BY_NAME)
     return j.select(*K, F.col("attrelid").alias("relid"), "attnum", "attname", "attalign", "avg_width")
 
 
@@ -147,14 +154,14 @@ def tuple_padding(widths: DataFrame) -> DataFrame:
     folded with ``aggregate`` inside the JVM; the first column starts the
     offset, the tuple end is aligned to 4 bytes.
     """
-    g = widths.groupBy(*K, "relid").agg(
+    g = widths.groupBy(*BY_TABLE).agg(
         F.array_sort(F.collect_list(F.struct("attnum", "attalign", "avg_width"))).alias("cols"))
     return g.select(*K, "relid", F.expr(_PADDING_FOLD).cast("bigint").alias("padding"))
 
 
 def padding_default(factors: DataFrame, padding: DataFrame) -> DataFrame:
     """C11: every factor row with its padding; tables without widths get 0."""
-    return factors.join(padding.select(*K, "relid", "padding"), K + ["relid"], "left") \
+    return factors.join(padding.select(*K, "relid", "padding"), BY_TABLE, "left") \
         .withColumn("padding", F.coalesce(F.col("padding"), F.lit(0).cast("bigint")))
 
 
@@ -196,12 +203,12 @@ def table_bloat(attrs, classes, nsp, stats, settings, targets) -> DataFrame:
     if targets is not None:
         # Cuts attributes and statistics: computed once, and broadcast to both where its written size allows.
         tables = write_once(tables, "bloat_targets")
-    base = attrs.join(tables, K + ["attrelid"])
-    j = base.join(_target_stats(stats, tables, targets), K + ["nspname", "relname", "attname"], "left")
+    base = attrs.join(tables, BY_ID)
+    j = base.join(_target_stats(stats, tables, targets), BY_NAME, "left")
     live = ~c("attisdropped")
     matched = c("stat_found").isNotNull()
     nf = F.coalesce(c("null_frac"), F.lit(0.0))
-    g = j.groupBy(*K, c("attrelid").alias("relid")).agg(
+    g = j.groupBy(c("attrelid").alias("relid"), *K).agg(
         F.first("relpages").alias("tblpages"),
         F.first("reltuples").alias("reltuples"),
         F.first(fillfactor(c("reloptions"))).alias("fillfactor"),

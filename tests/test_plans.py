@@ -78,3 +78,16 @@ def test_statistics_are_cut_to_the_target_tables_before_the_join(spark):
     plan = _plan(spark, "bloat_ratio")
     stats = plan[plan.index("attname"):]
     assert "LeftSemi" in stats and plan.count("Scan parquet") <= 12
+
+
+def test_bloat_sorts_compare_what_tells_rows_apart_first(spark):
+    """The snapshot key, equal in long runs of rows, comes last in the keys of large joins and groups."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(spark, "tuple_padding")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = re.findall(r"SortMergeJoin \[(\w+)#", plan)
+    assert "relname" in joins and "attrelid" in joins and "organization_id" not in set(joins[:2])
+    assert re.search(r"ObjectHashAggregate\(keys=\[(attrelid|relid)#", plan)
