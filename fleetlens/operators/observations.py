@@ -16,7 +16,7 @@ from fleetlens.functions.expr import OBSERVATION_TYPES, engine_version_key, iso_
 from fleetlens.keys import K
 from fleetlens.operators.numbering import numbered
 from fleetlens.operators.rollups import metric_period_avg
-from fleetlens.sources.clustered import clustered, curve
+from fleetlens.sources.clustered import clustered, curve, spread
 from fleetlens.sources.envelopes import Item, order_column, pack
 from fleetlens.sources.shared import write_once
 
@@ -269,14 +269,14 @@ def _landing_dims() -> dict[str, Column]:
     return {"hour": F.col("hr"), "org": F.col("organization_id"), "db": F.col("db_key")}
 
 
-def landing_layout(obs: DataFrame, z: DataFrame | None = None) -> DataFrame:
-    """A8 rows for type/day folders, inside a folder along the curve of hour, organisation and database.
+def landing_layout(rows: DataFrame, z: DataFrame | None = None) -> DataFrame:
+    """``rows`` of ``landing_columns`` for type/day folders, inside a folder along the curve of hour, organisation and database.
 
     Folders multiply neither with the fleet nor with the hours; a document keeps its object name
     in ``object_key``.  Ranges end with a row hash, so a hot folder, hour or database is written by
     many tasks; a document without a key or a time is kept, in the folder for none.
     """
-    return clustered(landing_columns(obs), _landing_dims(), before=tuple(LANDING_PARTITIONS), z=z)
+    return clustered(rows, _landing_dims(), before=tuple(LANDING_PARTITIONS), z=z)
 
 
 def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "append", rows_per_file: int = 1_000_000) -> None:
@@ -285,9 +285,10 @@ def land(obs: DataFrame, path: str, compression: str = "gzip", mode: str = "appe
     All documents are kept (the reference overwrote all but the last one of an
     hour, quirk Q4; ``hourly_latest`` reproduces that on read).
     """
-    packed = F.coalesce(landing_type(F.col("obs_type")).isin(*COMPRESSED_TYPES), F.lit(False))
-    z = curve(landing_columns(obs), _landing_dims())
-    for part, codec, how in ((obs.filter(packed), compression, mode), (obs.filter(~packed), "none", "append")):
+    packed = F.coalesce(F.col("type_dir").isin(*COMPRESSED_TYPES), F.lit(False))
+    rows = spread(obs, "landing", landing_columns)
+    z = curve(rows, _landing_dims())
+    for part, codec, how in ((rows.filter(packed), compression, mode), (rows.filter(~packed), "none", "append")):
         (landing_layout(part, z).write.mode(how).option("compression", codec).option("timestampNTZFormat", TS_FORMAT)
          .option("maxRecordsPerFile", rows_per_file).partitionBy(*LANDING_PARTITIONS).json(path))
 

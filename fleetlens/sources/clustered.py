@@ -14,7 +14,7 @@ Null keys and times are kept: they have a rank of their own, before all others.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,33 +35,39 @@ def interleave(ranks: list[Column], bits: int = BITS) -> Column:
     return out
 
 
+def spread(rows: DataFrame, name: str, op: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What ``op`` makes of ``rows``, written once and dealt by row hash.
+
+    A batch that comes as one file of one row group is read by one task, and once only: all that follows
+    reads the dealt files, in as many tasks as there are rows for.
+    """
+    return write_once(op(rows.repartition(F.xxhash64(*[F.col(c) for c in rows.columns]))), name)
+
+
 def curve(rows: DataFrame, dims: Mapping[str, Column]) -> DataFrame:
-    """Written table (_d0, _d1, ..., _z): the place on the curve of every different combination of ``dims``.
+    """Written table (_dim, _v, _step): the step on its dimension's axis of every different value of ``dims``.
 
-    A value's step is 0 .. 2^BITS - 1 by its place among the different values of its column.
+    A value's step is 0 .. 2^BITS - 1 by its place among the different values of its column.  The table grows
+    with the values, not with their combinations, which are almost as many as the rows.
     """
-    names = [f"_d{i}" for i in range(len(dims))]
-    points = write_once(rows.select(*[c.alias(n) for n, c in zip(names, dims.values())]).distinct(), "points")
     values = reduce(lambda a, b: a.unionByName(b), [
-        points.select(F.lit(n).alias("_dim"), F.col(n).cast("string").alias("_v")).distinct() for n in names])
+        rows.select(F.lit(f"_d{i}").alias("_dim"), c.cast("string").alias("_v")) for i, c in enumerate(dims.values())]).distinct()
     place = write_once(numbered(values, ["_dim"], [F.col("_v").asc_nulls_first()]), "places")
     total = place.groupBy(F.col("_dim").alias("_of")).agg(F.max("position").alias("_n"))       # a row per dimension
     step = F.floor((F.col("position") - 1) * (1 << BITS) / F.col("_n")).cast("bigint")
-    steps = place.join(F.broadcast(total), F.col("_dim") == F.col("_of")).select("_dim", "_v", step.alias("_step"))
-    out = points
-    for n in names:
-        own = steps.filter(F.col("_dim") == n).select("_v", F.col("_step").alias(f"_s{n}"))
-        out = out.join(own, F.col(n).cast("string").eqNullSafe(F.col("_v"))).drop("_v")
-    return write_once(out.select(*names, interleave([F.col(f"_s{n}") for n in names]).alias("_z")), "curve")
+    return write_once(place.join(F.broadcast(total), F.col("_dim") == F.col("_of")).select("_dim", "_v", step.alias("_step")),
+                      "curve", folders=("_dim",))      # each dimension has its own size: small ones are broadcast
 
 
 def clustered(rows: DataFrame, dims: Mapping[str, Column], before: tuple[str, ...] = (), z: DataFrame | None = None) -> DataFrame:
-    """``rows`` dealt and sorted by (``before``, curve of ``dims``, row hash); ``z``: the curve, if it is there already."""
+    """``rows`` dealt and sorted by (``before``, curve of ``dims``, row hash); ``z``: the steps of ``curve``, if they are there."""
     columns = rows.columns
     z = curve(rows, dims) if z is None else z
-    row_hash = F.xxhash64(*[F.col(c) for c in columns])
-    same = [c.eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(dims.values())]
-    placed = rows.join(z, same).withColumn("_h", row_hash)
+    placed = rows.withColumn("_h", F.xxhash64(*[F.col(c) for c in columns]))
+    for i, c in enumerate(dims.values()):
+        own = z.filter(F.col("_dim") == f"_d{i}").select(F.col("_v").alias(f"_v{i}"), F.col("_step").alias(f"_s{i}"))
+        placed = placed.join(own, c.cast("string").eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
+    placed = placed.select(*columns, "_h", interleave([F.col(f"_s{i}") for i in range(len(dims))]).alias("_z"))
     by = [*[F.col(c).asc_nulls_first() for c in before], F.col("_z"), F.col("_h")]
     return placed.repartitionByRange(*by).sortWithinPartitions(*by).select(*columns)
 
@@ -74,7 +80,9 @@ def write_clustered(df: DataFrame, path: str, dims: Mapping[str, Column], keys:
     batches are the caller's; one that is used again replaces its files.
     """
     batch = batch or uuid.uuid4().hex
-    (clustered(df, dims).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    text = {name: F.col(f"_k{i}") for i, name in enumerate(dims)}      # times become text once, not in every pass
+    rows = spread(df, "batch", lambda d: d.withColumns({f"_k{i}": c.cast("string") for i, c in enumerate(dims.values())}))
+    (clustered(rows, text).select(*df.columns).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
      .parquet(f"{path}/data/batch={batch}"))
     files = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data/batch={batch}")
     stats = [x for k, c in keys.items() for x in (F.min(c).alias(f"min_{k}"), F.max(c).alias(f"max_{k}"),
@@ -118,8 +126,7 @@ def compact_clustered(spark: SparkSession, path: str, dims: Mapping[str, Column]
                       batch: str | None = None, rows_per_file: int = 5_000_000) -> str:
     """All batches as one new batch on one curve; the old ones leave the manifest after it is complete."""
     old = [r.batch for r in manifest_of(spark, path).select("batch").distinct().collect()]
-    rows = write_once(read_clustered(spark, path), "compact")
-    new = write_clustered(rows, path, dims, keys, batch, rows_per_file)
+    new = write_clustered(read_clustered(spark, path), path, dims, keys, batch, rows_per_file)
     empty = spark.createDataFrame([], manifest_of(spark, path).drop("batch").schema)
     for name in old:
         if name != new:

@@ -1,5 +1,7 @@
 """Landed snapshot tables: round trip, pruning by the manifest, null keys, hot databases, replays, column sets."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from sf_paths import SF_SMALL
@@ -138,3 +140,43 @@ def test_upsert_keeps_documents_without_a_time(spark, tmp_path):
     for _ in range(2):
         O.upsert_hourly_latest(obs, path, buckets=2)
     assert sorted(r.payload for r in O.read_hourly_latest(spark, path).collect()) == ["a", "b"]
+
+
+def test_a_batch_is_read_once_and_dealt(spark, tmp_path):
+    """However few files a batch comes in: its rows are made once, then many tasks have them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return (f"o{i % 2}", f"d{i % 50}", "db", datetime(2024, 1, 1 + i % 3, i % 24), "{}", i)
+
+    obs = spark.createDataFrame(spark.sparkContext.parallelize(range(600), 1).map(row),
+                                "organization_id string, db_key string, obs_type string, observation_time timestamp_ntz, "
+                                "payload string, id long")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        O.land(obs, str(tmp_path / "zone"))
+        assert seen.value == 600
+        dealt = C.spread(obs, "dealt").groupBy(F.input_file_name()).count().collect()
+    finally:
+        spark.conf.unset(name)
+    assert _same(obs, O.read_landing(spark, str(tmp_path / "zone")))
+    assert sum(r["count"] for r in dealt) == 600 and max(r["count"] for r in dealt) < 2 * 600 / len(dealt) and len(dealt) == 8
+
+
+def test_the_curve_holds_values_not_their_combinations(spark):
+    rows = [(f"o{o}", f"d{d}", "l", f"2024-01-01 {h:02d}:30:00", o) for o in range(4) for d in range(16) for h in range(24)]
+    rows += [(None, None, "l", None, 0)]
+    df = _frame(spark, rows)
+    z = C.curve(df, SN._dims())
+    assert z.count() == 5 + 17 + 25
+    assert _same(df, C.clustered(df, SN._dims(), z=z)) and C.clustered(df, SN._dims(), z=z).count() == len(rows)
+
+
+def test_an_empty_batch_is_landed(spark, tmp_path):
+    obs = V.observation_log(spark, SF_SMALL).limit(0)
+    O.land(obs, str(tmp_path / "zone"))
+    assert O.read_landing(spark, str(tmp_path / "zone")).count() == 0
+    SN.write_snapshot(_frame(spark, []), str(tmp_path / "snapshots"))
+    assert SN.read_snapshot(spark, str(tmp_path / "snapshots")).count() == 0
